@@ -1 +1,73 @@
-"""placeholder"""
+"""Checks for the user-function surface."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.apply import apply_per_repo, apply_status, cogroup_apply, map_rows
+from ..sources.fixtures import changes_view, oracle_ctes
+from ..sources.tables import load_table
+from . import register
+
+CH = oracle_ctes("v_changes")
+MAX_CHANGES = 700
+
+
+def sum_args(A, B, C):
+    return A + B + C
+
+
+@register("map_rows", """
+SELECT l_orderkey, l_linenumber, l_partkey, 1 + 2 + l_partkey AS result FROM lineitem""")
+def map_rows_q(spark, sf_dir):
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return map_rows(li, sum_args, "l_partkey", "result", "long", A=1, B=2, C=None)
+
+
+def change_summary(repo_url, frames):
+    n = deleted = 0
+    for pdf in frames:
+        n += len(pdf)
+        deleted += int(pdf["new_blob_id"].isna().sum())
+    yield {"repo_url": repo_url, "n_changes": n, "n_deleted": deleted}
+
+
+@register("apply_per_repo", f"""{CH}
+SELECT repo_url, count(*) AS n_changes, count(*) - count(new_blob_id) AS n_deleted FROM v_changes GROUP BY repo_url""")
+def apply_per_repo_q(spark, sf_dir):
+    c = changes_view(spark, sf_dir).select("repo_url", "new_blob_id")
+    return apply_per_repo(c, change_summary, "repo_url string, n_changes long, n_deleted long")
+
+
+def bounded_summary(repo_url, frames):
+    frames = list(frames)
+    n = sum(len(f) for f in frames)
+    if n > MAX_CHANGES:
+        raise ValueError(f"repository has {n} changes, more than {MAX_CHANGES}")
+    yield from change_summary(repo_url, iter(frames))
+
+
+@register("apply_status", f"""{CH}
+SELECT repo_url,
+  CASE WHEN count(*) > {MAX_CHANGES} THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN count(*) > {MAX_CHANGES} THEN 'ValueError: repository has ' || CAST(count(*) AS VARCHAR) || ' changes, more than {MAX_CHANGES}' END AS error,
+  CAST(CASE WHEN count(*) > {MAX_CHANGES} THEN 0 ELSE 1 END AS BIGINT) AS n_rows
+FROM v_changes GROUP BY repo_url""")
+def apply_status_q(spark, sf_dir):
+    c = changes_view(spark, sf_dir).select("repo_url", "new_blob_id")
+    return apply_status(c, bounded_summary)
+
+
+def changes_and_paths(left, right):
+    import pandas as pd
+    key = left["repo_url"].iloc[0] if len(left) else right["repo_url"].iloc[0]
+    return pd.DataFrame([{"repo_url": key, "n_changes": len(left), "n_paths": int(right["file_path"].nunique())}])
+
+
+@register("cogroup_apply", f"""{CH}
+SELECT repo_url, count(*) AS n_changes, count(DISTINCT file_path) AS n_paths FROM v_changes GROUP BY repo_url""")
+def cogroup_apply_q(spark, sf_dir):
+    c = changes_view(spark, sf_dir)
+    paths = c.select("repo_url", "file_path").distinct()
+    return cogroup_apply(c.select("repo_url", "commit_id"), paths, changes_and_paths,
+                         "repo_url string, n_changes long, n_paths long")
