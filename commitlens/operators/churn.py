@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
+from .parallel import spread
 
 ADDED = "added_lines_num"
 DELETED = "deleted_lines_num"
@@ -51,9 +52,9 @@ def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blo
     mod = p.where(F.col(old_col).isNotNull() & (F.col(new_col) != F.col(old_col)))
     roles = (mod.select(F.col(new_col).alias("_id"), new_col, old_col, F.lit(1).alias("_s"))
              .unionByName(mod.select(F.col(old_col).alias("_id"), new_col, old_col, F.lit(-1).alias("_s"))))
-    needed = texts.join(
-        p.select(F.col(new_col).alias(id_col)).unionByName(mod.select(F.col(old_col).alias(id_col))).distinct(),
-        id_col, "left_semi")
+    ids = p.select(F.col(new_col).alias(id_col)).unionByName(mod.select(F.col(old_col).alias(id_col)))
+    # line splitting and hashing is CPU-bound per byte: explicit partition count (never coalesced)
+    needed = spread(texts.select(id_col, text_col).join(ids.distinct(), id_col, "left_semi"), id_col)
     ms = line_multisets(needed, id_col, text_col)
     per_line = (ms.join(roles, "_id")
                 .groupBy(new_col, old_col, "_h1", "_h2").agg(F.sum(F.col("_s") * F.col("_c")).alias("_d")))
@@ -94,17 +95,22 @@ def sequence_diff_counts(old: str | None, new: str, skip_marker_lines: bool = Tr
 def line_diff_counts_seq(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id",
                          old_col: str = "old_blob_id", id_col: str = "blob_id", text_col: str = "text",
                          skip_marker_lines: bool = True) -> DataFrame:
-    """Exact sequence-diff counts per distinct (new, old) pair, whole texts, in ``mapInPandas``."""
+    """Exact sequence-diff counts per distinct (new, old) pair, whole texts, in ``mapInPandas``.
+
+    Only modified files go through Python; new files are line counts (JVM) and equal
+    ids are (0, 0).  Rows with a null old id never meet a join key, so they are not
+    funnelled into one task.
+    """
+    from ..functions.text import line_count
     p = pairs.select(new_col, old_col).where(F.col(new_col).isNotNull()).dropDuplicates()
+    mod = p.where(F.col(old_col).isNotNull() & (F.col(new_col) != F.col(old_col)))
     new_t = texts.select(F.col(id_col).alias(new_col), F.col(text_col).alias("_new"))
     old_t = texts.select(F.col(id_col).alias(old_col), F.col(text_col).alias("_old"))
-    joined = p.join(new_t, new_col, "inner").join(old_t, old_col, "left")
+    joined = spread(mod.join(new_t, new_col, "inner").join(old_t, old_col, "inner"), new_col, old_col)
 
     def run(batches):
         for pdf in batches:
-            counts = [sequence_diff_counts(o if isinstance(o, str) else None, n, skip_marker_lines)
-                      if not (isinstance(o, str) and nid == oid) else (0, 0)
-                      for nid, oid, n, o in zip(pdf[new_col], pdf[old_col], pdf["_new"], pdf["_old"])]
+            counts = [sequence_diff_counts(o, n, skip_marker_lines) for n, o in zip(pdf["_new"], pdf["_old"])]
             yield pd.DataFrame({
                 new_col: pdf[new_col], old_col: pdf[old_col],
                 ADDED: pd.Series([c[0] for c in counts], dtype="int32"),
@@ -113,7 +119,12 @@ def line_diff_counts_seq(pairs: DataFrame, texts: DataFrame, new_col: str = "new
 
     types = dict(joined.dtypes)
     schema = f"{new_col} {types[new_col]}, {old_col} {types[old_col]}, {ADDED} int, {DELETED} int"
-    return joined.select(new_col, old_col, "_new", "_old").mapInPandas(run, schema)
+    modified = joined.select(new_col, old_col, "_new", "_old").mapInPandas(run, schema)
+    new_files = (p.where(F.col(old_col).isNull()).join(new_t, new_col, "inner")
+                 .select(new_col, old_col, line_count("_new").alias(ADDED), F.lit(0).alias(DELETED)))
+    same = p.where(F.col(new_col) == F.col(old_col)).select(new_col, old_col, F.lit(0).alias(ADDED),
+                                                           F.lit(0).alias(DELETED))
+    return modified.unionByName(new_files).unionByName(same)
 
 
 def max_added_lines(records: DataFrame, n: int) -> DataFrame:
