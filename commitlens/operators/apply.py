@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+OUTPUT_CHUNK_ROWS = 10_000
+
+
 def _free_argument(kwargs: dict) -> str:
     free = ""
     for k, v in kwargs.items():
@@ -59,8 +62,14 @@ def apply_per_repo(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str
     out_cols = [f.split()[0] for f in schema.split(",")]
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(fn(keys[0], frames, *args))
-        yield pd.DataFrame(rows, columns=out_cols)
+        chunk: list = []
+        for rec in fn(keys[0], frames, *args):  # output streams out in bounded chunks
+            chunk.append(rec)
+            if len(chunk) >= OUTPUT_CHUNK_ROWS:
+                yield pd.DataFrame(chunk, columns=out_cols)
+                chunk = []
+        if chunk:
+            yield pd.DataFrame(chunk, columns=out_cols)
 
     return df.groupBy(key).applyInPandas(run, schema)
 
