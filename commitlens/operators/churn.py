@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
-from .parallel import spread
+from .parallel import spread, spread_join_side
 
 ADDED = "added_lines_num"
 DELETED = "deleted_lines_num"
@@ -54,7 +54,7 @@ def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blo
              .unionByName(mod.select(F.col(old_col).alias("_id"), new_col, old_col, F.lit(-1).alias("_s"))))
     ids = p.select(F.col(new_col).alias(id_col)).unionByName(mod.select(F.col(old_col).alias(id_col)))
     # line splitting and hashing is CPU-bound per byte: explicit partition count (never coalesced)
-    needed = spread(texts.select(id_col, text_col).join(ids.distinct(), id_col, "left_semi"), id_col)
+    needed = spread_join_side(texts.select(id_col, text_col), id_col).join(ids.distinct(), id_col, "left_semi")
     ms = line_multisets(needed, id_col, text_col)
     per_line = (ms.join(roles, "_id")
                 .groupBy(new_col, old_col, "_h1", "_h2").agg(F.sum(F.col("_s") * F.col("_c")).alias("_d")))

@@ -24,3 +24,13 @@ def cpu_partitions(df: DataFrame) -> int:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cpu_partitions(df), *keys)
+
+
+def spread_join_side(df: DataFrame, *keys: str) -> DataFrame:
+    """The wide side of an equi join on ``keys``, pre-partitioned to the explicit count.
+
+    The join reuses this partitioning (no second shuffle of the wide column), its stage
+    cannot be coalesced, and the ``shuffle_merge`` hint keeps adaptive execution from
+    turning it into a broadcast join read locally by only a few map-side tasks.
+    """
+    return spread(df, *keys).hint("shuffle_merge")
