@@ -21,13 +21,15 @@ def classify_files(df: DataFrame, path_col: str = "file_path", text_col: str | N
 
 def classify_changes(changes: DataFrame, blobs: DataFrame, path_col: str = "file_path",
                      blob_col: str = "new_blob_id", id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
-    """Classify changes using their blob content, computing content facts once per distinct blob.
+    """Classify changes using their blob content, computing content facts once per blob, before the shuffle.
 
     Inner join on the blob: a change whose object is missing is dropped (only that row).
     """
     ids = changes.select(F.col(blob_col).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    facts = (blobs.join(ids, id_col, "left_semi")
-             .select(F.col(id_col).alias(blob_col), *blob_language_facts(text_col)))
+    # facts are computed where the blob is read (map side), so only narrow columns shuffle
+    facts = (blobs.select(F.col(id_col), *blob_language_facts(text_col))
+             .join(ids, id_col, "left_semi")
+             .withColumnRenamed(id_col, blob_col))
     return (changes.join(facts, blob_col, "inner")
             .withColumn("programming_language", language_from_facts(path_col, "_has_nul", "_shebang_lang"))
             .drop("_has_nul", "_shebang_lang")

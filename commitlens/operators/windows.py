@@ -62,12 +62,12 @@ def lag_over_group(df: DataFrame, keys: Sequence[str], order: Order, cols: Seque
     names = list(names or [f"prev_{c}" for c in cols])
     n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
-    # Materialise the slice assignment once (range bounds come from sampling, which
-    # may differ between two evaluations); the checkpoint lives in the shared folder.
+    # Slices come from sampled range bounds, which may differ between evaluations, so
+    # the slice-local window result is materialised once (checkpoint in the shared
+    # folder); every branch below reads that copy.
     ensure_checkpoint_dir(spark)
     ranged = (df.repartitionByRange(n_slices, *[F.col(k) for k in keys], *sort_exprs(order))
-              .withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
+              .withColumn("_slice", F.spark_partition_id()))
     w = Window.partitionBy(*keys, "_slice").orderBy(*sort_exprs(order))
     w_all = Window.partitionBy(*keys, "_slice")
     local = ranged.select(
@@ -75,7 +75,7 @@ def lag_over_group(df: DataFrame, keys: Sequence[str], order: Order, cols: Seque
         *[F.lag(c).over(w).alias(nm) for c, nm in zip(cols, names)],
         F.row_number().over(w).alias("_pos"),
         F.count(F.lit(1)).over(w_all).alias("_cnt"),
-    )
+    ).checkpoint(eager=True)
     # Tail (last row) of every (key, slice); then each slice's predecessor tail.
     tails = local.where(F.col("_pos") == F.col("_cnt")).select(*keys, "_slice", *cols)
     wt = Window.partitionBy(*keys).orderBy("_slice")
