@@ -1,5 +1,7 @@
 """Git log exports, JSON-lines records and star lists."""
 
+from pyspark.sql import functions as F
+
 from commitlens.session import scratch_path
 from commitlens.sources.history import read_git_log
 from commitlens.sources.jsonl import read_record_lines, write_record_lines
@@ -49,3 +51,25 @@ def test_star_list_strips_only_line_breaks(spark, tmp_path):
     p = tmp_path / "stars.txt"
     p.write_text("a/b\n c/d \n\nx/y\r\n")
     assert [r.repo_full_name for r in read_star_list(spark, str(p)).collect()] == ["a/b", " c/d ", "x/y"]
+
+
+def test_blob_files(spark, tmp_path):
+    from commitlens.functions.language import file_type
+    from commitlens.sources.blobs import read_blob_files
+    (tmp_path / "abc123.blob").write_bytes("print('hé')\n".encode())
+    (tmp_path / "def456.blob").write_bytes(b"\x89PNG\x00\x01")
+    df = read_blob_files(spark, str(tmp_path))
+    got = {r.blob_id: (r.text, r.t) for r in df.select("blob_id", "text", file_type(F.lit("x.py"), binary="content").alias("t")).collect()}
+    assert got["abc123"] == ("print('hé')\n", "Text")
+    assert got["def456"][1] == "Binary"
+
+
+def test_batches_append_and_resume(spark):
+    from commitlens.operators.batching import batch_assign, resume_from_batch, write_batches
+    items = spark.range(0, 25).withColumnRenamed("id", "v")
+    b = batch_assign(items, 10, (("v", True),))
+    path = scratch_path(spark, "batches-test")
+    write_batches(resume_from_batch(b, 1), path)
+    back = spark.read.parquet(path)
+    assert sorted(r.batch_id for r in back.select("batch_id").distinct().collect()) == [1, 2]
+    assert back.count() == 15
