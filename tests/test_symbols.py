@@ -149,3 +149,24 @@ def test_unknown_kind():
 def test_long_literal_does_not_overflow(spark):
     text = "x = '" + "a" * 2_000_000 + "'\nimport big\n"
     assert extract(spark, "python", text) == (["big"], ["x"])
+
+
+PY_SUITES = '''if a: b = 1
+elif c: d += 2
+else: e: int = 3
+for i in r: t = i
+while x: w = 1; z = 2
+try: y = open(p)
+except E: q = 0
+with f() as g: h = 1
+x: int = 1
+lam = lambda k: k
+print(f"{len(items)} items, {obj.method()} {{literal}}", F"{max(a, b)}")
+s = "not {len(x)} an f-string"
+'''
+
+
+def test_python_one_line_suites_and_fstrings(spark):
+    assert extract(spark, "python", PY_SUITES) == (
+        ["f", "len", "max", "open", "print"],
+        ["b", "d", "e", "h", "lam", "q", "s", "t", "w", "x", "y", "z"])
