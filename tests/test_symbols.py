@@ -170,3 +170,10 @@ def test_python_one_line_suites_and_fstrings(spark):
     assert extract(spark, "python", PY_SUITES) == (
         ["f", "len", "max", "open", "print"],
         ["b", "d", "e", "h", "lam", "q", "s", "t", "w", "x", "y", "z"])
+
+
+def test_js_destructuring_and_java_interface_constants(spark):
+    js = "const {a = 1, b} = obj;\nlet [c = 2] = arr;\nconst {d} = e;\n"
+    assert extract(spark, "javascript", js) == ([], ["arr", "e", "obj"])
+    java = "interface Api {\n  int LIMIT = 10;\n  void call(int n);\n}\nclass Impl implements Api {\n  int count = 0;\n}\n"
+    assert extract(spark, "java", java) == ([], ["Api", "Impl", "call", "count", "n"])
