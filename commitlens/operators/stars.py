@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import first_n_per_group
+from .windows import first_n_per_group, global_row_number
 
 
 def star_counts(stars: DataFrame, name_col: str = "repo_full_name") -> DataFrame:
@@ -15,13 +15,22 @@ def star_counts(stars: DataFrame, name_col: str = "repo_full_name") -> DataFrame
     return stars.groupBy(name_col).agg(F.count(F.lit(1)).alias("stars"))
 
 
+# above this many rows a per-task top-k heap is no longer small: rank with a distributed sort
+TOPK_IN_MEMORY = 100_000
+
+
 def top_repos(stars: DataFrame, n: int = 100, name_col: str = "repo_full_name") -> DataFrame:
     """The ``n`` most starred repositories; ties broken by name (a total order).
 
-    ``orderBy().limit(n)`` plans as ``TakeOrderedAndProject``: every task keeps
-    its own top ``n`` and only those are merged.
+    For ``n`` up to ``TOPK_IN_MEMORY``, ``orderBy().limit(n)`` plans as
+    ``TakeOrderedAndProject``: every task keeps its own top ``n`` and only those are
+    merged.  Larger ``n`` uses the distributed global row number instead.
     """
-    return star_counts(stars, name_col).orderBy(F.col("stars").desc(), F.col(name_col).asc()).limit(n)
+    counts = star_counts(stars, name_col)
+    if n <= TOPK_IN_MEMORY:
+        return counts.orderBy(F.col("stars").desc(), F.col(name_col).asc()).limit(n)
+    ranked = global_row_number(counts, (("stars", False), (name_col, True)), "_rank")
+    return ranked.where(F.col("_rank") <= F.lit(n)).drop("_rank")
 
 
 def _chron(order: Sequence[str], newest_first: bool) -> list[Column]:

@@ -92,3 +92,13 @@ def test_find_repository_by_name(spark):
     entries = spark.createDataFrame([("tested_repo",), ("tested_repo_x1",), ("other",)], "entry string")
     got = sorted(r.entry for r in repo_prefix_match(keys, entries).collect())
     assert got == ["tested_repo", "tested_repo_x1"]
+
+
+def test_top_repos_large_n_uses_distributed_rank(spark, monkeypatch):
+    from commitlens.operators import stars as st
+    rows = [(f"o/r{i % 37}",) for i in range(1000)]
+    df = spark.createDataFrame(rows, "repo_full_name string")
+    small = [tuple(r) for r in st.top_repos(df, 10).collect()]
+    monkeypatch.setattr(st, "TOPK_IN_MEMORY", 5)
+    big = sorted((tuple(r) for r in st.top_repos(df, 10).collect()), key=lambda x: (-x[1], x[0]))
+    assert small == big
