@@ -73,3 +73,64 @@ def test_batches_append_and_resume(spark):
     back = spark.read.parquet(path)
     assert sorted(r.batch_id for r in back.select("batch_id").distinct().collect()) == [1, 2]
     assert back.count() == 15
+
+
+def _git(cwd, *args, env=None):
+    import subprocess
+    return subprocess.run(["git", *args], cwd=cwd, check=True, capture_output=True, text=True, env=env).stdout
+
+
+def test_git_log_from_real_git(spark, tmp_path):
+    import os
+    import shutil
+    import pytest
+    if shutil.which("git") is None:
+        pytest.skip("git not installed")
+    repo = tmp_path / "demo"
+    repo.mkdir()
+    env = dict(os.environ, GIT_AUTHOR_NAME="Ann Lee", GIT_AUTHOR_EMAIL="ann@x.org", GIT_COMMITTER_NAME="Ann Lee",
+               GIT_COMMITTER_EMAIL="ann@x.org", GIT_CONFIG_GLOBAL="/dev/null", GIT_CONFIG_SYSTEM="/dev/null")
+    _git(repo, "init", "-q", "-b", "main", env=env)
+
+    def commit(msg, when):
+        e = dict(env, GIT_AUTHOR_DATE=f"{when} +0000", GIT_COMMITTER_DATE=f"{when} +0000")
+        _git(repo, "add", "-A", env=e)
+        _git(repo, "commit", "-q", "-m", msg, env=e)
+
+    (repo / "app.py").write_text("x = 1\n")
+    (repo / "old name.md").write_text("hello\n")
+    (repo / "m.txt").write_text("a\nb\nc\nd\ne\n")
+    commit("one", 1700000100)
+    (repo / "app.py").write_text("x = 2\n")
+    commit("two", 1700000200)
+    _git(repo, "checkout", "-q", "-b", "side", env=env)
+    (repo / "app.py").write_text("x = 3\n")
+    (repo / "m.txt").write_text("a\nb\nc\nd\nE\n")
+    commit("side", 1700000300)
+    _git(repo, "checkout", "-q", "main", env=env)
+    (repo / "m.txt").write_text("A\nb\nc\nd\ne\n")
+    (repo / "old name.md").unlink()
+    (repo / "lib.js").write_text("let k = 1;\n")
+    commit("three", 1700000400)
+    e = dict(env, GIT_AUTHOR_DATE="1700000500 +0000", GIT_COMMITTER_DATE="1700000500 +0000")
+    _git(repo, "merge", "-q", "--no-ff", "-m", "merge", "side", env=e)
+    (repo / "app.py").write_text("x = 4\n")
+    commit("resolve", 1700000600)
+    log = _git(repo, "-c", "core.quotePath=false", "log", "-c", "--raw", "--no-abbrev", "--no-renames", "--root",
+               "--format=%x1e%H%x1f%P%x1f%an <%ae>%x1f%ct", env=env)
+    out = tmp_path / "demo.log"
+    out.write_text(log)
+    rows = read_git_log(spark, str(out)).collect()
+    by = {(r.status, r.file_path) for r in rows}
+    assert ("D", "old name.md") in by and ("A", "lib.js") in by and ("A", "old name.md") in by
+    assert {r.author_raw for r in rows} == {"Ann Lee <ann@x.org>"}
+    assert {r.repo_url for r in rows} == {"demo"}
+    adds = [r for r in rows if r.file_path == "app.py" and r.status == "A"]
+    assert len(adds) == 1 and adds[0].old_blob_id is None
+    # the merge changed m.txt against both parents: one row per parent, same new blob
+    merged = [r for r in rows if r.file_path == "m.txt" and r.status == "MM"]
+    assert sorted(r.parent_index for r in merged) == [0, 1] and len({r.new_blob_id for r in merged}) == 1
+    assert len({r.old_blob_id for r in merged}) == 2
+    # every modification's old id is the previous version's new id
+    new_ids = {r.new_blob_id for r in rows if r.new_blob_id}
+    assert all(r.old_blob_id in new_ids for r in rows if r.old_blob_id)
