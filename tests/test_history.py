@@ -68,3 +68,25 @@ def test_newest_commits_rank_the_commit_table(spark):
     got = {r.file_path: (r.blob_id, sorted(r.imports)) for r in
            latest_symbols(ch, blobs, order=WALK, commit_order=COMMIT_ORDER, commit_limit=2).collect()}
     assert got == {"a.py": ("a2", ["len", "os", "sys"]), "b.py": ("b1", ["re"])}
+
+
+def test_commit_records_options(spark):
+    ch, blobs, _ = history(spark)
+    seq = {(r.commit_id, r.file_path): (r.added_lines_num, r.deleted_lines_num)
+           for r in commit_records(ch, blobs, order=WALK, limit=-1, diff="sequence").collect()}
+    assert seq[("c2", "a.py")] == (3, 1) and seq[("c1", "a.py")] == (2, 0)
+    # the restriction (added <= n, as documented) is applied before the per-repository limit
+    kept = commit_records(ch, blobs, order=WALK, limit=1, max_added=1).collect()
+    assert [(r.commit_id, r.file_path) for r in kept] == [("c1", "notes.txt")]
+
+
+def test_user_extractor(spark):
+    from commitlens.operators.symbols import extract_symbols
+    _, blobs, _ = history(spark)
+    files = spark.createDataFrame([("a2", "python"), ("b1", "python")], "blob_id string, programming_language string")
+
+    def words(language, text):
+        return {"imports": [w for w in text.split() if w.isalpha()], "variables": []}
+
+    got = {r.blob_id: list(r.imports) for r in extract_symbols(files, blobs, extractor=words).collect()}
+    assert got == {"a2": ["import", "os", "sys", "x", "y"], "b1": ["import", "re", "z"]}
