@@ -35,18 +35,57 @@ def sort_exprs(order: Order, reverse: bool = False) -> list[Column]:
     return out
 
 
+def _group_limit_threshold(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
 def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Order, n: int | None,
                       rank_col: str | None = None) -> DataFrame:
-    """Keep the first ``n`` rows per group in ``order``; ``n`` None or negative keeps all."""
+    """Keep the first ``n`` rows per group in ``order``; ``n`` None or negative keeps all.
+
+    Small ``n`` plans as a partial ``WindowGroupLimit`` (at most ``n`` rows per key
+    leave each map task).  Above Spark's group-limit threshold that rewrite does not
+    apply, so the rank comes from ``group_row_number``, which never gives one task a
+    whole group.
+    """
     if n is None or n < 0:
-        return df if rank_col is None else df.withColumn(
-            rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_exprs(order))))
+        return df if rank_col is None else group_row_number(df, keys, order, rank_col)
     name = rank_col or "_rn"
-    w = Window.partitionBy(*keys).orderBy(*sort_exprs(order))
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= F.lit(n))
+    if n > _group_limit_threshold(df):
+        out = group_row_number(df, keys, order, name).where(F.col(name) <= F.lit(n))
+    else:
+        w = Window.partitionBy(*keys).orderBy(*sort_exprs(order))
+        out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= F.lit(n))
     return out if rank_col else out.drop(name)
 
 
+def group_row_number(df: DataFrame, keys: Sequence[str], order: Order, name: str = "row_number",
+                     slices: int | None = None) -> DataFrame:
+    """``row_number()`` within each group, exact for any group size.
+
+    Range partitioning on (keys, order) cuts a hot group into contiguous slices; each
+    slice numbers its rows locally and adds the row count of the group's earlier
+    slices (a table with one row per (key, slice)).  The slice-local result is
+    materialised once (checkpoint in the shared folder) so every branch sees the
+    same slices.
+    """
+    spark = df.sparkSession
+    keys = list(keys)
+    n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    local = (df.repartitionByRange(n_slices, *[F.col(k) for k in keys], *sort_exprs(order))
+             .withColumn("_slice", F.spark_partition_id())
+             .withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*sort_exprs(order))))
+             .checkpoint(eager=True))
+    counts = local.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")).alias("_o")
+    cond = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_o.{k}")) for k in keys] + [F.col("_l._slice") == F.col("_o._slice")]
+    out = local.alias("_l").join(offsets, cond, "inner")
+    cols = [F.col(f"_l.{c}") for c in df.columns]
+    return out.select(*cols, (F.col("_o._off") + F.col("_l._pos")).cast("int").alias(name))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     """First row per key in ``order`` (``order`` lists the wanted row first)."""
     return first_n_per_group(df, keys, order, 1)

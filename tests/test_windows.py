@@ -35,3 +35,14 @@ def test_first_n_per_group_uses_partial_limit(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.groupBy("k").count().where("count > 3").count() == 0
     assert "WindowGroupLimit" in plan
+
+
+def test_group_row_number_and_large_limits(spark):
+    from commitlens.operators.windows import group_row_number
+    df = skewed(spark)
+    got = group_row_number(df, ["k"], [("t", False)], "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("t").desc())))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    big = first_n_per_group(df, ["k"], [("t", False)], 5000)  # above the WindowGroupLimit threshold
+    small = want.where("rn <= 5000").drop("rn")
+    assert big.exceptAll(small).count() == 0 and small.exceptAll(big).count() == 0
