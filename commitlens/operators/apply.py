@@ -38,11 +38,15 @@ def _free_argument(kwargs: dict) -> str:
 
 def map_rows(df: DataFrame, fn: Callable, value_col: str, out_col: str, out_type: str,
              index_col: str | None = None, **kwargs) -> DataFrame:
-    """Add ``out_col = fn(**kwargs with the None keyword := value)`` for every non-null value."""
+    """Add ``out_col = fn(**kwargs with the None keyword := value)`` for every non-empty value."""
     free = _free_argument(kwargs)
     bound = {k: v for k, v in kwargs.items() if k != free}
     call = functools.partial(fn, **bound)
-    src = df.where(F.col(value_col).isNotNull())
+    # empty elements are skipped before any work is scheduled: nulls, and '' for strings
+    keep = F.col(value_col).isNotNull()
+    if dict(df.dtypes)[value_col] == "string":
+        keep = keep & (F.col(value_col) != F.lit(""))
+    src = df.where(keep)
     if index_col:
         src = src.withColumn(index_col, F.monotonically_increasing_id())
 

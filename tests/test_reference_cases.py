@@ -102,3 +102,9 @@ def test_top_repos_large_n_uses_distributed_rank(spark, monkeypatch):
     monkeypatch.setattr(st, "TOPK_IN_MEMORY", 5)
     big = sorted((tuple(r) for r in st.top_repos(df, 10).collect()), key=lambda x: (-x[1], x[0]))
     assert small == big
+
+
+def test_map_rows_skips_empty_elements(spark):
+    src = spark.createDataFrame([("a",), ("",), (None,), ("bc",)], "s string")
+    out = map_rows(src, lambda prefix, s: prefix + s, "s", "r", "string", prefix=">", s=None)
+    assert sorted(r.r for r in out.collect()) == [">a", ">bc"]
