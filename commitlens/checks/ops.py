@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators.apply import apply_per_repo, apply_status, cogroup_apply, map_rows
 from ..sources.fixtures import changes_view, oracle_ctes

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators.stars import cap_stars_per_user, co_starred_repos, star_counts, top_repos
 from ..session import scratch_path

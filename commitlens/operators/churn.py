@@ -37,11 +37,6 @@ def line_multisets(texts: DataFrame, id_col: str = "blob_id", text_col: str = "t
             .groupBy("_id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")))
 
 
-def line_counts(texts: DataFrame, id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
-    from ..functions.text import line_count
-    return texts.select(F.col(id_col), line_count(text_col).alias("n_lines"))
-
-
 def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id", old_col: str = "old_blob_id",
                      id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
     """Per distinct (new, old) pair: ``added_lines_num``, ``deleted_lines_num`` (set-based).

@@ -147,6 +147,3 @@ def global_row_number(df: DataFrame, order: Order, name: str = "row_number") ->
             .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + F.lit(1))
             .drop("_mid", "_part", "_local", "_off"))
 
-
-def order_names(order: Order) -> list[str]:
-    return [c for c, _ in order]

@@ -2,7 +2,6 @@
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from commitlens.functions.language import detected_language, programming_language
 from commitlens.operators.apply import map_rows
