@@ -47,6 +47,16 @@ def _null_if_zero(c):
     return F.when(~c.rlike("^0+$"), c)
 
 
+def _unquote_path(c):
+    """Undo git's C-style quoting of unusual paths (``"we\\"ird\\tname"``); plain paths pass through."""
+    inner = F.regexp_replace(c, r'^"(.*)"$', "$1")
+    inner = F.regexp_replace(inner, r"\\\\", "\u0000")  # escaped backslash, kept aside
+    for esc, ch in ((r'\\"', '"'), (r"\\t", "\t"), (r"\\n", "\n")):
+        inner = F.regexp_replace(inner, esc, ch)
+    inner = F.regexp_replace(inner, "\u0000", r"\\")  # Java replacement: one literal backslash
+    return F.when(c.rlike(r'^".*"$'), inner).otherwise(c)
+
+
 def read_git_log(spark: SparkSession, path: str, repo_url: str | None = None) -> DataFrame:
     """Flat change rows from git log exports (one file per repository).
 
@@ -77,7 +87,7 @@ def read_git_log(spark: SparkSession, path: str, repo_url: str | None = None) ->
     ch = commits.select("*", F.posexplode("_raw").alias("change_index", "_line")).drop("_raw")
     m = F.regexp_extract("_line", r"^(:+)", 1)
     meta = F.split(F.regexp_extract("_line", r"^:+([^\t]*)\t", 1), " ")
-    path_col = F.regexp_extract("_line", r"^[^\t]*\t(.*)$", 1)
+    path_col = _unquote_path(F.regexp_extract("_line", r"^[^\t]*\t(.*)$", 1))
     n_par = F.length(m)
     # fields: n+1 modes, n old ids, 1 new id, status
     ch = ch.select(

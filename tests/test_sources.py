@@ -100,6 +100,7 @@ def test_git_log_from_real_git(spark, tmp_path):
     (repo / "app.py").write_text("x = 1\n")
     (repo / "old name.md").write_text("hello\n")
     (repo / "m.txt").write_text("a\nb\nc\nd\ne\n")
+    (repo / 'we"ird\\name\t.txt').write_text("odd\n")
     commit("one", 1700000100)
     (repo / "app.py").write_text("x = 2\n")
     commit("two", 1700000200)
@@ -124,6 +125,7 @@ def test_git_log_from_real_git(spark, tmp_path):
     by = {(r.status, r.file_path) for r in rows}
     assert ("D", "old name.md") in by and ("A", "lib.js") in by and ("A", "old name.md") in by
     assert {r.author_raw for r in rows} == {"Ann Lee <ann@x.org>"}
+    assert ("A", 'we"ird\\name\t.txt') in by  # git quotes this path; the reader unquotes it
     assert {r.repo_url for r in rows} == {"demo"}
     adds = [r for r in rows if r.file_path == "app.py" and r.status == "A"]
     assert len(adds) == 1 and adds[0].old_blob_id is None
