@@ -196,6 +196,18 @@ def added_lines_new_file(spark, sf_dir):
     return d.select("doc_id", line_count("text").alias("added_lines_num"), F.lit(0).alias("deleted_lines_num"))
 
 
+@register("added_lines_new_blobs", f"""{CHB}, vp AS ({VP_SQL})
+SELECT vp.new_blob_id AS blob_id, CAST(len({lines_sql('b.text')}) AS INTEGER) AS added_lines_num, 0 AS deleted_lines_num
+FROM vp JOIN v_blobs b ON b.blob_id = vp.new_blob_id WHERE vp.old_blob_id IS NULL""")
+def added_lines_new_blobs(spark, sf_dir):
+    """F8 on code: every change without an old version adds all of its lines."""
+    c = changes_view(spark, sf_dir)
+    b = blobs_view(spark, sf_dir, c)
+    new_files = version_pairs(c, FIXTURE_WALK_ORDER).where(F.col("old_blob_id").isNull() & F.col("new_blob_id").isNotNull())
+    d = line_diff_counts(new_files.select("new_blob_id", "old_blob_id"), b)
+    return d.select(F.col("new_blob_id").alias("blob_id"), "added_lines_num", "deleted_lines_num")
+
+
 def _document_pairs(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents").select("doc_id", "source")
     pairs = lag_over_group(d, ["source"], [("doc_id", True)], ["doc_id"], ["prev_doc_id"])
