@@ -196,11 +196,16 @@ def added_lines_new_file(spark, sf_dir):
     return d.select("doc_id", line_count("text").alias("added_lines_num"), F.lit(0).alias("deleted_lines_num"))
 
 
-@register("added_lines_new_blobs", f"""{CHB}, vp AS ({VP_SQL})
-SELECT vp.new_blob_id AS blob_id, CAST(len({lines_sql('b.text')}) AS INTEGER) AS added_lines_num, 0 AS deleted_lines_num
-FROM vp JOIN v_blobs b ON b.blob_id = vp.new_blob_id WHERE vp.old_blob_id IS NULL""")
+@register("added_lines_new_blobs", f"""{CHB}, vp AS ({VP_SQL}),
+nb AS (SELECT DISTINCT new_blob_id FROM vp WHERE old_blob_id IS NULL AND new_blob_id IS NOT NULL)
+SELECT nb.new_blob_id AS blob_id, CAST(sum(len({lines_sql('b.text')})) AS INTEGER) AS added_lines_num,
+  0 AS deleted_lines_num
+FROM nb JOIN v_blobs b ON b.blob_id = nb.new_blob_id GROUP BY nb.new_blob_id""")
 def added_lines_new_blobs(spark, sf_dir):
-    """F8 on code: every change without an old version adds all of its lines."""
+    """F8 on code: every change without an old version adds all of its lines.
+
+    A blob id names one content; the fixture repeats one id at sf0.001, whose rows are pooled.
+    """
     c = changes_view(spark, sf_dir)
     b = blobs_view(spark, sf_dir, c)
     new_files = version_pairs(c, FIXTURE_WALK_ORDER).where(F.col("old_blob_id").isNull() & F.col("new_blob_id").isNotNull())
