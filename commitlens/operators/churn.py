@@ -30,13 +30,6 @@ ADDED = "added_lines_num"
 DELETED = "deleted_lines_num"
 
 
-def line_multisets(texts: DataFrame, id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
-    """(``_id``, ``_h1``, ``_h2``, ``_c``): how often each distinct line occurs in each text."""
-    lines = texts.select(F.col(id_col).alias("_id"), F.explode(split_lines(text_col)).alias("_line"))
-    return (lines.select("_id", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2"))
-            .groupBy("_id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")))
-
-
 def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id", old_col: str = "old_blob_id",
                      id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
     """Per distinct (new, old) pair: ``added_lines_num``, ``deleted_lines_num`` (set-based).
@@ -48,18 +41,23 @@ def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blo
     roles = (mod.select(F.col(new_col).alias("_id"), new_col, old_col, F.lit(1).alias("_s"))
              .unionByName(mod.select(F.col(old_col).alias("_id"), new_col, old_col, F.lit(-1).alias("_s"))))
     ids = p.select(F.col(new_col).alias(id_col)).unionByName(mod.select(F.col(old_col).alias(id_col)))
-    # line splitting and hashing is CPU-bound per byte: explicit partition count (never coalesced)
-    needed = spread_join_side(texts.select(id_col, text_col), id_col).join(ids.distinct(), id_col, "left_semi")
-    ms = line_multisets(needed, id_col, text_col)
-    per_line = (ms.join(roles, "_id")
-                .groupBy(new_col, old_col, "_h1", "_h2").agg(F.sum(F.col("_s") * F.col("_c")).alias("_d")))
+    # line splitting and hashing is CPU-bound per byte: the text side carries an explicit
+    # partition count; line rows stay partitioned by blob id, so joining them to their
+    # (pair, sign) roles does not shuffle them again
+    # (an inner join with the distinct ids, not a semi join: Catalyst pushes semi joins
+    # below a repartition, which then disappears as redundant)
+    needed = spread_join_side(texts.select(id_col, text_col), id_col).join(ids.distinct(), id_col, "inner")
+    lines = (needed.select(F.col(id_col).alias("_id"), F.explode(split_lines(text_col)).alias("_line"))
+             .select("_id", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2")))
+    per_line = (lines.join(roles, "_id")
+                .groupBy(new_col, old_col, "_h1", "_h2").agg(F.sum("_s").alias("_d")))
     per_pair = per_line.groupBy(new_col, old_col).agg(
         F.sum(F.greatest(F.col("_d"), F.lit(0))).cast("int").alias(ADDED),
         F.sum(F.greatest(-F.col("_d"), F.lit(0))).cast("int").alias(DELETED))
     modified = (mod.join(per_pair, [new_col, old_col], "left")
                 .select(new_col, old_col, F.coalesce(ADDED, F.lit(0)).alias(ADDED),
                         F.coalesce(DELETED, F.lit(0)).alias(DELETED)))
-    counts = ms.groupBy("_id").agg(F.sum("_c").cast("int").alias("_n"))
+    counts = lines.groupBy("_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
     new_files = (p.where(F.col(old_col).isNull())
                  .join(counts, F.col(new_col) == F.col("_id"), "left")
                  .select(new_col, old_col, F.coalesce("_n", F.lit(0)).alias(ADDED), F.lit(0).alias(DELETED)))
