@@ -82,7 +82,7 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, build, key_col: st
     path = _MATERIALISED.get(key)
     if path is None:
         path = scratch_path(spark, f"view-{name}")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, spark.sparkContext.defaultParallelism)  # one file per core reads in parallel
         build().repartition(parts, key_col).write.parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(path)
