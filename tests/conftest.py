@@ -5,6 +5,15 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+# user functions defined in test modules run in Python workers: ship them by value
+try:
+    from pyspark import cloudpickle
+
+    if __package__ and __package__ in sys.modules:
+        cloudpickle.register_pickle_by_value(sys.modules[__package__])
+except Exception:
+    pass
+
 SF_SMALL = "/root/testdata/sf0.001"
 
 
