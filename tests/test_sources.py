@@ -136,3 +136,10 @@ def test_git_log_from_real_git(spark, tmp_path):
     # every modification's old id is the previous version's new id
     new_ids = {r.new_blob_id for r in rows if r.new_blob_id}
     assert all(r.old_blob_id in new_ids for r in rows if r.old_blob_id)
+
+
+def test_record_lines_skip_empty_arrays(spark, tmp_path):
+    p = tmp_path / "records.jsonl"
+    p.write_text('[{"repo_url": "r", "x": "1"}, {"repo_url": "r", "x": "2"}]\n[]\n\n[{"repo_url": "q", "x": "3"}]\n')
+    rows = sorted((r.repo_url, r.x) for r in read_record_lines(spark, str(p), "repo_url string, x string").collect())
+    assert rows == [("q", "3"), ("r", "1"), ("r", "2")]
