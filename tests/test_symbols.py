@@ -173,7 +173,8 @@ def test_python_one_line_suites_and_fstrings(spark):
 
 
 def test_js_destructuring_and_java_interface_constants(spark):
-    js = "const {a = 1, b} = obj;\nlet [c = 2] = arr;\nconst {d} = e;\n"
-    assert extract(spark, "javascript", js) == ([], ["arr", "e", "obj"])
+    js = ("const {a = 1, b} = obj;\nlet [c = 2] = arr;\nconst {d} = e;\n"
+          "const {f: {g = 3}, h} = deep;\nlet [i, [j = 4]] = pairs;\n")
+    assert extract(spark, "javascript", js) == ([], ["arr", "deep", "e", "obj", "pairs"])
     java = "interface Api {\n  int LIMIT = 10;\n  void call(int n);\n}\nclass Impl implements Api {\n  int count = 0;\n}\n"
     assert extract(spark, "java", java) == ([], ["Api", "Impl", "call", "count", "n"])
