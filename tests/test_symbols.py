@@ -178,3 +178,8 @@ def test_js_destructuring_and_java_interface_constants(spark):
     assert extract(spark, "javascript", js) == ([], ["arr", "deep", "e", "obj", "pairs"])
     java = "interface Api {\n  int LIMIT = 10;\n  void call(int n);\n}\nclass Impl implements Api {\n  int count = 0;\n}\n"
     assert extract(spark, "java", java) == ([], ["Api", "Impl", "call", "count", "n"])
+
+
+def test_python_soft_keywords(spark):
+    text = "match = pattern(s)\ncase: int = 2\nmatch command:\n    case 1:\n        pass\n"
+    assert extract(spark, "python", text) == (["pattern"], ["case", "match"])
