@@ -23,12 +23,12 @@ def test_author(spark, raw, name, email):
 
 
 def test_repo_and_path(spark):
-    df = spark.createDataFrame([("https://github.com/scikit-learn/scikit-learn", "src/pkg/mod.tar.gz")], "u string, p string")
+    df = spark.createDataFrame([("https://github.com/apache/spark", "src/pkg/mod.tar.gz")], "u string, p string")
     r = df.select(repo_slug("u").alias("s"), repo_url_from_name(F.lit("a/b")).alias("u2"),
                   repo_url_from_name("u").alias("u3"), base_name("p").alias("b"), stem("p").alias("st"),
                   suffix("p").alias("sf")).first()
-    assert r.s == "scikit-learn_scikit-learn"
-    assert r.u2 == "https://github.com/a/b" and r.u3 == "https://github.com/scikit-learn/scikit-learn"
+    assert r.s == "apache_spark"
+    assert r.u2 == "https://github.com/a/b" and r.u3 == "https://github.com/apache/spark"
     assert (r.b, r.st, r.sf) == ("mod.tar.gz", "mod", "gz")
 
 
