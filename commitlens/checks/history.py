@@ -328,3 +328,36 @@ def commit_info_scan(spark, sf_dir):
     path = scratch_path(spark, "commit_info")
     write_record_lines(commit_info_df(spark, sf_dir), path)
     return read_record_lines(spark, path, RECORD_SCHEMA)
+
+
+# ---- hot keys derived from the driver's tables: one repository, three paths ----------------------
+HOT_WALK = FIXTURE_WALK_ORDER + (("s", True),)
+HOT_CHRON = "commit_time, o, n DESC, p DESC, s DESC"
+HOT_VIEW_SQL = ("SELECT 'https://github.com/org/monorepo' AS repo_url, commit_id, commit_time, "
+                "concat('src/f', CAST(p % 3 AS STRING), '.py') AS file_path, new_blob_id, p, s, n, o FROM v_changes")
+HOT_LIMIT = 5000  # above Spark's WindowGroupLimit threshold: exercises the sliced row number
+
+
+def _hot_changes(spark, sf_dir):
+    c = changes_view(spark, sf_dir)
+    return c.select(F.lit("https://github.com/org/monorepo").alias("repo_url"), "commit_id", "commit_time",
+                    F.concat(F.lit("src/f"), (F.col("p") % 3).cast("string"), F.lit(".py")).alias("file_path"),
+                    "new_blob_id", "p", "s", "n", "o")
+
+
+@register("hot_path_version_pairs", f"""{CH}, hot AS ({HOT_VIEW_SQL})
+SELECT repo_url, commit_id, file_path, new_blob_id, o, n, p, s,
+  lag(new_blob_id) OVER (PARTITION BY repo_url, file_path ORDER BY {HOT_CHRON}) AS old_blob_id FROM hot""")
+def hot_path_version_pairs(spark, sf_dir):
+    """Previous versions when each of three paths holds a third of all changes."""
+    vp = version_pairs(_hot_changes(spark, sf_dir), HOT_WALK)
+    return vp.select("repo_url", "commit_id", "file_path", "new_blob_id", "o", "n", "p", "s", "old_blob_id")
+
+
+@register("hot_repo_first_changes", f"""{CH}, hot AS ({HOT_VIEW_SQL})
+SELECT repo_url, commit_id, file_path, new_blob_id, o, n, p, s FROM hot
+QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY commit_time DESC, o DESC, n, p, s) <= {HOT_LIMIT}""")
+def hot_repo_first_changes(spark, sf_dir):
+    """First records of a repository that holds every change, with a limit above the group-limit threshold."""
+    out = first_n_changes(_hot_changes(spark, sf_dir), HOT_LIMIT, HOT_WALK)
+    return out.select("repo_url", "commit_id", "file_path", "new_blob_id", "o", "n", "p", "s")
