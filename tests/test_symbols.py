@@ -181,5 +181,5 @@ def test_js_destructuring_and_java_interface_constants(spark):
 
 
 def test_python_soft_keywords(spark):
-    text = "match = pattern(s)\ncase: int = 2\nmatch command:\n    case 1:\n        pass\n"
-    assert extract(spark, "python", text) == (["pattern"], ["case", "match"])
+    text = "match = pattern(s)\ncase: int = 2\nmatch command:\n    case 1:\n        pass\nexec(code)\n"
+    assert extract(spark, "python", text) == (["exec", "pattern"], ["case", "match"])
