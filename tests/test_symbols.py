@@ -183,3 +183,10 @@ def test_js_destructuring_and_java_interface_constants(spark):
 def test_python_soft_keywords(spark):
     text = "match = pattern(s)\ncase: int = 2\nmatch command:\n    case 1:\n        pass\nexec(code)\n"
     assert extract(spark, "python", text) == (["exec", "pattern"], ["case", "match"])
+
+
+def test_java_anonymous_class_fields(spark):
+    java = ("class Host {\n  int kept = 1;\n  void run() {\n    int local = 2;\n"
+            "    Runnable r = new Runnable() {\n      int anonField = 3;\n      public void go(int a) { int inner = 4; }\n"
+            "    };\n  }\n}\n")
+    assert extract(spark, "java", java) == ([], ["Host", "a", "anonField", "go", "kept", "run"])
