@@ -26,12 +26,17 @@ def drop_deletions(changes: DataFrame, new_blob_col: str = "new_blob_id") -> Dat
     return changes.where(F.col(new_blob_col).isNotNull())
 
 
+# a list known to hold at most this many rows is small enough to broadcast
+BROADCAST_MAX_ROWS = 100_000
+
+
 def restrict_to_repos(changes: DataFrame, repos: DataFrame, key: str = "repo_url",
                       max_repos: int | None = None) -> DataFrame:
-    """Left semi join to a repository list.  When the list is bounded (``max_repos``,
-    e.g. a top-k result) it is broadcast; otherwise both sides shuffle."""
+    """Left semi join to a repository list.  When the list is bounded by ``max_repos``
+    (e.g. a top-k result) and that bound is small, it is broadcast; otherwise both sides
+    shuffle (and AQE may still broadcast after measuring)."""
     right = repos.select(key)
-    if max_repos is not None:
+    if max_repos is not None and max_repos <= BROADCAST_MAX_ROWS:
         right = F.broadcast(right.limit(max_repos))
     return changes.join(right, key, "left_semi")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .history import BROADCAST_MAX_ROWS
 from .windows import first_n_per_group, global_row_number
 
 
@@ -69,7 +70,7 @@ def co_starred_repos(stars: DataFrame, seed: str | DataFrame, max_users: int | N
     bound it is a shuffled semi join.
     """
     users = stargazers(stars, seed, max_users, order, user_col, name_col)
-    if max_users is not None and max_users >= 0:
+    if max_users is not None and 0 <= max_users <= BROADCAST_MAX_ROWS:
         users = F.broadcast(users)
     picked = stars.join(users, user_col, "left_semi")
     return cap_stars_per_user(picked, max_stars, order, True, user_col)
