@@ -40,15 +40,22 @@ def pending_repos(wanted: DataFrame, done: DataFrame, wanted_col: str = "repo_fu
 
 
 def repo_prefix_match(keys: DataFrame, entries: DataFrame, key_col: str = "key", entry_col: str = "entry",
-                      max_entry_length: int = 512) -> DataFrame:
+                      max_entry_length: int = 512, pick: str = "all") -> DataFrame:
     """Pairs (key, entry) with ``entry.startswith(key)``, as an equi join.
 
     Every entry is expanded to its prefixes (at most ``max_entry_length`` per entry,
     a fixed bound on a folder name) and joined on equality with the keys, so the
-    match is a shuffle join instead of a nested loop over all pairs.
+    match is a shuffle join instead of a nested loop over all pairs.  ``pick="last"``
+    keeps one entry per key, the greatest, like the reference's "last match wins"
+    with a deterministic order instead of directory-scan order.
     """
+    if pick not in ("all", "last"):
+        raise ValueError("pick must be 'all' or 'last'")
     e = entries.select(F.col(entry_col)).distinct()
     lengths = F.sequence(F.lit(1), F.least(F.length(entry_col), F.lit(max_entry_length)))
     prefixes = e.select(entry_col, F.explode(lengths).alias("_len")).select(
         entry_col, F.expr(f"substring({entry_col}, 1, _len)").alias(key_col))
-    return keys.select(key_col).distinct().join(prefixes, key_col, "inner")
+    pairs = keys.select(key_col).distinct().join(prefixes, key_col, "inner")
+    if pick == "last":
+        pairs = pairs.groupBy(key_col).agg(F.max(entry_col).alias(entry_col))
+    return pairs

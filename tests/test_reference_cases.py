@@ -107,3 +107,10 @@ def test_map_rows_skips_empty_elements(spark):
     src = spark.createDataFrame([("a",), ("",), (None,), ("bc",)], "s string")
     out = map_rows(src, lambda prefix, s: prefix + s, "s", "r", "string", prefix=">", s=None)
     assert sorted(r.r for r in out.collect()) == [">a", ">bc"]
+
+
+def test_prefix_match_last_wins(spark):
+    keys = spark.createDataFrame([("a_b",), ("zz",)], "key string")
+    entries = spark.createDataFrame([("a_b_1",), ("a_b_2",), ("a_bc_9",), ("c",)], "entry string")
+    got = {(r.key, r.entry) for r in repo_prefix_match(keys, entries, pick="last").collect()}
+    assert got == {("a_b", "a_bc_9")}  # prefix mode also matches a_bc (the reference's quirk)
