@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..session import scratch_path
 from ..sources.tables import load_table
@@ -50,3 +51,24 @@ def tasks(df: DataFrame) -> int:
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than the six ASCII white-space characters (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def text_key(text: Column) -> Column:
+    """With doc_id, the identity of a row: rows that agree in both are repeats."""
+    return F.xxhash64(text)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", times: str | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose (doc_id, text key) is in ``kept(_id, _key)``; one of each,
+    or as many of each as the column ``times`` of ``kept`` says.  The pairs of ``kept`` are distinct.
+
+    The ranking shares the join's partitioning, and only the first row of each key is ever kept back.
+    """
+    named = kept.select(F.col("_id").alias("_llm_id"), F.col("_key").alias("_llm_key"), *([F.col(times).alias("_llm_times")] if times else []))
+    marked = docs.withColumn("_llm_row", text_key(F.col(text_col)))
+    found = marked.join(named, same(F.col(id_col), F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_key")), "inner" if times else "left_semi")
+    once = Window.partitionBy(id_col, "_llm_row").orderBy("_llm_row")
+    rows = found.withColumn("_llm_no", F.row_number().over(once)).filter("_llm_no = 1")
+    if times:
+        rows = rows.withColumn("_llm_no", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
