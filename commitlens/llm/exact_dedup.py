@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import documents, materialize, register
+from .common import documents, keep_rows, materialize, register, same, text_key
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 #: distinct digests a filter shard is sized for
@@ -51,22 +51,23 @@ def normalised(text: Column) -> Column:
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_points (code points of the original text), sha (binary SHA-256 of the normalised text)."""
+    """doc_id, n_points (code points of the original text), key_of_text, sha (SHA-256 of the normalised text)."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).cast(pa.binary())
             sha = [hashlib.sha256((t.as_py() or b"").translate(None, WHITE_SPACE)).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.binary())],
-                                             ["doc_id", "n_points", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(sha, pa.binary())],
+                                             ["doc_id", "n_points", "key_of_text", "sha"])
 
     points = F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("long")
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), points.alias("n_points"), F.col(text_col).alias("text"))
-            .mapInArrow(digest, "doc_id long, n_points long, sha binary"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), points.alias("n_points"), F.col(text_col).alias("text"),
+                        text_key(F.col(text_col)).alias("key_of_text"))
+            .mapInArrow(digest, "doc_id long, n_points long, key_of_text long, sha binary"))
 
 
 def group_digests(rows: DataFrame) -> DataFrame:
-    """One row per digest: n rows, and ``best`` = (-code points, doc_id missing, doc_id) of the row that stays."""
-    best = F.min(F.struct((-F.col("n_points")).alias("neg_points"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    """One row per digest: n rows, and ``best`` = (-code points, doc_id missing, doc_id, text key) of the row that stays."""
+    best = F.min(F.struct((-F.col("n_points")).alias("neg_points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_of_text"))
     return (rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
             .withColumn("key", F.xxhash64("sha")))
 
@@ -130,7 +131,7 @@ def byte_checked(groups: DataFrame, rows: DataFrame, docs: DataFrame, id_col: st
     members = (rows.join(groups.filter("n > 1").select("sha"), "sha", "left_semi")
                .select("doc_id", "sha").distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    found = (members.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = (members.join(texts, same(F.col("doc_id"), F.col("_id")))
              .filter(F.unhex(F.sha2("_norm", 256)) == F.col("sha")))  # a repeated doc_id may have other texts too
     checked = found.groupBy("sha").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi")) \
         .select("sha", (F.col("lo") == F.col("hi")).alias("equal"))
@@ -140,37 +141,25 @@ def byte_checked(groups: DataFrame, rows: DataFrame, docs: DataFrame, id_col: st
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, sha (binary).
+    """One row per input row: doc_id, key_of_text, keep_id, group_size, kept, sha (binary).
 
     Batches are dealt by a hash of doc_id; all rows of all batches are deduplicated together.
     """
-    rows = materialize(
-        digest_rows(docs, id_col, text_col).groupBy("doc_id", "sha", "n_points").agg(F.count(F.lit(1)).alias("copies")), "digests")
+    ids = ["doc_id", "key_of_text", "sha", "n_points"]
+    rows = materialize(digest_rows(docs, id_col, text_col).groupBy(*ids).agg(F.count(F.lit(1)).alias("copies")), "digests")
     singles = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    groups = dedup_groups(singles, batch, batches)
+    groups = dedup_groups(singles, F.pmod(F.xxhash64("doc_id"), F.lit(batches)), batches)
     checked = byte_checked(materialize(groups, "groups"), rows, docs, id_col, text_col)
-    stays = (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_points") == -F.col("best.neg_points"))
+    stays = (same(F.col("doc_id"), F.col("best.doc_id")) & (F.col("key_of_text") == F.col("best.key_of_text"))
              & (F.col("copy") == 1))
     return (singles.join(checked.select("sha", F.col("n").alias("group_size"), "best"), "sha")
-            .select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), "sha"))
+            .select("doc_id", "key_of_text", F.col("best.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), "sha"))
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha"))
-    sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    marked = docs.withColumn("_sha", sha)
-    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return _one_row_each(out.drop("_sha"), id_col)
-
-
-def _one_row_each(docs: DataFrame, id_col: str) -> DataFrame:
-    """Drop the repeats among rows of one doc_id (their texts are equal here); other rows don't move."""
-    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(F.col(id_col).alias("_rep"))
-    on = F.col(id_col).eqNullSafe(F.col("_rep"))
-    once = docs.join(repeated, on, "left_semi").dropDuplicates([id_col])
-    return docs.join(repeated, on, "left_anti").unionByName(once)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept")
+    return keep_rows(docs, kept.select(F.col("doc_id").alias("_id"), F.col("key_of_text").alias("_key")), id_col, text_col)
 
 
 @register("op10_exact_dedup", r"""

@@ -1,6 +1,6 @@
 """Imports every operator module, so that its query (and SQL) is registered."""
 
-from . import exact_dedup  # noqa: F401
+from . import exact_dedup, langid, mixing, sharding, simhash  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
