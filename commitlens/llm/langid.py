@@ -163,10 +163,10 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
 
 def detect(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, key_of_text, held_out, lang_pred, score, accepted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = None if shared.value is None else Model(*shared.value)
         for b in batches:
             said = [predict_text(m, t.as_py()) if m is not None and ok.as_py() else (UNDETERMINED, 0.0)
                     for t, ok in zip(b.column(4).cast(pa.binary()), b.column(3))]

@@ -25,7 +25,7 @@ MEMO_LENGTH, MEMO_SIZE = 48, 600_000
 
 
 #: stands for the token before a start, a cut or an uncovered character
-ALONE = -1 << 40
+ALONE = -1 << 60
 
 
 class Vocabulary(NamedTuple):
@@ -63,6 +63,17 @@ def from_proto(model) -> Vocabulary:
                       min(s for _, s in normal.values()) - 10.0, spec.add_dummy_prefix, raw)
 
 
+def _trie(ids: dict[str, int]) -> dict:
+    """Nested dicts by character; the id of a piece stands under ''."""
+    root: dict = {}
+    for piece, i in ids.items():
+        node = root
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[""] = i
+    return root
+
+
 class Lattice:
     """Paths over a text.  Tokens are piece ids, or -1 - code point for an uncovered character."""
 
@@ -71,13 +82,12 @@ class Lattice:
         self.ids = {p: i for p, (i, _) in vocabulary.pieces.items()}
         self.score = {i: s for i, s in vocabulary.pieces.values()}
         self.text_of = {i: p for p, i in self.ids.items()}
-        #: every beginning of a piece: the piece's id, or -1 where it is none itself
-        self.heads = {p[:k]: self.ids.get(p[:k], -1) for p in self.ids for k in range(1, len(p) + 1)}
+        self.trie = _trie(self.ids)
         self.inner = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
         self.bpe = vocabulary.algorithm == "bpe"
         self.spaces_cut = not any(pair[1] == SPACE != pair[0] for pair in self.inner)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._memo: dict[str, bytes] = {}
 
     # -- which pieces may follow each other
@@ -98,7 +108,7 @@ class Lattice:
 
     def fits(self, a: int | None, b: int) -> bool:
         """Whether token b may follow token a (None: the start or a cut)."""
-        key = (ALONE if a is None or a < 0 else a, b)
+        key = (ALONE if a is None or a < 0 else a << 32) + b
         found = self._fits.get(key)
         if found is None:
             if b < 0:
@@ -116,15 +126,17 @@ class Lattice:
 
     def arcs(self, text: str, i: int) -> list[tuple[int, int]]:
         """(end, token) of the pieces that start at i, shortest first."""
-        heads = self.heads
-        token = heads.get(text[i], -1)
-        out = [(i + 1, token if token >= 0 else -1 - ord(text[i]))]
-        for j in range(i + 2, min(len(text), i + self.longest) + 1):
-            token = heads.get(text[i:j])
-            if token is None:
+        node, j, out = self.trie, i, []
+        for c in text[i:i + self.longest]:
+            node = node.get(c)
+            if node is None:
                 break
-            if token >= 0:
+            j += 1
+            token = node.get("")
+            if token is not None:
                 out.append((j, token))
+        if not out or out[0][0] != i + 1:
+            out.insert(0, (i + 1, -1 - ord(text[i])))
         return out
 
     def forward(self, text: str, start: int, token: int | None, stop: int) -> dict:
@@ -186,11 +198,10 @@ class Lattice:
         stack, path = [(0, arcs(text, 0))], [ALONE]
         while True:
             a, open_arcs = path[-1], stack[-1][1]
-            if a < 0:
-                a = ALONE
+            key = a << 32 if a >= 0 else ALONE
             while open_arcs:
                 j, t = open_arcs.pop()
-                ok = fits.get((a, t))
+                ok = fits.get(key + t)
                 if ok is None:
                     ok = self.fits(a, t)
                 if ok and (j, t) not in dead:
