@@ -1,6 +1,6 @@
 """Imports every operator module, so that its query (and SQL) is registered."""
 
-from . import exact_dedup, langid, mixing, sentencepiece, sharding, simhash, token_rollups, warc  # noqa: F401
+from . import exact_dedup, langid, lm_score, mixing, sentencepiece, sharding, simhash, token_rollups, warc  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
