@@ -137,7 +137,8 @@ class Block:
         self.place = np.arange(len(self.hash)) - np.repeat(starts, self.lengths)
         self.own = self.place >= np.repeat(self.context, self.lengths)
         self.grams = {1: self.hash}
-        self.counts: dict[int, np.ndarray] = {}
+        #: totals at each word; an order that was not asked for anywhere has none
+        self.counts: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(self.hash), dtype=np.int64))
 
     def gram(self, n: int) -> np.ndarray:
         """At each word, the hash of the n words that end there (of no use near the start of a document)."""

@@ -44,8 +44,9 @@ def signed(changes: DataFrame) -> DataFrame:
     once = changes.select("change_id", "before", "after").dropDuplicates(["change_id"])
     sides = F.array(F.struct(F.lit(-1).alias("sign"), F.col("before").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("after").alias("s")))
     rows = once.select(F.explode(sides).alias("side")).select("side.sign", "side.s").filter(F.col("s").isNotNull())
+    tokens, n_bytes = F.coalesce("s.tokens", F.lit(0)), F.coalesce("s.bytes", F.lit(0))
     return rows.select("s.source", "s.lang", "s.version", F.col("sign").cast("long").alias("n_docs"),
-                       (F.col("sign") * F.col("s.tokens")).alias("n_tokens"), (F.col("sign") * F.col("s.bytes")).alias("n_bytes"))
+                       (F.col("sign") * tokens).cast("long").alias("n_tokens"), (F.col("sign") * n_bytes).cast("long").alias("n_bytes"))
 
 
 def add_up(rows: DataFrame) -> DataFrame:

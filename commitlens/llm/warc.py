@@ -60,7 +60,8 @@ def digest(data: Column) -> Column:
 def record_id(kind: str, source: Column) -> Column:
     """A record id that is a function of the kind of record and its source."""
     h = F.md5(F.concat(F.lit(f"{kind}|"), source).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    parts = F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.when(source.isNotNull(), F.concat(F.lit("<urn:uuid:"), parts, F.lit(">")))
 
 
 def _numeric(text: Column) -> Column:
