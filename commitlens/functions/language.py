@@ -129,7 +129,7 @@ def extension(path: str | Column) -> Column:
 
 
 def _shebang_language(text: Column) -> Column:
-    first = F.substring_index(F.substring(text, 1, 256), "\n", 1)
+    first = F.substring_index(text, "\n", 1)
     prog = F.regexp_extract(first, r"^#!\s*\S*/([^/\s]+)", 1)
     env_arg = F.regexp_extract(first, r"^#!\s*\S*/env\s+(?:-\S+\s+)*([^\s]+)", 1)
     interp = F.when(prog == F.lit("env"), env_arg).otherwise(prog)
@@ -147,12 +147,12 @@ def detected_language(path: str | Column, text: str | Column | None = None) -> C
 
 
 def file_type(path: str | Column, text: str | Column | None = None, binary: str | Column | None = None) -> Column:
-    """``Image``, ``Binary`` (a NUL byte in the first 8,000 bytes) or ``Text``."""
+    """``Image``, ``Binary`` (a NUL anywhere) or ``Text``."""
     is_image = extension(path).isin(*IMAGE_EXTENSIONS)
     if binary is not None:
-        has_nul = F.instr(F.decode(F.substring(_col(binary), 1, 8000), "ISO-8859-1"), "\u0000") > 0
+        has_nul = F.contains(_col(binary), F.lit(b"\x00"))
     elif text is not None:
-        has_nul = F.instr(F.substring(_col(text), 1, 8000), "\u0000") > 0
+        has_nul = F.contains(_col(text), F.lit("\u0000"))
     else:
         has_nul = F.lit(False)
     return F.when(is_image, "Image").when(F.coalesce(has_nul, F.lit(False)), "Binary").otherwise("Text")
@@ -174,7 +174,7 @@ def blob_language_facts(text: str | Column) -> list[Column]:
     """Per-blob facts the classifier needs, as narrow columns: ``_has_nul``, ``_shebang_lang``."""
     t = _col(text)
     return [
-        F.coalesce(F.instr(F.substring(t, 1, 8000), "\u0000") > 0, F.lit(False)).alias("_has_nul"),
+        F.coalesce(F.contains(t, F.lit("\u0000")), F.lit(False)).alias("_has_nul"),
         _shebang_language(t).alias("_shebang_lang"),
     ]
 

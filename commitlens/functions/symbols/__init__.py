@@ -24,7 +24,7 @@ def check_kinds(kinds: Sequence[str]) -> list[str]:
     out = []
     for k in kinds:
         if k not in KINDS:
-            raise ValueError(f"{k} not in prepared queries.\nChoose one of {', '.join(KINDS)}")
+            raise ValueError(f"unknown symbol kind {k!r}; known kinds: {', '.join(KINDS)}")
         out.append(k)
     return out
 
@@ -43,17 +43,17 @@ def add_symbol_columns(df: DataFrame, lang_col: str = "programming_language", te
     )
     stage2 = stage1.select(
         "*",
-        python.collapse_brackets(F.col("_py")).alias("_pyb"),
+        python.open_params(F.col("_py")).alias("_pyo"),
         java.declarations_view(F.col("_jv")).alias("_jvd"),
         javascript.blank_strings(F.col("_js")).alias("_jsn"),
     )
-    stage3 = stage2.select("*", java.type_bodies_view(F.col("_jvd")).alias("_jvt"))
+    stage3 = stage2.select("*", java.type_bodies_view(F.col("_jvd")).alias("_jvt"), python.close_params(F.col("_pyo")).alias("_pyb"))
     rules = {
         "imports": F.coalesce(python.imports(F.col("_py")), java.imports(F.col("_jv")),
                               javascript.imports(F.col("_js"), F.col("_jsn")), empty()),
-        "variables": F.coalesce(python.variables(F.col("_py"), F.col("_pyb")),
+        "variables": F.coalesce(python.variables(F.col("_py"), F.col("_pyo"), F.col("_pyb")),
                                 java.variables(F.col("_jv"), F.col("_jvd"), F.col("_jvt")),
                                 javascript.variables(F.col("_js"), F.col("_jsn")), empty()),
     }
     out = stage3.select("*", *[rules[k].alias(k) for k in kinds])
-    return out.drop("_py", "_jv", "_js", "_pyb", "_jvd", "_jsn", "_jvt")
+    return out.drop("_py", "_jv", "_js", "_pyo", "_pyb", "_jvd", "_jsn", "_jvt")

@@ -142,7 +142,7 @@ def test_other_languages_are_empty(spark):
 
 
 def test_unknown_kind():
-    with pytest.raises(ValueError, match="Choose one of imports, variables"):
+    with pytest.raises(ValueError, match="known kinds: imports, variables"):
         check_kinds(["imports", "functions"])
 
 
