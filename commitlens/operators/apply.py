@@ -7,9 +7,10 @@
   with ``groupBy().applyInPandas``; the group arrives as an iterator of Arrow
   batches, so a huge repository streams through the function instead of being
   materialised as one pandas frame.
-* ``apply_status``: the same with failure isolation: each group yields its rows
-  and one status row; an exception becomes ``status = 'failed'`` with the message
+* ``apply_isolated``: the same with failure isolation, in one pass: the records a
+  repository gave before its error are kept, and its status row says what went wrong
   instead of failing the job.
+* ``apply_status``: the status rows alone.
 * ``cogroup_apply``: two inputs co-grouped per repository.
 """
 
@@ -21,6 +22,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import materialise
 
 
 OUTPUT_CHUNK_ROWS = 10_000
@@ -63,7 +67,7 @@ def map_rows(df: DataFrame, fn: Callable, value_col: str, out_col: str, out_type
 def apply_per_repo(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str, key: str = "repo_url",
                    *args) -> DataFrame:
     """``fn(key_value, frames, *args)`` for every repository; ``frames`` iterates pandas batches."""
-    out_cols = [f.split()[0] for f in schema.split(",")]
+    out_cols = T.StructType.fromDDL(schema).names
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk: list = []
@@ -78,23 +82,52 @@ def apply_per_repo(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-STATUS_SCHEMA = "repo_url string, status string, error string, n_rows long"
+STATUS = T.StructType().add("status", "string").add("error", "string").add("n_rows", "long")
 
 
-def apply_status(df: DataFrame, fn: Callable[..., Iterable[dict]], key: str = "repo_url", *args) -> DataFrame:
-    """One status row per repository: ``ok`` with the number of records ``fn`` produced,
-    or ``failed`` with the error text (a failing repository never fails the job)."""
+def _one_pass(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: T.StructType, key: str, args: tuple, keep: bool) -> DataFrame:
+    """(key, record columns, status columns): the records of each repository, then its status row."""
+    key_type = df.schema[key].dataType
+    names = [f"_{f.name}" for f in schema] if keep else []
+    out = T.StructType([T.StructField("_key", key_type), *[T.StructField(f"_{f.name}", f.dataType) for f in schema if keep], *STATUS])
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, status, err = 0, "ok", None
+        n, status, err, chunk = 0, "ok", None, []
+
+        def frame(rows: list[dict]) -> pd.DataFrame:
+            return pd.DataFrame([{"_key": keys[0], **r} for r in rows], columns=out.names).astype(object)
+
         try:
-            for _ in fn(keys[0], frames, *args):
+            for rec in fn(keys[0], frames, *args):
                 n += 1
+                if keep:
+                    chunk.append({f"_{k}": v for k, v in rec.items() if f"_{k}" in names})
+                if len(chunk) >= OUTPUT_CHUNK_ROWS:
+                    full, chunk = frame(chunk), []
+                    yield full
         except Exception as e:  # noqa: BLE001 - isolation is the feature
             status, err = "failed", f"{type(e).__name__}: {e}"
-        yield pd.DataFrame([{"repo_url": keys[0], "status": status, "error": err, "n_rows": n}])
+        yield frame([*chunk, {"status": status, "error": err, "n_rows": n}])
+
+    return df.groupBy(key).applyInPandas(run, out)
 
-    return df.groupBy(key).applyInPandas(run, STATUS_SCHEMA)
+
+def apply_isolated(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str, key: str = "repo_url", *args) -> tuple[DataFrame, DataFrame]:
+    """(records, status) of ``fn(key_value, frames, *args)`` per repository; ``fn`` runs once.
+
+    A repository whose ``fn`` fails keeps the records it gave before; its status row has ``failed``, the error
+    and their number.  Records are the columns of ``schema``; status rows are (key, status, error, n_rows).
+    """
+    fields = T.StructType.fromDDL(schema)
+    both = materialise(_one_pass(df, fn, fields, key, args, True), "isolated")
+    records = both.where("status IS NULL").select(*[F.col(f"_{f.name}").alias(f.name) for f in fields])
+    return records, both.where("status IS NOT NULL").select(F.col("_key").alias(key), *STATUS.names)
+
+
+def apply_status(df: DataFrame, fn: Callable[..., Iterable[dict]], key: str = "repo_url", *args) -> DataFrame:
+    """One status row per repository: ``ok`` or ``failed`` with the error text, and the number of records
+    ``fn`` produced (a failing repository never fails the job)."""
+    return _one_pass(df, fn, T.StructType(), key, args, False).select(F.col("_key").alias(key), *STATUS.names)
 
 
 def cogroup_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],

@@ -27,8 +27,8 @@ def resume_from_batch(batched: DataFrame, start_batch: int, name: str = "batch_i
 
 
 def write_batches(batched: DataFrame, path: str, name: str = "batch_id") -> None:
-    """Append, partitioned by batch: a finished batch is a complete folder."""
-    batched.write.mode("append").partitionBy(name).parquet(path)
+    """One folder per batch; a batch that is written again replaces its folder, other batches stay."""
+    batched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
 def pending_repos(wanted: DataFrame, done: DataFrame, wanted_col: str = "repo_full_name",
@@ -40,11 +40,11 @@ def pending_repos(wanted: DataFrame, done: DataFrame, wanted_col: str = "repo_fu
 
 
 def repo_prefix_match(keys: DataFrame, entries: DataFrame, key_col: str = "key", entry_col: str = "entry",
-                      max_entry_length: int = 512, pick: str = "all") -> DataFrame:
+                      pick: str = "all") -> DataFrame:
     """Pairs (key, entry) with ``entry.startswith(key)``, as an equi join.
 
-    Every entry is expanded to its prefixes (at most ``max_entry_length`` per entry,
-    a fixed bound on a folder name) and joined on equality with the keys, so the
+    Every entry is expanded to its prefixes of the lengths that keys have (the distinct
+    lengths are read first: a handful of numbers) and joined on equality with the keys, so the
     match is a shuffle join instead of a nested loop over all pairs.  ``pick="last"``
     keeps one entry per key, the greatest, like the reference's "last match wins"
     with a deterministic order instead of directory-scan order.
@@ -52,9 +52,10 @@ def repo_prefix_match(keys: DataFrame, entries: DataFrame, key_col: str = "key",
     if pick not in ("all", "last"):
         raise ValueError("pick must be 'all' or 'last'")
     e = entries.select(F.col(entry_col)).distinct()
-    lengths = F.sequence(F.lit(1), F.least(F.length(entry_col), F.lit(max_entry_length)))
-    prefixes = e.select(entry_col, F.explode(lengths).alias("_len")).select(
-        entry_col, F.expr(f"substring({entry_col}, 1, _len)").alias(key_col))
+    found = keys.select(F.length(key_col).alias("n")).where("n IS NOT NULL").distinct().collect()
+    lengths = F.array(*[F.lit(r["n"]) for r in sorted(found)]).cast("array<int>")
+    prefixes = e.select(entry_col, F.explode(F.filter(lengths, lambda n: n <= F.length(entry_col))).alias("_len")).select(
+        entry_col, F.substring(F.col(entry_col), F.lit(1), F.col("_len")).alias(key_col))
     pairs = keys.select(key_col).distinct().join(prefixes, key_col, "inner")
     if pick == "last":
         pairs = pairs.groupBy(key_col).agg(F.max(entry_col).alias(entry_col))

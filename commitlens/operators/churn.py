@@ -4,9 +4,9 @@ Two forms:
 
 * ``line_diff_counts`` -- set-based, JVM only: each version becomes a multiset of
   line hashes, the two multisets are subtracted per pair.  Exact whenever line
-  order does not matter (a pure move counts 0/0 instead of 1/1).  Work is keyed by
-  (pair, line) with map-side pre-aggregation, so a huge file or a hot blob is
-  spread over tasks.
+  order does not matter (a pure move counts 0/0 instead of 1/1).  Only the texts of
+  asked ids move, as line hashes, added up per blob before they meet the pairs; joins
+  are left to the planner, which splits a blob that is in very many pairs.
 * ``line_diff_counts_seq`` -- exact sequence diff with the standard library's
   ``difflib`` in ``mapInPandas`` after de-duplicating (new, old) pairs.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
-from .parallel import spread, spread_join_side
+from .parallel import spread
 
 ADDED = "added_lines_num"
 DELETED = "deleted_lines_num"
@@ -34,36 +34,31 @@ def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blo
                      id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
     """Per distinct (new, old) pair: ``added_lines_num``, ``deleted_lines_num`` (set-based).
 
-    A pair without an old side is a new file: (line count, 0).  Equal ids: (0, 0).
+    A pair without an old side is a new file: (line count, 0).  Equal ids: (0, 0).  A pair that names an object
+    that ``texts`` lacks has no row.  Ids of ``texts`` are unique.
     """
     p = pairs.select(new_col, old_col).where(F.col(new_col).isNotNull()).dropDuplicates()
     mod = p.where(F.col(old_col).isNotNull() & (F.col(new_col) != F.col(old_col)))
     roles = (mod.select(F.col(new_col).alias("_id"), new_col, old_col, F.lit(1).alias("_s"))
              .unionByName(mod.select(F.col(old_col).alias("_id"), new_col, old_col, F.lit(-1).alias("_s"))))
-    ids = p.select(F.col(new_col).alias(id_col)).unionByName(mod.select(F.col(old_col).alias(id_col)))
-    # line splitting and hashing is CPU-bound per byte: the text side carries an explicit
-    # partition count; line rows stay partitioned by blob id, so joining them to their
-    # (pair, sign) roles does not shuffle them again
-    # (an inner join with the distinct ids, not a semi join: Catalyst pushes semi joins
-    # below a repartition, which then disappears as redundant)
-    needed = spread_join_side(texts.select(id_col, text_col), id_col).join(ids.distinct(), id_col, "inner")
-    lines = (needed.select(F.col(id_col).alias("_id"), F.explode(split_lines(text_col)).alias("_line"))
-             .select("_id", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2")))
-    per_line = (lines.join(roles, "_id")
-                .groupBy(new_col, old_col, "_h1", "_h2").agg(F.sum("_s").alias("_d")))
+    ids = p.select(F.col(new_col).alias("_id")).unionByName(mod.select(F.col(old_col).alias("_id"))).distinct()
+    # the ids are narrow: the planner broadcasts them if they measure small, and text that is not asked for stays where it is
+    asked = texts.select(F.col(id_col).alias("_id"), split_lines(text_col).alias("_lines")).join(ids, "_id", "inner")
+    hashed = spread(asked.select("_id", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("_h1"), F.hash(x).alias("_h2"))).alias("_l")), "_id")
+    sizes = hashed.select("_id", F.size("_l").cast("int").alias("_n"))
+    # a line counts once per blob and content, however many pairs the blob is in
+    lines = hashed.select("_id", F.explode("_l").alias("_l")).groupBy("_id", "_l").agg(F.count(F.lit(1)).alias("_c"))
+    per_line = lines.join(roles, "_id").groupBy(new_col, old_col, "_l").agg(F.sum(F.col("_s") * F.col("_c")).alias("_d"))
     per_pair = per_line.groupBy(new_col, old_col).agg(
         F.sum(F.greatest(F.col("_d"), F.lit(0))).cast("int").alias(ADDED),
         F.sum(F.greatest(-F.col("_d"), F.lit(0))).cast("int").alias(DELETED))
-    modified = (mod.join(per_pair, [new_col, old_col], "left")
-                .select(new_col, old_col, F.coalesce(ADDED, F.lit(0)).alias(ADDED),
-                        F.coalesce(DELETED, F.lit(0)).alias(DELETED)))
-    counts = lines.groupBy("_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    new_files = (p.where(F.col(old_col).isNull())
-                 .join(counts, F.col(new_col) == F.col("_id"), "left")
-                 .select(new_col, old_col, F.coalesce("_n", F.lit(0)).alias(ADDED), F.lit(0).alias(DELETED)))
-    same = p.where(F.col(new_col) == F.col(old_col)).select(new_col, old_col, F.lit(0).alias(ADDED),
-                                                           F.lit(0).alias(DELETED))
-    return modified.unionByName(new_files).unionByName(same)
+    new_known, old_known = sizes.select(F.col("_id").alias(new_col), "_n"), sizes.select(F.col("_id").alias(old_col))
+    modified = (mod.join(new_known.drop("_n"), new_col, "left_semi").join(old_known, old_col, "left_semi")
+                .join(per_pair, [new_col, old_col], "left")
+                .select(new_col, old_col, F.coalesce(ADDED, F.lit(0)).alias(ADDED), F.coalesce(DELETED, F.lit(0)).alias(DELETED)))
+    whole = (p.where(F.col(old_col).isNull() | (F.col(new_col) == F.col(old_col))).join(new_known, new_col)
+             .select(new_col, old_col, F.when(F.col(old_col).isNull(), F.col("_n")).otherwise(0).cast("int").alias(ADDED), F.lit(0).alias(DELETED)))
+    return modified.unionByName(whole)
 
 
 def sequence_diff_counts(old: str | None, new: str, skip_marker_lines: bool = True) -> tuple[int, int]:

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import blob_language_facts, language_from_facts, programming_language
+from ..functions.language import (IMAGE_EXTENSIONS, blob_language_facts, extension, is_vendored,
+                                  language_from_facts, programming_language)
 
 DEFAULT_SUPPORTED = ("python", "java", "javascript")
 
@@ -23,8 +24,11 @@ def classify_changes(changes: DataFrame, blobs: DataFrame, path_col: str = "file
                      blob_col: str = "new_blob_id", id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
     """Classify changes using their blob content, computing content facts once per blob, before the shuffle.
 
+    Paths that settle the matter (vendored, images) go first, so their content is not looked at.
+
     Inner join on the blob: a change whose object is missing is dropped (only that row).
     """
+    changes = changes.where(~is_vendored(path_col) & ~F.coalesce(extension(path_col).isin(*IMAGE_EXTENSIONS), F.lit(False)))
     ids = changes.select(F.col(blob_col).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
     # facts are computed where the blob is read (map side), so only narrow columns shuffle
     facts = (blobs.select(F.col(id_col), *blob_language_facts(text_col))

@@ -26,25 +26,22 @@ def drop_deletions(changes: DataFrame, new_blob_col: str = "new_blob_id") -> Dat
     return changes.where(F.col(new_blob_col).isNotNull())
 
 
-# a list known to hold at most this many rows is small enough to broadcast
-BROADCAST_MAX_ROWS = 100_000
+def walk_order(changes: DataFrame, order: Order = DEFAULT_WALK_ORDER) -> Order:
+    """``order`` made total for merges: a change has one row per parent where ``parent_index`` is given."""
+    if "parent_index" in changes.columns and all(c != "parent_index" for c, _ in order):
+        return (*order, ("parent_index", True))
+    return order
 
 
-def restrict_to_repos(changes: DataFrame, repos: DataFrame, key: str = "repo_url",
-                      max_repos: int | None = None) -> DataFrame:
-    """Left semi join to a repository list.  When the list is bounded by ``max_repos``
-    (e.g. a top-k result) and that bound is small, it is broadcast; otherwise both sides
-    shuffle (and AQE may still broadcast after measuring)."""
-    right = repos.select(key)
-    if max_repos is not None and max_repos <= BROADCAST_MAX_ROWS:
-        right = F.broadcast(right.limit(max_repos))
-    return changes.join(right, key, "left_semi")
+def restrict_to_repos(changes: DataFrame, repos: DataFrame, key: str = "repo_url") -> DataFrame:
+    """Left semi join to a repository list of any length; the planner broadcasts the list if it measures small."""
+    return changes.join(repos.select(key), key, "left_semi")
 
 
 def first_n_changes(changes: DataFrame, n: int | None, order: Order = DEFAULT_WALK_ORDER,
                     repo_col: str = "repo_url") -> DataFrame:
     """First ``n`` change records per repository in walk order (W1); ``n`` < 0 keeps all."""
-    return first_n_per_group(changes, [repo_col], order, n)
+    return first_n_per_group(changes, [repo_col], walk_order(changes, order), n)
 
 
 def newest_commits(changes: DataFrame, n: int | None, commit_order: Order,
@@ -60,7 +57,7 @@ def latest_file_version(changes: DataFrame, order: Order = DEFAULT_WALK_ORDER,
                         keys: Sequence[str] = ("repo_url", "file_path"),
                         new_blob_col: str = "new_blob_id") -> DataFrame:
     """Newest surviving version of every path (W2): deletions dropped, then first per key."""
-    return latest_per_key(drop_deletions(changes, new_blob_col), list(keys), order)
+    return latest_per_key(drop_deletions(changes, new_blob_col), list(keys), walk_order(changes, order))
 
 
 def version_pairs(changes: DataFrame, order: Order = DEFAULT_WALK_ORDER,
@@ -71,4 +68,4 @@ def version_pairs(changes: DataFrame, order: Order = DEFAULT_WALK_ORDER,
     Uses the skew-safe lag, so a path changed in a third of all commits is still
     spread over many tasks.  A deletion is a version with a null blob.
     """
-    return lag_over_group(changes, list(keys), reverse_order(order), [new_blob_col], [old_blob_col])
+    return lag_over_group(changes, list(keys), reverse_order(walk_order(changes, order)), [new_blob_col], [old_blob_col])

@@ -2,9 +2,8 @@
 
 Adaptive execution merges small shuffle partitions by *bytes*; for CPU-bound
 steps (regex extraction, sequence diffs, line hashing) a few megabytes of text can
-be minutes of work, so those steps hash-partition their narrow keys to an explicit
-count first.  An explicit count is never coalesced, and the join that follows
-reuses the partitioning, so this adds no shuffle of the wide column.
+be minutes of work, so the rows that survived all filters and joins are hash-partitioned
+to an explicit count, which is never coalesced.
 """
 
 from __future__ import annotations
@@ -24,13 +23,3 @@ def cpu_partitions(df: DataFrame) -> int:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cpu_partitions(df), *keys)
-
-
-def spread_join_side(df: DataFrame, *keys: str) -> DataFrame:
-    """The wide side of an equi join on ``keys``, pre-partitioned to the explicit count.
-
-    The join reuses this partitioning (no second shuffle of the wide column), its stage
-    cannot be coalesced, and the ``shuffle_merge`` hint keeps adaptive execution from
-    turning it into a broadcast join read locally by only a few map-side tasks.
-    """
-    return spread(df, *keys).hint("shuffle_merge")

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .history import BROADCAST_MAX_ROWS
-from .windows import first_n_per_group, global_row_number
+from .windows import first_n_per_group
 
 
 def star_counts(stars: DataFrame, name_col: str = "repo_full_name") -> DataFrame:
@@ -16,22 +15,17 @@ def star_counts(stars: DataFrame, name_col: str = "repo_full_name") -> DataFrame
     return stars.groupBy(name_col).agg(F.count(F.lit(1)).alias("stars"))
 
 
-# above this many rows a per-task top-k heap is no longer small: rank with a distributed sort
-TOPK_IN_MEMORY = 100_000
-
-
-def top_repos(stars: DataFrame, n: int = 100, name_col: str = "repo_full_name") -> DataFrame:
+def top_repos(stars: DataFrame, n: int = 100, name_col: str = "repo_full_name", seq_col: str | None = None) -> DataFrame:
     """The ``n`` most starred repositories; ties broken by name (a total order).
 
-    For ``n`` up to ``TOPK_IN_MEMORY``, ``orderBy().limit(n)`` plans as
-    ``TakeOrderedAndProject``: every task keeps its own top ``n`` and only those are
-    merged.  Larger ``n`` uses the distributed global row number instead.
+    ``orderBy().limit(n)``: every task keeps its own top ``n`` and only those are merged; for an ``n``
+    that is large itself Spark sorts in a distributed way.  With ``seq_col`` ties go to the name seen first
+    (smallest sequence number), then to the name.
     """
-    counts = star_counts(stars, name_col)
-    if n <= TOPK_IN_MEMORY:
-        return counts.orderBy(F.col("stars").desc(), F.col(name_col).asc()).limit(n)
-    ranked = global_row_number(counts, (("stars", False), (name_col, True)), "_rank")
-    return ranked.where(F.col("_rank") <= F.lit(n)).drop("_rank")
+    if seq_col is None:
+        return star_counts(stars, name_col).orderBy(F.col("stars").desc(), F.col(name_col).asc()).limit(n)
+    counts = stars.groupBy(name_col).agg(F.count(F.lit(1)).alias("stars"), F.min(seq_col).alias("_first"))
+    return counts.orderBy(F.col("stars").desc(), F.col("_first").asc(), F.col(name_col).asc()).limit(n).drop("_first")
 
 
 def _chron(order: Sequence[str], newest_first: bool) -> list[Column]:
@@ -54,10 +48,9 @@ def stargazers(stars: DataFrame, seed: str | DataFrame, max_users: int | None,
     else:
         seed_stars = stars.join(seed.select(name_col), name_col, "left_semi")
     first = seed_stars.groupBy(user_col).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
-    ranked = first.orderBy(F.col("_first").asc(), F.col(user_col).asc())
-    if max_users is not None and max_users >= 0:
-        ranked = ranked.limit(max_users)
-    return ranked.select(user_col)
+    if max_users is None or max_users < 0:
+        return first.select(user_col)
+    return first.orderBy(F.col("_first").asc(), F.col(user_col).asc()).limit(max_users).select(user_col)
 
 
 def co_starred_repos(stars: DataFrame, seed: str | DataFrame, max_users: int | None = 1000,
@@ -66,11 +59,8 @@ def co_starred_repos(stars: DataFrame, seed: str | DataFrame, max_users: int | N
     """Star list of the seed's stargazers: first ``max_users`` users, ``max_stars`` stars each.
 
     One row per (user, star), duplicates kept, like the reference's flat name list.
-    The user list is bounded by ``max_users`` rows, so it is broadcast; without a
-    bound it is a shuffled semi join.
+    The planner broadcasts the user list if it measures small.
     """
     users = stargazers(stars, seed, max_users, order, user_col, name_col)
-    if max_users is not None and 0 <= max_users <= BROADCAST_MAX_ROWS:
-        users = F.broadcast(users)
     picked = stars.join(users, user_col, "left_semi")
     return cap_stars_per_user(picked, max_stars, order, True, user_col)

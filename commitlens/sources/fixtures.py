@@ -48,7 +48,8 @@ BLOB_TEXT_EXPR = """
 
 BLOB_COLUMNS = ("new_blob_id AS blob_id", "p % 7 AS a", "n AS b", "s % 11 AS c", BLOB_TEXT_EXPR + " AS text")
 
-BLOBS_SQL = "SELECT " + ",\n".join(BLOB_COLUMNS) + "\nFROM v_changes WHERE new_blob_id IS NOT NULL"
+# a blob id names one content: lines that share all four keys give one blob
+BLOBS_SQL = "SELECT DISTINCT " + ",\n".join(BLOB_COLUMNS) + "\nFROM v_changes WHERE new_blob_id IS NOT NULL"
 
 
 BASE_TABLES = ("lineitem", "orders", "customer")
@@ -116,7 +117,7 @@ def blobs_view(spark: SparkSession, sf_dir: str, changes: DataFrame | None = Non
             c = changes_view(spark, sf_dir)  # the written changes table
         else:
             c = changes if changes is not None else _changes(spark, sf_dir)
-        return c.where("new_blob_id IS NOT NULL").selectExpr(*BLOB_COLUMNS)
+        return c.where("new_blob_id IS NOT NULL").selectExpr(*BLOB_COLUMNS).distinct()
     return materialised(spark, sf_dir, "blobs", build, "blob_id") if materialise else build()
 
 

@@ -6,8 +6,10 @@ import pytest
 from commitlens.functions.language import detected_language, programming_language
 from commitlens.operators.apply import map_rows
 from commitlens.operators.batching import batch_assign, repo_prefix_match
+from commitlens.operators.stars import top_repos
 from commitlens.operators.churn import line_diff_counts, line_diff_counts_seq, sequence_diff_counts
 
+# Cases of the line counts that must come out alike
 DIFF_CASES = [
     ("line1\nline2\nline3", "line1\nline3", 1, 0),
     ("line1\nline3", "line1\nline2\nline3", 0, 1),
@@ -56,10 +58,10 @@ def test_batches(spark, n, size, expected):
 
 
 @pytest.mark.parametrize("path, language", [
-    ("tested_repo/ipynb_code.ipynb", "jupyter notebook"),
-    ("tested_repo/java_code.java", "java"),
-    ("tested_repo/javascript_code.js", "javascript"),
-    ("tested_repo/python_code.py", "python"),
+    ("notebooks/plots.ipynb", "jupyter notebook"),
+    ("src/main/App.java", "java"),
+    ("web/index.js", "javascript"),
+    ("pkg/mod.py", "python"),
 ])
 def test_file_language(spark, path, language):
     df = spark.createDataFrame([(path, "x = 1\n")], "path string, text string")
@@ -75,32 +77,28 @@ def test_language_rules(spark):
     assert got == ["python", None, None, None, "makefile", None]
 
 
-def sum_args(A, B, C):
-    return A + B + C
+def cell_name(width, prefix, value):
+    return f"{prefix}{value // width}"
 
 
 def test_map_rows_bound_arguments(spark):
-    src = spark.createDataFrame([(i,) for i in range(1, 30)], "c long")
-    out = map_rows(src, sum_args, "c", "result", "long", index_col="idx", A=1, B=2, C=None)
-    got = [r.result for r in out.orderBy("idx").collect()]
-    assert got == [sum_args(1, 2, i) for i in range(1, 30)]
+    src = spark.createDataFrame([(7 * i,) for i in range(40)], "c long")
+    out = map_rows(src, cell_name, "c", "result", "string", index_col="idx", width=25, prefix="cell-", value=None)
+    assert [r.result for r in out.orderBy("idx").collect()] == [f"cell-{7 * i // 25}" for i in range(40)]
 
 
 def test_find_repository_by_name(spark):
-    keys = spark.createDataFrame([("tested_repo",)], "key string")
-    entries = spark.createDataFrame([("tested_repo",), ("tested_repo_x1",), ("other",)], "entry string")
+    keys = spark.createDataFrame([("my_repo",)], "key string")
+    entries = spark.createDataFrame([("my_repo",), ("my_repo_x1",), ("other",)], "entry string")
     got = sorted(r.entry for r in repo_prefix_match(keys, entries).collect())
-    assert got == ["tested_repo", "tested_repo_x1"]
+    assert got == ["my_repo", "my_repo_x1"]
 
 
-def test_top_repos_large_n_uses_distributed_rank(spark, monkeypatch):
-    from commitlens.operators import stars as st
-    rows = [(f"o/r{i % 37}",) for i in range(1000)]
-    df = spark.createDataFrame(rows, "repo_full_name string")
-    small = [tuple(r) for r in st.top_repos(df, 10).collect()]
-    monkeypatch.setattr(st, "TOPK_IN_MEMORY", 5)
-    big = sorted((tuple(r) for r in st.top_repos(df, 10).collect()), key=lambda x: (-x[1], x[0]))
-    assert small == big
+def test_top_repos_ties_by_first_seen(spark):
+    rows = [(f"o/r{(i * 11) % 37}", i) for i in range(37 * 3)]  # every name has three stars
+    df = spark.createDataFrame(rows, "repo_full_name string, seq long").repartition(3)
+    assert [r.repo_full_name for r in top_repos(df, 5, seq_col="seq").collect()] == [f"o/r{i * 11 % 37}" for i in range(5)]
+    assert [r.repo_full_name for r in top_repos(df, 3).collect()] == ["o/r0", "o/r1", "o/r10"]
 
 
 def test_map_rows_skips_empty_elements(spark):

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from commitlens.session import scratch_path
 from commitlens.sources.history import read_git_log
 from commitlens.sources.jsonl import read_record_lines, write_record_lines
@@ -40,13 +42,27 @@ def test_git_log(spark, tmp_path):
 def test_record_lines_round_trip_and_chunking(spark):
     df = spark.range(0, 2500).selectExpr("CASE WHEN id < 2000 THEN 'hot' ELSE 'cold' END AS repo_url", "CAST(id AS STRING) AS x")
     path = scratch_path(spark, "jsonl-test")
-    write_record_lines(df, path, max_records_per_line=300)
-    lines = spark.read.text(path).count()
-    assert lines >= 2000 // 300 + 1  # the hot repository is split over several lines
+    write_record_lines(df, path, max_records=300)
+    sizes = [r.value.count('"x"') for r in spark.read.text(path).collect()]
+    assert max(sizes) <= 300 and len(sizes) >= 2000 // 300 + 1 and sum(sizes) == 2500  # hot: several lines
+    equal = spark.range(0, 2500).selectExpr("'r' AS repo_url", "'same' AS x")
+    path2 = scratch_path(spark, "jsonl-equal")
+    write_record_lines(equal, path2, max_records=1000)
+    assert max(r.value.count('"x"') for r in spark.read.text(path2).collect()) <= 1000
+    path3 = scratch_path(spark, "jsonl-whole")
+    write_record_lines(equal, path3)
+    assert spark.read.text(path3).count() == 1  # a repository within the bound is one line
     back = read_record_lines(spark, path, "repo_url string, x string")
     assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
 
 
+def test_malformed_line_is_an_error(spark, tmp_path):
+    p = tmp_path / "bad.jsonl"
+    p.write_text('[{"repo_url": "a", "x": "1"}]\n[{"repo_url": "b", "x":\n')
+    with pytest.raises(Exception, match="[Mm]alformed"):
+        read_record_lines(spark, str(p), "repo_url string, x string").collect()
+
+
 def test_star_list_strips_only_line_breaks(spark, tmp_path):
     p = tmp_path / "stars.txt"
     p.write_text("a/b\n c/d \n\nx/y\r\n")
