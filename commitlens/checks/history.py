@@ -128,7 +128,7 @@ SELECT {KEYS_SQL} FROM v_changes WHERE repo_url IN (SELECT repo_url FROM top)"""
 def top_repo_changes(spark, sf_dir):
     c = changes_view(spark, sf_dir)
     top = top_repos(c, 10, "repo_url")
-    return restrict_to_repos(c, top, "repo_url", max_repos=10).select(*KEYS)
+    return restrict_to_repos(c, top, "repo_url").select(*KEYS)
 
 
 @register("first_n_changes", f"""{CH}
@@ -198,14 +198,11 @@ def added_lines_new_file(spark, sf_dir):
 
 @register("added_lines_new_blobs", f"""{CHB}, vp AS ({VP_SQL}),
 nb AS (SELECT DISTINCT new_blob_id FROM vp WHERE old_blob_id IS NULL AND new_blob_id IS NOT NULL)
-SELECT nb.new_blob_id AS blob_id, CAST(sum(len({lines_sql('b.text')})) AS INTEGER) AS added_lines_num,
+SELECT nb.new_blob_id AS blob_id, CAST(len({lines_sql('b.text')}) AS INTEGER) AS added_lines_num,
   0 AS deleted_lines_num
-FROM nb JOIN v_blobs b ON b.blob_id = nb.new_blob_id GROUP BY nb.new_blob_id""")
+FROM nb JOIN v_blobs b ON b.blob_id = nb.new_blob_id""")
 def added_lines_new_blobs(spark, sf_dir):
-    """F8 on code: every change without an old version adds all of its lines.
-
-    A blob id names one content; the fixture repeats one id at sf0.001, whose rows are pooled.
-    """
+    """F8 on code: every change without an old version adds all of its lines."""
     c = changes_view(spark, sf_dir)
     b = blobs_view(spark, sf_dir, c)
     new_files = version_pairs(c, FIXTURE_WALK_ORDER).where(F.col("old_blob_id").isNull() & F.col("new_blob_id").isNotNull())
@@ -315,7 +312,7 @@ def commit_info_df(spark, sf_dir):
     b = blobs_view(spark, sf_dir, c)
     star_list = c.select(idf.repo_full_name("repo_url").alias("repo_full_name"))
     top = top_repos(star_list, TOP_N).select(idf.repo_url_from_name("repo_full_name").alias("repo_url"))
-    return commit_records(c, b, order=FIXTURE_WALK_ORDER, repos=top, max_repos=TOP_N, limit=RECORD_LIMIT)
+    return commit_records(c, b, order=FIXTURE_WALK_ORDER, repos=top, limit=RECORD_LIMIT)
 
 
 @register("commit_info", f"{COMMIT_INFO_SQL}\nSELECT * FROM records")
