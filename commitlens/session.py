@@ -8,6 +8,7 @@ Spark runs in local mode do we create one under /tmp (tests, bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):  # local-cluster has executors of its own
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/DBFS) "
             "so lineage cuts and scratch tables survive executor loss"
@@ -54,6 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this application's queries have left in the scratch folder (results not yet read are lost)."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch")
+    base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(base, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back: the plan runs once, whatever uses it."""
     path = scratch_path(df.sparkSession, name)

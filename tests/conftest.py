@@ -19,7 +19,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from commitlens.session import build_session
+    from commitlens.session import build_session, clean_scratch
     s = build_session(cores=4, shuffle_partitions=8, app="commitlens-tests")
     yield s
+    clean_scratch(s)
     s.stop()
