@@ -4,7 +4,7 @@ A text is lower-cased (A-Z), everything but letters and non-ASCII bytes becomes
 become one, and the byte 3- and 4-grams are hashed to ``BUCKETS`` embedding rows.  The mean of the rows goes
 through a linear layer and a softmax.  Both are trained by stochastic gradient descent in numpy on a bounded
 sample: at most ``PER_LANG`` labelled rows of each language, the ones with the smallest hash of doc_id, and
-``WINDOWS`` windows of ``WINDOW`` characters from anywhere in each of their texts.  Training rows are those whose
+windows of ``WINDOWS`` characters from anywhere in each of their texts.  Training rows are those whose
 crc32(doc_id as text) mod 4 is not 2; the others are held out.  A fifth of the sample is not trained on: it sets the
 temperature of the softmax and the score under which a text is rejected.
 
@@ -32,14 +32,14 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 16
 DIM = 16
 PER_LANG = 2048
-WINDOWS = 3
-WINDOW = 300
+#: characters of the windows taken from each text: short ones too, as short texts are to be told apart and kept
+WINDOWS = (300, 120, 40)
 EPOCHS = 4
 RATE = 0.5
 #: share of rightly labelled calibration windows that may score under the rejection threshold
 REJECT_SHARE = 0.001
 #: the threshold never exceeds this score
-REJECT_AT_MOST = 0.5
+REJECT_AT_MOST = 0.4
 #: bytes of a text that are hashed at once
 PIECE = 1 << 18
 
@@ -141,7 +141,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes, bool]]:
-    """The bounded sample, on the driver: at most PER_LANG x WINDOWS windows a language."""
+    """The bounded sample, on the driver: at most PER_LANG texts a language, a window of each length."""
     place = F.xxhash64(F.lit("langid"), F.col(id_col))
     usable = F.col(lang_col).isNotNull() & (F.col(lang_col) != UNDETERMINED) & ~held_out(F.col(id_col))
     pool = docs.filter(usable).select(F.col(lang_col).cast("string").alias("lang"), place.alias("place"), F.col(text_col).alias("text"))
@@ -152,8 +152,8 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * PER_LANG / n))) for lang, n in sorted(sizes.items())])
     near = pool.filter((F.col("place").cast("double") / 2.0**63 + 1) / 2 <= share)
     length = F.char_length("text")
-    windows = F.array(*[F.substring("text", F.pmod(F.xxhash64("place", F.lit(i)), F.greatest(length - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW))
-                        for i in range(WINDOWS)])
+    windows = F.array(*[F.substring("text", F.pmod(F.xxhash64("place", F.lit(i)), F.greatest(length - n, F.lit(1))).cast("int") + 1, F.lit(n))
+                        for i, n in enumerate(WINDOWS)])
     by_place = Window.partitionBy("lang").orderBy("place", "windows")
     rows = (near.filter(F.col("text").rlike(r"\p{L}")).select("lang", "place", windows.alias("windows"))
             .withColumn("no", F.row_number().over(by_place)).filter(F.col("no") <= PER_LANG))
