@@ -5,8 +5,8 @@ Two forms:
 * ``line_diff_counts`` -- set-based, JVM only: each version becomes a multiset of
   line hashes, the two multisets are subtracted per pair.  Exact whenever line
   order does not matter (a pure move counts 0/0 instead of 1/1).  Only the texts of
-  asked ids move, as line hashes, added up per blob before they meet the pairs; joins
-  are left to the planner, which splits a blob that is in very many pairs.
+  asked ids move, as line hashes; joins are left to the planner, which splits a blob
+  that is in very many pairs.
 * ``line_diff_counts_seq`` -- exact sequence diff with the standard library's
   ``difflib`` in ``mapInPandas`` after de-duplicating (new, old) pairs.
 
@@ -46,9 +46,8 @@ def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blo
     asked = texts.select(F.col(id_col).alias("_id"), split_lines(text_col).alias("_lines")).join(ids, "_id", "inner")
     hashed = spread(asked.select("_id", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("_h1"), F.hash(x).alias("_h2"))).alias("_l")), "_id")
     sizes = hashed.select("_id", F.size("_l").cast("int").alias("_n"))
-    # a line counts once per blob and content, however many pairs the blob is in
-    lines = hashed.select("_id", F.explode("_l").alias("_l")).groupBy("_id", "_l").agg(F.count(F.lit(1)).alias("_c"))
-    per_line = lines.join(roles, "_id").groupBy(new_col, old_col, "_l").agg(F.sum(F.col("_s") * F.col("_c")).alias("_d"))
+    lines = hashed.select("_id", F.explode("_l").alias("_l"))
+    per_line = lines.join(roles, "_id").groupBy(new_col, old_col, "_l").agg(F.sum("_s").alias("_d"))
     per_pair = per_line.groupBy(new_col, old_col).agg(
         F.sum(F.greatest(F.col("_d"), F.lit(0))).cast("int").alias(ADDED),
         F.sum(F.greatest(-F.col("_d"), F.lit(0))).cast("int").alias(DELETED))

@@ -9,6 +9,7 @@ to an explicit count, which is never coalesced.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CONF_KEY = "spark.commitlens.cpuPartitions"
 
@@ -22,4 +23,6 @@ def cpu_partitions(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(cpu_partitions(df), *keys)
+    """Dealt by a hash of the keys that no join shares: the exchange of a later join is then the planner's own,
+    which it may split where a key is hot."""
+    return df.repartition(cpu_partitions(df), F.xxhash64(*keys))
