@@ -15,13 +15,16 @@ between them: texts are solved from one such cut to the next, and short segments
 
 from __future__ import annotations
 
+from array import array
 from typing import NamedTuple
 
 import numpy as np
 
 SPACE = "▁"
-#: segments up to this length are remembered, at most this many at a time
-MEMO_LENGTH, MEMO_SIZE = 48, 600_000
+#: segments up to this length are remembered, at most this many; the first ones seen hold the frequent ones, and
+#: after this many that found no room all are forgotten and it begins anew
+MEMO_LENGTH, MEMO_SIZE, MEMO_TURN = 48, 400_000, 3_000_000
+FITS_SIZE = 300_000
 
 
 #: stands for the token before a start, a cut or an uncovered character
@@ -89,6 +92,7 @@ class Lattice:
         self.spaces_cut = not any(pair[1] == SPACE != pair[0] for pair in self.inner)
         self._fits: dict[int, bool] = {}
         self._memo: dict[str, bytes] = {}
+        self._missed = 0
 
     # -- which pieces may follow each other
 
@@ -117,7 +121,7 @@ class Lattice:
                 found = self.merged(self.text_of[b]) == [self.text_of[b]]
             else:
                 found = self.merged(self.text_of[a] + self.text_of[b]) == [self.text_of[a], self.text_of[b]]
-            if len(self._fits) > 4 * MEMO_SIZE:
+            if len(self._fits) >= FITS_SIZE:
                 self._fits.clear()
             self._fits[key] = found
         return found
@@ -194,26 +198,46 @@ class Lattice:
 
     def only_path(self, text: str) -> list[int]:
         """The one path of a bpe model from cut to cut: the longest piece first, states that lead nowhere once only."""
-        end, fits, arcs, dead = len(text), self._fits, self.arcs, set()
-        stack, path = [(0, arcs(text, 0))], [ALONE]
+        end, fits, trie, longest = len(text), self._fits, self.trie, self.longest
+        path: list[int] = []
+        stack: list[tuple[int, int, list]] = []  # node, key of the token before it, arcs not tried yet
+        dead: set[tuple[int, int]] = set()
+        i, key = 0, ALONE
         while True:
-            a, open_arcs = path[-1], stack[-1][1]
-            key = a << 32 if a >= 0 else ALONE
-            while open_arcs:
-                j, t = open_arcs.pop()
-                ok = fits.get(key + t)
-                if ok is None:
-                    ok = self.fits(a, t)
-                if ok and (j, t) not in dead:
-                    path.append(t)
-                    if j == end:
-                        return path[1:]
-                    stack.append((j, arcs(text, j)))
+            node, j, arcs = trie, i, []
+            for c in text[i:i + longest]:
+                node = node.get(c)
+                if node is None:
                     break
-            else:
-                dead.add((stack.pop()[0], path.pop()))
-
-    def to_ids(self, tokens: list[int]) -> np.ndarray:
+                j += 1
+                t = node.get("")
+                if t is not None:
+                    arcs.append((j, t))
+            if not arcs or arcs[0][0] != i + 1:
+                arcs.insert(0, (i + 1, -1 - ord(text[i])))
+            while True:
+                while arcs:
+                    j, t = arcs.pop()
+                    ok = fits.get(key + t)
+                    if ok is None:
+                        ok = self.fits(None if key == ALONE else key >> 32, t)
+                    if ok and (not dead or (j, t) not in dead):
+                        break
+                else:
+                    dead.add((i, path.pop()))
+                    i, key, arcs = stack.pop()
+                    continue
+                break
+            path.append(t)
+            if j == end:
+                return path
+            stack.append((i, key, arcs))
+            i, key = j, t << 32 if t >= 0 else ALONE
+
+    def to_ids(self, tokens: list[int]) -> bytes:
+        """Ids of tokens, as packed int32."""
+        if min(tokens, default=0) >= 0:
+            return array("i", tokens).tobytes()
         out: list[int] = []
         for k, t in enumerate(tokens):
             if t >= 0:
@@ -222,7 +246,7 @@ class Lattice:
                 out += [self.v.byte_ids[b] for b in chr(-1 - t).encode()]
             elif k == 0 or tokens[k - 1] >= 0:  # a run of uncovered characters is one unknown piece
                 out.append(self.v.unknown_id)
-        return np.array(out, dtype="<i4")
+        return array("i", out).tobytes()
 
     def segment(self, text: str) -> bytes:
         """Ids (int32) of a text between two cuts; short texts and short parts of it are remembered."""
@@ -234,11 +258,15 @@ class Lattice:
                 parts = [text[a:b] for a, b in zip(edges, edges[1:])]
                 found = b"".join([memo.get(p) or self.segment(p) for p in parts])
             else:
-                found = self.to_ids(self.tokens(text)).tobytes()
-            if len(text) <= MEMO_LENGTH:
-                if len(memo) >= MEMO_SIZE:
+                found = self.to_ids(self.only_path(text) if self.bpe else self.tokens(text))
+            if len(memo) < MEMO_SIZE:
+                if len(text) <= MEMO_LENGTH:
+                    memo[text] = found
+            else:
+                self._missed += 1
+                if self._missed >= MEMO_TURN:
                     memo.clear()
-                memo[text] = found
+                    self._missed = 0
         return found
 
     def segments(self, text: str) -> bytes:
@@ -333,7 +361,7 @@ class Lattice:
             nodes = self.forward(text, start, token, stop)
             if state == "any":
                 state = max(nodes[end], key=lambda k: nodes[end][k][0])
-            return self.to_ids(self.back(nodes, end, state)).tobytes()
+            return self.to_ids(self.back(nodes, end, state))
 
         out_state = "any" if ends or self.is_cut(text, b) else leave[1]
         end = b if ends else b + leave[0]
@@ -362,13 +390,21 @@ def normalise(text: str, prefix: bool) -> str:
     return (SPACE if prefix and text else "") + text.replace(" ", SPACE)
 
 
+#: ids that are decoded at once
+STEP = 1 << 16
+
+
 def decode(values: np.ndarray, offsets: np.ndarray, raw: np.ndarray, lengths: np.ndarray, starts: np.ndarray, prefix: bool) -> list[str]:
     """Texts of lists of ids (flat values and offsets), by gathering the bytes of their pieces."""
-    n = lengths[values]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    data = raw[np.arange(ends[-1]) + np.repeat(starts[values] - ends[:-1], n)].tobytes()
-    out = []
-    for a, b in zip(ends[offsets[:-1]], ends[offsets[1:]]):
+    found, total = [], np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(lengths[values], out=total[1:])
+    for at in range(0, len(values), STEP):
+        some = values[at:at + STEP]
+        n = lengths[some]
+        ends = np.cumsum(n)
+        found.append(raw[np.arange(ends[-1]) + np.repeat(starts[some] - ends + n, n)].tobytes())
+    data, out = b"".join(found), []
+    for a, b in zip(total[offsets[:-1]].tolist(), total[offsets[1:]].tolist()):
         text = data[a:b].decode("utf-8", "replace")
         out.append(text[1:] if prefix and text[:1] == " " else text)
     return out
