@@ -24,7 +24,6 @@ An empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -44,7 +43,9 @@ SAMPLE = 1 << 14
 CELL_ROWS = 1 << 13
 LEAF_ROWS = 64
 #: candidates that are verified between two stopping tests
-STEP = 64
+STEP = 512
+#: squared projected distances up to this are those of copies (rounding)
+TINY = 1e-9
 
 
 # ---- the stopping test ------------------------------------------------------------------------
@@ -135,41 +136,51 @@ class Tree:
         self.low = np.array([self.points[a:b].min(axis=0) for a, b in self.leaves])
         self.high = np.array([self.points[a:b].max(axis=0) for a, b in self.leaves])
 
-    def nearest(self, own: int, q: np.ndarray, projected: np.ndarray, k: int, known: float, bound: float) -> list[tuple[float, int]]:
-        """Up to k (score, id), best first; ``known`` is a k-th best squared distance from elsewhere (inf: none).
+    def nearest(self, own: int, q: np.ndarray, projected: np.ndarray, k: int, known: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Up to k (ids, scores), best first; ``known`` is a k-th best squared distance from elsewhere (inf: none).
 
-        ``bound``: the stopping test holds once r^2 >= bound * d_k^2.
+        ``bound``: the stopping test holds once r^2 >= bound * d_k^2.  Leaves are opened in order of their distance, a few at a
+        time; points nearer than the next unopened leaf are verified in order, STEP of them between two tests.
         """
         q_norm = float(np.sqrt((q * q).sum()))
-        best: list[tuple[float, int]] = []  # heap of the k best: (score, -id)
+        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         to = _to_boxes(projected, self.low, self.high)
         order = np.argsort(to, kind="stable")
-        waiting: list[tuple[float, int]] = []
-        at = 0
-
-        def limit() -> float:
-            d = min(known, max(0.0, 2 - 2 * best[0][0])) if len(best) == k else known
-            return max(bound * d, 1e-9)  # copies are at a projected distance of rounding size
-
+        rows, r = np.zeros(0, dtype=np.int64), np.zeros(0)
+        at, more = 0, 2
+        limit = max(bound * known, TINY)
         while True:
-            while at < len(order) and (len(waiting) < STEP or to[order[at]] <= waiting[0][0]):
-                if to[order[at]] > limit():
-                    at = len(order)
-                    break
-                a, b = self.leaves[order[at]]
-                gap = self.points[a:b] - projected
-                for r, i in zip((gap * gap).sum(axis=1).tolist(), range(a, b)):
-                    heapq.heappush(waiting, (r, i))
-                at += 1
-            if not waiting or waiting[0][0] > limit():
-                return [(s, -i) for s, i in sorted(best, reverse=True)]
-            rows = np.array([heapq.heappop(waiting)[1] for _ in range(min(STEP, len(waiting)))])
-            rows = rows[self.ids[rows] != own]
-            for s, i in zip(cosines(self.vectors[rows], self.norms[rows], q, q_norm).tolist(), self.ids[rows].tolist()):
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+            while at < len(order) and len(r) < STEP and to[order[at]] <= limit:
+                some = order[at:at + more]
+                new = np.concatenate([np.arange(*self.leaves[i]) for i in some[to[some] <= limit]])
+                gap = self.points[new] - projected
+                rows, r = np.concatenate([rows, new]), np.concatenate([r, (gap * gap).sum(axis=1)])
+                at, more = at + len(some), min(2 * more, 32)
+            edge = min(limit, to[order[at]] if at < len(order) else np.inf)
+            ready = np.flatnonzero(r <= edge)
+            if not len(ready):
+                if at >= len(order) or to[order[at]] > limit:
+                    return ids, scores
+                some = order[at:at + more]  # all that wait lie behind the next leaf: open it
+                new = np.concatenate([np.arange(*self.leaves[i]) for i in some])
+                gap = self.points[new] - projected
+                rows, r = np.concatenate([rows, new]), np.concatenate([r, (gap * gap).sum(axis=1)])
+                at += len(some)
+                continue
+            if len(ready) > STEP:
+                last = np.partition(r[ready], STEP)[STEP]  # equal distances are taken together
+                ready = ready[r[ready] <= last]
+            found = rows[ready]
+            keep = np.ones(len(r), dtype=bool)
+            keep[ready] = False
+            rows, r = rows[keep], r[keep]
+            found = found[self.ids[found] != own]
+            ids = np.concatenate([ids, self.ids[found]])
+            scores = np.concatenate([scores, cosines(self.vectors[found], self.norms[found], q, q_norm)])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            d = min(known, max(0.0, 2 - 2 * float(scores[-1]))) if len(scores) == k else known
+            limit = max(bound * d, TINY)
 
 
 # ---- the plan ---------------------------------------------------------------------------------
@@ -230,15 +241,18 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     bound = chi2_bound(confidence, dims)
     found_schema = "query_id long, vec_id long, score double"
 
+    def flat(table: pa.Table, name: str, n: int) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
     def scan(block: pa.Table, qs: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        asked_by, ids, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         if len(block) and len(qs):
-            tree = Tree(block["vec_id"].to_numpy(), np.array(block["v"].to_pylist()), np.array(block["p"].to_pylist()))
-            for q in qs.to_pylist():
-                known = q["known"] if q["known"] is not None else math.inf
-                out += [(q["query_id"], i, s) for s, i in tree.nearest(q["query_id"], np.array(q["qv"]), np.array(q["qp"]), k, known, bound)]
-        ids, found, scores = zip(*out) if out else ((), (), ())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+            tree = Tree(block["vec_id"].to_numpy(), flat(block, "v", width), flat(block, "p", dims))
+            q_ids, known = qs["query_id"].to_pylist(), qs["known"].to_pylist()
+            for q_id, q, p, d_k in zip(q_ids, flat(qs, "qv", width), flat(qs, "qp", dims), known):
+                i, s = tree.nearest(q_id, q, p, k, math.inf if d_k is None else d_k, bound)
+                asked_by.append(np.full(len(i), q_id)), ids.append(i), scores.append(s)
+        return pa.table([pa.array(np.concatenate(x)) for x in (asked_by, ids, scores)], ["query_id", "vec_id", "score"])
 
     def visit(queries: DataFrame) -> DataFrame:
         salted = queries.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1).cast("array<long>")))
