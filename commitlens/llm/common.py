@@ -67,7 +67,8 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     named = kept.select(F.col("_id").alias("_llm_id"), F.col("_key").alias("_llm_key"), *([F.col(times).alias("_llm_times")] if times else []))
     marked = docs.withColumn("_llm_row", text_key(F.col(text_col)))
     found = marked.join(named, same(F.col(id_col), F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_key")), "inner" if times else "left_semi")
-    once = Window.partitionBy(id_col, "_llm_row").orderBy("_llm_row")
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text_col and "map<" not in kind]
+    once = Window.partitionBy(id_col, "_llm_row").orderBy(F.xxhash64(*others))  # the same one in every run
     rows = found.withColumn("_llm_no", F.row_number().over(once)).filter("_llm_no = 1")
     if times:
         rows = rows.withColumn("_llm_no", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))

@@ -129,10 +129,10 @@ def byte_checked(groups: DataFrame, rows: DataFrame, docs: DataFrame, id_col: st
                  text_col: str = "text") -> DataFrame:
     """The groups, after comparing the normalised bytes of all members of each group of two or more."""
     members = (rows.join(groups.filter("n > 1").select("sha"), "sha", "left_semi")
-               .select("doc_id", "sha").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    found = (members.join(texts, same(F.col("doc_id"), F.col("_id")))
-             .filter(F.unhex(F.sha2("_norm", 256)) == F.col("sha")))  # a repeated doc_id may have other texts too
+               .select("doc_id", "key_of_text", "sha"))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_key(text).alias("_key"), normalised(text).alias("_norm"))
+    found = members.join(texts, same(F.col("doc_id"), F.col("_id")) & (F.col("key_of_text") == F.col("_key")))
     checked = found.groupBy("sha").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi")) \
         .select("sha", (F.col("lo") == F.col("hi")).alias("equal"))
     stop = F.raise_error(F.lit("two different texts have one SHA-256 digest")).cast("long")

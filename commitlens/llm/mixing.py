@@ -91,7 +91,7 @@ def apportion(parties: DataFrame, seats: list[int]) -> DataFrame:
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              seed: str = SEED, block: int = BLOCK, shards: int = SHARDS, repeats: int = REPEATS) -> Mix:
-    place = _seeded(seed, F.col(id_col))
+    place = _seeded(seed, F.coalesce(F.col(id_col).cast("string"), text_key(F.col(text_col)).cast("string")))
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key_of_text"),
                                    F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
                                    place.alias("place")), "mix_rows")

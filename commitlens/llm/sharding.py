@@ -114,7 +114,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     groups = materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard_groups")
     _, bounds = minimax_cuts(groups, shards)
     shard = sum((F.when(F.col("digest") >= b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("digest")).cast("binary"))
     placed = rows.select("*", shard.alias("shard"), place.alias("place"))
     return _with_slots(placed.withColumn("bucket", F.substring("place", 1, SLOT_DIGITS))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
