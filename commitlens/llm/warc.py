@@ -10,7 +10,7 @@ Both name the source in WARC-Refers-To (with its URI and date), keep its payload
 their own block, and have ids derived from the source's id, so a second run gives the same records.
 
 Text: comments, scripts and styles go; tags of blocks become line ends and other tags vanish; named (the common ones)
-and numeric character references are resolved, ``&amp;`` last; runs of blanks and empty lines are closed up.
+and numeric character references are resolved, each once; runs of blanks and empty lines are closed up.
 
 All of it is DataFrame work without a shuffle, so neither a hot host nor copies of a page matter.  Digests are
 ``sha1:`` and Base32.  A null payload or header block counts as empty; a null URI or date gives no such line in the
@@ -33,7 +33,7 @@ EOL = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 #: what is dropped whole, whichever begins first
-DROPPED = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template"))
+DROPPED = "(?is)<(?:!--.*?-->|" + "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template")) + ")"
 BLOCK_TAGS = ("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr "
               "html li main nav ol option p pre section table tbody td tfoot th thead title tr ul").split()
 BLOCK_TAG = rf"(?i)</?({'|'.join(BLOCK_TAGS)})\b[^>]*>"
@@ -43,6 +43,8 @@ ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy":
             "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
             "euro": "€", "pound": "£", "yen": "¥", "sect": "§", "para": "¶", "deg": "°", "times": "×", "auml": "ä", "ouml": "ö", "uuml": "ü",
             "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ"}
+#: a run of blanks, unless it is one space already
+BLANKS = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LINK = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
 
@@ -64,30 +66,30 @@ def record_id(kind: str, source: Column) -> Column:
     return F.when(source.isNotNull(), F.concat(F.lit("<urn:uuid:"), parts, F.lit(">")))
 
 
-def _numeric(text: Column) -> Column:
-    """Decimal and hexadecimal character references; numbers that are no character become U+FFFD."""
+def _references(text: Column) -> Column:
+    """Character references, in one pass over what stands behind each ``&``; numbers that are no character become U+FFFD."""
+    names = F.create_map(*[F.lit(x) for kv in {**ENTITIES, "amp": "&"}.items() for x in kv])
+
     def one(p: Column) -> Column:
-        dec, hexa = F.regexp_extract(p, "^([0-9]{1,7});", 1), F.regexp_extract(p, "^[xX]([0-9A-Fa-f]{1,6});", 1)
+        ref = F.substring_index(p, ";", 1)
+        dec, hexa = F.regexp_extract(ref, "^#([0-9]{1,7})$", 1), F.regexp_extract(ref, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
         n = F.when(dec != "", dec.cast("int")).otherwise(F.conv(hexa, 16, 10).cast("int"))
-        char = F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�")
-        return (F.when((dec == "") & (hexa == ""), F.concat(F.lit("&#"), p))
-                .otherwise(F.concat(char, F.regexp_replace(p, "^[0-9A-Fa-fxX]+;", ""))))
+        number = F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�")
+        char = F.when(~F.contains(p, F.lit(";")), F.lit(None)).when((dec != "") | (hexa != ""), number).otherwise(F.try_element_at(names, ref))
+        return F.coalesce(F.concat(char, F.substring(p, F.length(ref) + 2, F.length(p))), F.concat(F.lit("&"), p))
+
+    def whole(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
 
-    parts = F.split(text, "&#")
-    resolved = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
-    return F.when(F.contains(text, F.lit("&#")), resolved).otherwise(text)
+    return F.element_at(F.transform(F.array(F.split(text, "&")), whole), 1)  # the split is worked out once
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page."""
     t = F.regexp_replace(html, DROPPED, "")
     t = F.regexp_replace(F.regexp_replace(t, BLOCK_TAG, "\n"), ANY_TAG, "")
-    t = _numeric(t)
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    t = F.regexp_replace(_references(t), BLANKS, " ")
+    return F.btrim(F.regexp_replace(t, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def metadata_block(row: dict[str, Column]) -> Column:
