@@ -43,7 +43,7 @@ from .common import documents, materialize, register, tasks
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 400_000
 #: bytes of text for each hash bucket
 BUCKET_BYTES = 16 << 20
 #: bytes of a text that are split into words at once
@@ -118,7 +118,8 @@ def _make_blocks(order: int, block_words: int):
                         parts.append(np.fromiter(map(vocabulary.__getitem__, some), "<u4", len(some)))
                         lengths[-1] += len(some)
                         size += len(some)
-                        history = (history + some)[-(order - 1):] if order > 1 else []
+                        if order > 1:
+                            history = (history + some[1 - order:])[1 - order:]
         if rid:
             yield block()
     return run
