@@ -5,7 +5,8 @@ Words are runs of non-white-space, A-Z lower-cased.  With c the counts over all
     S(w | history) = c(history w) / c(history)  if c(history w) >= MIN_COUNT, else ALPHA * S(w | shorter history),
     S(w) = c(w) / N
 
-and a document's score is the sum of log S over its words; the first words have the history there is.
+and a document's score is the sum of log S over its words; the first words have the history there is.  The registered
+query has MIN_COUNT = 1, plain stupid backoff: every n-gram that occurs is counted and joined.
 
 The relations, and how they are joined:
 
@@ -14,8 +15,8 @@ The relations, and how they are joined:
 * **n-grams**: a block sends each of its distinct n-grams once, with its count, to the hash bucket of the n-gram: packed
   arrays of 64-bit hashes, one row a (bucket, block, order).  So "the" is one entry a block, however often it occurs;
 * **count tables**, partitioned by hash: a bucket adds its entries up and joins the totals back to the blocks that asked;
-* an order above two is asked only for n-grams whose two parts reach MIN_COUNT, since no other can (a count is at most the
-  count of its parts), which is exact and leaves few to move;
+* with a cutoff of one, all orders are asked for at once.  A caller's higher cutoff (``min_count``) asks for an order above two
+  only where both parts of an n-gram reach it, since no other can (a count is at most the count of its parts);
 * each block scores its words, and the sums are added up by document.
 
 The number of buckets follows from the bytes of text.  Counts are over all documents and nothing is dropped; two n-grams
@@ -42,7 +43,8 @@ from .common import documents, materialize, register, tasks
 
 ORDER = 3
 ALPHA = 0.4
-MIN_COUNT = 2
+#: cutoff of the registered query: every n-gram that occurs counts
+MIN_COUNT = 1
 BLOCK_WORDS = 400_000
 #: bytes of text for each hash bucket
 BUCKET_BYTES = 16 << 20
@@ -156,7 +158,7 @@ class Block:
     def asked(self, n: int, min_count: int) -> np.ndarray:
         """Where the n-gram's total is asked for: also in repeated history, which adds nothing to the total."""
         ok = self.place >= n - 1
-        if n > 2:
+        if n > 2 and min_count > 1:
             enough = self.counts[n - 1] >= min_count
             ok &= enough
             ok[1:] &= enough[:-1]
@@ -203,7 +205,7 @@ _ASK_NAMES, _ASK_KINDS = ["bucket", "block", "n", "grams", "counts"], [pa.int32(
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """One bucket of the count tables: totals of each n-gram, told to every block that asked."""
+    """One bucket of the count table of an order: totals of each n-gram, told to every block that asked."""
     out = []
     rows = table.to_pylist()
     for n in sorted({r["n"] for r in rows}):
@@ -227,8 +229,11 @@ def _load(block: pa.Table, told: pa.Table, min_count: int) -> Block:
 # ---- the plan ----------------------------------------------------------------------------------
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA,
-              min_count: int = MIN_COUNT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_words, log_score, and hits (how many words were found at each order, from 1)."""
+              min_count: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per input row: doc_id, n_words, log_score, and hits (how many words were found at each order, from 1).
+
+    ``min_count`` 1 is plain stupid backoff, as in the registered query; above, rarer n-grams are scored as unseen.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -244,12 +249,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
 def _score_blocks(blocks: DataFrame, order: int, alpha: float, min_count: int, buckets: int) -> DataFrame:
     total = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    at_once = order if min_count <= 1 else min(order, 2)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                for n in range(1, min(order, 2) + 1):
+                for n in range(1, at_once + 1):
                     yield from _table(list(_ask(row["block"], b, n, buckets, min_count)), _ASK_NAMES, _ASK_KINDS).to_batches()
 
     def longer(n: int):
@@ -260,10 +266,10 @@ def _score_blocks(blocks: DataFrame, order: int, alpha: float, min_count: int, b
         return run
 
     def totals(asked: DataFrame) -> DataFrame:
-        return materialize(asked.groupBy("bucket").applyInArrow(_add_up, _TOLD), "ngram_totals")
+        return materialize(asked.groupBy("bucket", "n").applyInArrow(_add_up, _TOLD), "ngram_totals")
 
     told = totals(blocks.mapInArrow(first, _ASK))
-    for n in range(3, order + 1):
+    for n in range(at_once + 1, order + 1):
         asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(longer(n), _ASK)
         told = told.unionByName(totals(asked))
 
@@ -315,5 +321,5 @@ FROM d LEFT JOIN t ON d.rid = t.rid"""
 
 @register("op3_lm_score", _SQL)
 def op3_lm_score(spark, sf_dir):
-    out = lm_scores(documents(spark, sf_dir))
+    out = lm_scores(documents(spark, sf_dir), min_count=MIN_COUNT)
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), *[F.col("hits")[n].alias(f"hits_{n + 1}") for n in range(ORDER)])

@@ -99,6 +99,25 @@ def test_lm_odd_rows(odd, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+def test_lm_query_counts_ngrams_that_occur_once(spark, tmp_path):
+    rows = [(1, "a b c d a b c e"), (2, "x y z a b"), (3, "once only here"), (4, "q"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = lm_score.op3_lm_score(spark, str(tmp_path)).collect()
+    want = brute_lm([t for _, t in rows], least=1)
+    assert sorted((r["doc_id"], r["n_words"], r["log_score"] + 0.0, [r["hits_1"], r["hits_2"], r["hits_3"]]) for r in got) == [
+        (d, n, round(s, 4) + 0.0, h) for (d, _), (n, s, h) in zip(rows, want)]
+
+
+@pytest.mark.parametrize("order,block_words", [(3, 7), (4, 2_000_000)])
+def test_lm_scores_without_a_cutoff(spark, order, block_words):
+    rnd = random.Random(order)
+    rows = [(i, " ".join(rnd.choices("abcdef", k=rnd.randrange(0, 60)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_score.lm_scores(df, order=order, min_count=1, block_words=block_words).collect()
+    assert sorted((r["doc_id"], round(r["log_score"], 6) + 0.0, list(r["hits"])) for r in got) == [
+        (d, round(s, 6) + 0.0, h) for (d, _), (_, s, h) in zip(rows, brute_lm([t for _, t in rows], order, least=1))]
+
+
 # ---- nearest neighbours ------------------------------------------------------------------------
 
 def brute_nearest(rows, queries, k=5):
