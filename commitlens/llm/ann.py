@@ -14,7 +14,9 @@ The index is one kd-tree.  Its top is split at medians of a bounded sample of ``
 over several blocks by a hash of the id.  The rest of the tree is built where a block is searched.
 
 A search has two rounds, both by joining queries and blocks on the cell: every query first searches its own cell, which
-bounds d_k; then the other cells whose box is near enough to matter under the stopping test.  No block is broadcast and
+bounds d_k; then the other cells whose box is near enough to matter under the stopping test.  The queries of a cell are counted
+before each round and dealt over parts of about ``QUERY_ROWS`` by a hash of the query's id; a block is repeated once a part, so
+both sides of a join group are bounded.  Equal query vectors of a group are searched once.  No block is broadcast and
 nothing but the cell boxes and counts (bounded by the number of cells) reaches the driver.
 
 Rows whose vector is null, zero, of another length than the first valid one, or holds null or non-finite components take no part.  Ties go to the smaller
@@ -42,6 +44,8 @@ SEED = 11
 SAMPLE = 1 << 14
 CELL_ROWS = 1 << 13
 LEAF_ROWS = 64
+#: queries that meet a block in one group
+QUERY_ROWS = 1 << 12
 #: candidates that are verified between two stopping tests
 STEP = 512
 #: squared projected distances up to this are those of copies (rounding)
@@ -136,7 +140,15 @@ class Tree:
         self.low = np.array([self.points[a:b].min(axis=0) for a, b in self.leaves])
         self.high = np.array([self.points[a:b].max(axis=0) for a, b in self.leaves])
 
-    def nearest(self, own: int, q: np.ndarray, projected: np.ndarray, k: int, known: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    def nearest_of_copies(self, own: np.ndarray, q: np.ndarray, projected: np.ndarray, k: int, known: float, bound: float) -> list[tuple]:
+        """``nearest`` for several ids that ask with one vector: one search, deep enough that each can leave out its own rows."""
+        if len(own) == 1:
+            return [self.nearest(int(own[0]), q, projected, k, known, bound)]
+        _, times = np.unique(self.ids[np.isin(self.ids, own)], return_counts=True)
+        ids, scores = self.nearest(None, q, projected, k + int(times.max(initial=0)), known, bound)
+        return [(ids[ids != i][:k], scores[ids != i][:k]) for i in own]
+
+    def nearest(self, own: int | None, q: np.ndarray, projected: np.ndarray, k: int, known: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Up to k (ids, scores), best first; ``known`` is a k-th best squared distance from elsewhere (inf: none).
 
         ``bound``: the stopping test holds once r^2 >= bound * d_k^2.  Leaves are opened in order of their distance, a few at a
@@ -174,7 +186,8 @@ class Tree:
             keep = np.ones(len(r), dtype=bool)
             keep[ready] = False
             rows, r = rows[keep], r[keep]
-            found = found[self.ids[found] != own]
+            if own is not None:
+                found = found[self.ids[found] != own]
             ids = np.concatenate([ids, self.ids[found]])
             scores = np.concatenate([scores, cosines(self.vectors[found], self.norms[found], q, q_norm)])
             best = np.lexsort((ids, -scores))[:k]
@@ -195,6 +208,14 @@ def _project(batch_vectors: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (batch_vectors / norms[:, None]) @ d
 
 
+def _parts(counts: dict[int, int], cells: int, rows: int) -> Column:
+    """For each row's cell, how many parts of about ``rows`` rows its count makes."""
+    parts = [max(1, math.ceil(counts.get(c, 0) / rows)) for c in range(cells)]
+    if max(parts, default=1) == 1:
+        return F.lit(1).cast("long")
+    return F.coalesce(F.get(F.array(*[F.lit(m) for m in parts]), F.col("cell").cast("int")), F.lit(1)).cast("long")
+
+
 def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
            dims: int = DIMS, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row for which ``queries`` holds."""
@@ -230,11 +251,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     schema = "vec_id long, v array<double>, asks boolean, p array<double>, cell long"
     placed = materialize(rows.mapInArrow(place, schema), "ann_rows")
     counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a cell
-    blocks = {c: max(1, math.ceil(m / (2 * CELL_ROWS))) for c, m in counts.items()}
-    n_blocks = F.lit(1)
-    for c, m in blocks.items():
-        if m > 1:
-            n_blocks = F.when(F.col("cell") == c, F.lit(m)).otherwise(n_blocks)
+    n_blocks = _parts(counts, len(paths), 2 * CELL_ROWS)
     data = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks)).select("cell", "block", "vec_id", "v", "p")
     asked = placed.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("p").alias("qp"), "cell")
     asked = asked.dropDuplicates(["query_id"])
@@ -248,36 +265,53 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
         asked_by, ids, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         if len(block) and len(qs):
             tree = Tree(block["vec_id"].to_numpy(), flat(block, "v", width), flat(block, "p", dims))
-            q_ids, known = qs["query_id"].to_pylist(), qs["known"].to_pylist()
-            for q_id, q, p, d_k in zip(q_ids, flat(qs, "qv", width), flat(qs, "qp", dims), known):
-                i, s = tree.nearest(q_id, q, p, k, math.inf if d_k is None else d_k, bound)
-                asked_by.append(np.full(len(i), q_id)), ids.append(i), scores.append(s)
+            q_ids = qs["query_id"].to_numpy()
+            known = np.array([math.inf if d_k is None else d_k for d_k in qs["known"].to_pylist()])
+            q, p = flat(qs, "qv", width) + 0.0, flat(qs, "qp", dims)  # no negative zeros
+            copies: dict[bytes, list[int]] = {}
+            for i in np.argsort(q_ids):
+                copies.setdefault(q[i].tobytes(), []).append(int(i))
+            for at in copies.values():
+                own = q_ids[at]
+                for q_id, (i, s) in zip(own, tree.nearest_of_copies(own, q[at[0]], p[at[0]], k, float(known[at].max()), bound)):
+                    asked_by.append(np.full(len(i), q_id)), ids.append(i), scores.append(s)
         return pa.table([pa.array(np.concatenate(x)) for x in (asked_by, ids, scores)], ["query_id", "vec_id", "score"])
 
-    def visit(queries: DataFrame) -> DataFrame:
-        salted = queries.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1).cast("array<long>")))
-        return data.groupBy("cell", "block").cogroup(salted.groupBy("cell", "block")).applyInArrow(scan, found_schema)
+    def per_cell(queries: DataFrame) -> dict[int, int]:
+        return {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a cell
+
+    def visit(queries: DataFrame, asking: dict[int, int]) -> DataFrame:
+        n_parts = _parts(asking, len(paths), QUERY_ROWS)
+        salted = (queries.withColumn("part", F.pmod(F.xxhash64("query_id"), n_parts))
+                  .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))))
+        repeated = data.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)))
+        keys = ["cell", "block", "part"]
+        return repeated.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(scan, found_schema)
 
-    home = materialize(visit(asked.withColumn("known", F.lit(None).cast("double"))), "ann_home")
+    home = materialize(visit(asked.withColumn("known", F.lit(None).cast("double")), per_cell(asked)), "ann_home")
     worst = (_best(home, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("s"))
              .select("query_id", F.when(F.col("m") == k, F.greatest(2 - 2 * F.col("s"), F.lit(0.0))).alias("known")))
     open_queries = asked.join(worst, "query_id", "left")
-    live = sorted(blocks)
+    live = sorted(counts)
 
     def near(batches):
         """The other cells whose box the stopping test doesn't rule out."""
         at = np.array(live, dtype=np.int64)
         for b in batches:
-            rows_ = b.to_pylist()
             out = []
-            for r in rows_:
+            for r in b.to_pylist():
                 gap = _to_boxes(np.array(r["qp"]), low[at], high[at])
                 most = math.inf if r["known"] is None else max(bound * r["known"], 1e-9)
                 out += [{**r, "cell": int(c)} for c in at[gap <= most] if c != r["cell"]]
+                while len(out) >= QUERY_ROWS:
+                    yield pa.RecordBatch.from_pylist(out[:QUERY_ROWS], schema=b.schema)
+                    out = out[QUERY_ROWS:]
             yield pa.RecordBatch.from_pylist(out, schema=b.schema)
 
+    asking = per_cell(open_queries.select("qp", "cell", "known").mapInArrow(near, "qp array<double>, cell long, known double"))
     cols = ["query_id", "qv", "qp", "cell", "known"]
-    others = visit(open_queries.select(*cols).mapInArrow(near, "query_id long, qv array<double>, qp array<double>, cell long, known double"))
+    reach = open_queries.select(*cols).mapInArrow(near, "query_id long, qv array<double>, qp array<double>, cell long, known double")
+    others = visit(reach, asking)
     return _best(home.unionByName(others), k)
 
 

@@ -172,6 +172,50 @@ def test_nearest_odd_vectors_and_many_copies(spark, monkeypatch):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
 
+class CountingTree(ann.Tree):
+    """Fails where one group brings more rows or queries than the limits set in the test allow."""
+    limit = 0
+
+    def __init__(self, ids, *rest):
+        super().__init__(ids, *rest)
+        self.asked = 0
+        assert len(ids) <= 200, f"{len(ids)} rows in a group"
+
+    def nearest_of_copies(self, own, *rest):
+        self.asked += len(own)
+        assert self.asked <= self.limit, f"more than {self.limit} queries in a group"
+        return super().nearest_of_copies(own, *rest)
+
+    def nearest(self, *rest):
+        if not hasattr(super(), "nearest_of_copies"):
+            self.asked += 1
+            assert self.asked <= self.limit, f"more than {self.limit} queries in a group"
+        return super().nearest(*rest)
+
+
+@pytest.mark.parametrize("copies", [400, 0])
+def test_queries_of_a_cell_are_bounded_too(spark, monkeypatch, copies):
+    monkeypatch.setattr(ann, "CELL_ROWS", 64)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 16, raising=False)
+    monkeypatch.setattr(CountingTree, "limit", 48)
+    monkeypatch.setattr(ann, "Tree", CountingTree)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(500)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(copies)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, F.lit(True)).collect()
+    check_recall(got, brute_nearest(rows, [i for i, _ in rows]), 0.9)
+    assert all(r["vec_id"] != r["query_id"] for r in got)
+    for q in (1000, 1003, 1399) if copies else ():
+        assert [i for _, i in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] == [i for i in range(1000, 1006) if i != q][:5]
+
+
+def test_copies_of_a_query_are_searched_once_and_repeats_of_a_row_are_found(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, -0.0]), (4, [1.0, 1.0]), (5, [0.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=4).collect()
+    by = {q: [i for _, i in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] for q in range(1, 6)}
+    assert by == {1: [2, 3, 3, 4], 2: [1, 1, 1, 3], 3: [1, 1, 1, 2], 4: [1, 1, 1, 2], 5: [4, 1, 1, 1]}
+
+
 def test_chi_square_of_even_degrees():
     x = np.random.default_rng(1).standard_normal((200_000, 8))
     for p in (0.1, 0.5, 0.9, 0.98):
