@@ -135,9 +135,11 @@ def byte_checked(groups: DataFrame, rows: DataFrame, docs: DataFrame, id_col: st
     found = members.join(texts, same(F.col("doc_id"), F.col("_id")) & (F.col("key_of_text") == F.col("_key")))
     checked = found.groupBy("sha").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi")) \
         .select("sha", (F.col("lo") == F.col("hi")).alias("equal"))
-    stop = F.raise_error(F.lit("two different texts have one SHA-256 digest")).cast("long")
+    stop = F.raise_error(F.lit("two different texts have one SHA-256 digest"))
+    fine = F.col("equal").isNull() & (F.col("n") == 1) | F.col("equal")
+    kinds = dict(groups.dtypes)  # every column waits for the check, so none can be used without it
     return groups.join(checked, "sha", "left").select(
-        "sha", F.when(F.col("equal").isNull() & (F.col("n") == 1) | F.col("equal"), F.col("n")).otherwise(stop).alias("n"), "best")
+        "sha", *[F.when(fine, F.col(c)).otherwise(stop.cast(kinds[c])).alias(c) for c in ("n", "best")])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:

@@ -64,6 +64,20 @@ def test_a_false_positive_of_the_filter_is_no_copy(make_docs, monkeypatch):
     assert sorted({(r["keep_id"], r["group_size"]) for r in got}) == [(i, 2 if i < 20 else 1) for i in range(40)]
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_a_digest_of_two_texts_stops_the_job(make_docs, monkeypatch, batches):
+    digest_rows = exact_dedup.digest_rows
+    monkeypatch.setattr(exact_dedup, "digest_rows", lambda *a: digest_rows(*a).withColumn("sha", F.unhex(F.lit("ab" * 32))))
+    monkeypatch.setattr(exact_dedup.exact_dedup, "__defaults__", ("doc_id", "text", batches))
+    docs = make_docs([(i, f"text {i % 2}", "en", "a") for i in range(8)])
+    with pytest.raises(Exception, match="two different texts have one SHA-256 digest"):
+        exact_dedup.keep_first_copies(docs).select("doc_id").collect()
+    with pytest.raises(Exception, match="two different texts have one SHA-256 digest"):
+        exact_dedup.exact_dedup(docs).select("doc_id", "kept").collect()
+    same = make_docs([(i, "one text", "en", "a") for i in range(8)])
+    assert [r["doc_id"] for r in exact_dedup.keep_first_copies(same).collect()] == [0]
+
+
 # ---- SimHash -----------------------------------------------------------------------------------
 
 def slow_fingerprint(text, k=3):
