@@ -58,17 +58,32 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", times: str | None = None) -> DataFrame:
+def all_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of ``docs``, with all their columns, whose (doc_id, text key) is in ``kept(_id, _key)``; repeated rows stay repeated."""
+    named = kept.select(F.col("_id").alias("_llm_id"), F.col("_key").alias("_llm_key"))
+    marked = docs.withColumn("_llm_row", text_key(F.col(text_col)))
+    found = marked.join(named, same(F.col(id_col), F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_key")), "left_semi")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", times: str | None = None,
+              source_col: str | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose (doc_id, text key) is in ``kept(_id, _key)``; one of each,
-    or as many of each as the column ``times`` of ``kept`` says.  The pairs of ``kept`` are distinct.
+    or as many of each as the column ``times`` of ``kept`` says.  The pairs of ``kept`` are distinct.  With ``source_col``
+    the source is part of the identity, and ``kept`` has it as ``_source``.
 
     The ranking shares the join's partitioning, and only the first row of each key is ever kept back.
     """
-    named = kept.select(F.col("_id").alias("_llm_id"), F.col("_key").alias("_llm_key"), *([F.col(times).alias("_llm_times")] if times else []))
-    marked = docs.withColumn("_llm_row", text_key(F.col(text_col)))
-    found = marked.join(named, same(F.col(id_col), F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_key")), "inner" if times else "left_semi")
+    source = [F.col("_source").alias("_llm_source")] if source_col else []
+    named = kept.select(F.col("_id").alias("_llm_id"), F.col("_key").alias("_llm_key"), *source, *([F.col(times).alias("_llm_times")] if times else []))
+    marked, key = docs.withColumn("_llm_row", text_key(F.col(text_col))), [id_col, "_llm_row"]
+    met = same(F.col(id_col), F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_key"))
+    if source_col:
+        marked, key = marked.withColumn("_llm_from", F.col(source_col).cast("string")), [*key, "_llm_from"]
+        met = met & same(F.col("_llm_from"), F.col("_llm_source"))
+    found = marked.join(named, met, "inner" if times else "left_semi")
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text_col and "map<" not in kind]
-    once = Window.partitionBy(id_col, "_llm_row").orderBy(F.xxhash64(*others))  # the same one in every run
+    once = Window.partitionBy(*key).orderBy(F.xxhash64(*others))  # the same one in every run
     rows = found.withColumn("_llm_no", F.row_number().over(once)).filter("_llm_no = 1")
     if times:
         rows = rows.withColumn("_llm_no", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))

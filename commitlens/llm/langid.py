@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import documents, keep_rows, register, text_key
+from .common import all_rows, documents, register, text_key
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -191,7 +191,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is accepted, with all their columns."""
     model = fit(training_windows(docs, "doc_id", "text", "lang"))
     kept = detect(docs, model).filter("accepted").select(F.col("doc_id").alias("_id"), F.col("key_of_text").alias("_key")).distinct()
-    return keep_rows(docs, kept)
+    return all_rows(docs, kept)
 
 
 @register("op7_language_id")

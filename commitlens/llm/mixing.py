@@ -146,9 +146,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed rows with all columns of ``docs``: each as often as its words are taken, rounded to whole documents."""
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))
-    kept = (mix(docs, id_col, text_col, source_col).withColumn("times", times).groupBy("doc_id", "key_of_text")
+    kept = (mix(docs, id_col, text_col, source_col).withColumn("times", times).groupBy("doc_id", "key_of_text", "source")
             .agg(F.sum("times").cast("int").alias("_times")).filter("_times > 0"))
-    return keep_rows(docs, kept.withColumnsRenamed({"doc_id": "_id", "key_of_text": "_key"}), id_col, text_col, times="_times")
+    named = kept.withColumnsRenamed({"doc_id": "_id", "key_of_text": "_key", "source": "_source"})
+    return keep_rows(docs, named, id_col, text_col, times="_times", source_col=source_col)
 
 
 _SQL = rf"""

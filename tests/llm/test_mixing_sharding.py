@@ -65,6 +65,17 @@ def test_mix_hot_source_and_kept_rows(make_docs):
     assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == +want
 
 
+def test_rows_of_one_id_and_text_keep_their_sources(make_docs):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(7, text, "en", s) for s in ("a", "b", "c", None)] + [(None, text, "en", s) for s in ("a", None)]
+    docs = make_docs(rows)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["source"]] += (2 * r["taken"] + r["size"]) // (2 * r["size"])
+    assert len(+want) > 2
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.take_mix(docs).collect()) == +want
+
+
 def test_apportion_is_highest_quotients(spark):
     rnd = random.Random(4)
     parties = [(f"s{i:02d}", i, float(rnd.choice([0, 1, 1, 5, 40, 333, 333, 5000]))) for i in range(15)]

@@ -50,6 +50,16 @@ def test_language_id_odd_rows(odd, empty):
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
 
 
+def test_every_accepted_row_stays(make_docs):
+    rows = [*ODD, *[(None, "un deux trois quatre", "fr", s) for s in ("x", "y", None)], (1, ODD[0][1], "en", "z")]
+    docs = make_docs(rows)
+    accepted = Counter((r["doc_id"], r["key_of_text"]) for r in langid.identify(docs).collect() if r["accepted"])
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["k"]) for r in kept.select("doc_id", F.xxhash64("text").alias("k")).collect()) == accepted
+    assert max(accepted.values()) > 1
+
+
 def test_pieces_of_a_text_add_up(monkeypatch):
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b"], rng.normal(size=(2, langid.BUCKETS)).astype(np.float32), np.zeros(2), 0.5)
