@@ -47,6 +47,9 @@ ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy":
 BLANKS = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LINK = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
+#: also in single quotes or without, in this order of preference within a tag; the value with its quotes
+ANY_LINK = (r"""(?i)<a\b(?:[^>]*?\shref\s*=\s*(?="[^"]*")|[^>]*?\shref\s*=\s*(?='[^']*')|[^>]*?\shref\s*=\s*(?=[^\s"'>]++[\s>]))"""
+            r"""("[^"]*"|'[^']*'|[^\s"'>]++)""")
 
 
 def digest(data: Column) -> Column:
@@ -95,7 +98,9 @@ def plain_text(html: Column) -> Column:
 def metadata_block(row: dict[str, Column]) -> Column:
     """warc-fields lines on a response."""
     title = F.regexp_replace(F.regexp_extract(row["payload"], TITLE, 1), r"[\r\n\t ]+", " ")
-    links = F.transform(F.regexp_extract_all(row["payload"], F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"[\r\n]+", " ")))
+    bare = lambda x: F.when(F.substring(x, 1, 1).isin('"', "'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    links = F.transform(F.regexp_extract_all(row["payload"], F.lit(ANY_LINK), 1),
+                        lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(bare(x), r"[\r\n]+", " ")))
     headers = F.transform(F.filter(F.split(row["http_headers"], "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("source-http: "), x))
     lines = F.concat(F.array(F.concat(F.lit("source-payload-digest: "), row["payload_digest"])), headers,
                      F.array(F.concat(F.lit("title: "), title)), links)
@@ -107,7 +112,7 @@ def derive(responses: DataFrame, date: str) -> DataFrame:
     r = {c: F.col(c) for c in ("record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")}
     r["payload"], r["http_headers"] = F.coalesce(r["payload"], F.lit("")), F.coalesce(r["http_headers"], F.lit(""))
     r["payload_digest"] = F.coalesce(r["payload_digest"], digest(r["payload"]))
-    carried = [c for c in responses.columns if c.startswith("source_")]
+    carried = [c for c in responses.columns if c.startswith("source_") and c != "source_payload_digest"]
     made = F.array(*[F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block")) for kind, mime, block in (
         ("metadata", "application/warc-fields", metadata_block(r)), ("conversion", "text/plain; charset=utf-8", plain_text(r["payload"])))])
     flat = responses.select(*carried, r["record_id"].alias("refers_to"), r["target_uri"], r["date"].alias("refers_to_date"),
@@ -137,16 +142,24 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: the header columns, ``block``, and ``whole`` (false where fewer bytes than Content-Length were found)."""
+    """Records of WARC files: the header columns, ``block``, and ``whole`` (false where fewer bytes than Content-Length were found).
+
+    Also ``payload_digest`` (WARC-Payload-Digest) and, of responses, ``http_headers`` and ``payload``, so that ``derive`` takes them.
+    """
     raw = spark.read.option("lineSep", VERSION + EOL).text(path).filter("value <> ''")
     at = F.instr("value", EOL + EOL)
     head = F.concat(F.lit(EOL), F.substring(F.col("value"), F.lit(1), at - 1), F.lit(EOL))
     rest = F.substring(F.col("value"), at + 4, F.length("value")).cast("binary")
-    cols = [F.nullif(F.regexp_extract(F.col("head"), rf"\r\n(?i:{name}):[ \t]*([^\r]*)\r", 1), F.lit("")).alias(c) for name, c in HEADERS.items()]
+    cols = [F.nullif(F.regexp_extract(F.col("head"), rf"\r\n(?i:{name}):[ \t]*([^\r]*)\r", 1), F.lit("")).alias(c) for name, c in {**HEADERS, "WARC-Payload-Digest": "payload_digest"}.items()]
     parsed = raw.select(head.alias("head"), rest.alias("rest")).select(*cols, "rest").withColumn("content_length", F.col("content_length").cast("long"))
     block = F.substring(F.col("rest"), F.lit(1), F.coalesce(F.col("content_length"), F.lit(0)).cast("int"))
+    blank = F.instr("block", EOL + EOL)
+    response, length = F.lower("warc_type") == "response", F.length("block")
+    http = F.when(response, F.when(blank > 0, F.substring(F.col("block"), F.lit(1), blank + 1)).otherwise(F.col("block")))
+    payload = F.when(response, F.when(blank > 0, F.substring(F.col("block"), blank + 4, length)).otherwise(F.lit("")))
     return parsed.select(*HEADERS.values(), block.cast("string").alias("block"),
-                         F.coalesce(F.octet_length("rest") >= F.col("content_length"), F.lit(False)).alias("whole"))
+                         F.coalesce(F.octet_length("rest") >= F.col("content_length"), F.lit(False)).alias("whole"), "payload_digest") \
+        .select("*", http.alias("http_headers"), payload.alias("payload"))
 
 
 def responses_of(pages: DataFrame, date: str) -> DataFrame:

@@ -54,6 +54,32 @@ def test_files_round_trip(spark):
     assert key(back) == key(records) and back.filter("NOT whole").count() == 0
 
 
+def test_links_in_any_quotes(spark):
+    html = ("<a href='/s q?a=\"1\"'>1</a><a class=k href=/u/?x=1>2</a><A\nHREF = \"/d\">3</A><a title=\"see href=no\" href='/t'>4</a><a href=/e class='c'>5</a>"
+            "<a title=\"see href=no\" href=/v>6</a><a href=\"\">7</a><a name=x>8</a><a data-href='/no'>9</a><area href='/no'><a href=''>10</a>")
+    row = ("<urn:1>", "u", "d", "", html, None, None)
+    block = warc.derive(responses(spark, [row]), "D").filter("warc_type = 'metadata'").first()["block"]
+    assert [x[9:] for x in block.split("\r\n") if x.startswith("outlink: ")] == ['/s q?a="1"', "/u/?x=1", "/d", "/t", "/e", "/v", "", ""]
+
+
+def test_responses_of_a_file_can_be_derived(spark):
+    def record(kind, i, block, more=""):
+        return (f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Date: d\r\nWARC-Target-URI: http://h/{i}\r\n{more}"
+                f"Content-Type: application/http\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n")
+    text = (record("response", 1, "HTTP/1.1 200 OK\r\nServer: s\r\n\r\n<p>é one</p>\r\n\r\n<a href=/x>two</a>", "WARC-Payload-Digest: sha1:OWN\r\n")
+            + record("response", 2, "HTTP/1.1 204 No Content\r\n\r\n") + record("request", 3, "GET / HTTP/1.1\r\n\r\n"))
+    path = scratch_path(spark, "warc_responses")
+    spark.createDataFrame([(text[:-4],)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    back = warc.read_warc(spark, path)
+    got = {r["record_id"]: (r["payload_digest"], r["http_headers"], r["payload"]) for r in back.collect()}
+    assert got == {"<urn:1>": ("sha1:OWN", "HTTP/1.1 200 OK\r\nServer: s\r\n", "<p>é one</p>\r\n\r\n<a href=/x>two</a>"),
+                   "<urn:2>": (None, "HTTP/1.1 204 No Content\r\n", ""), "<urn:3>": (None, None, None)}
+    made = {(r["refers_to"], r["warc_type"]): r for r in warc.derive(back.filter("warc_type = 'response'"), "D").collect()}
+    assert made["<urn:1>", "metadata"]["block"].split("\r\n") == ["source-payload-digest: sha1:OWN", "source-http: HTTP/1.1 200 OK", "source-http: Server: s",
+                                                                  "title: ", "outlink: /x", ""]
+    assert made["<urn:1>", "conversion"]["block"] == "é one\ntwo" and made["<urn:2>", "conversion"]["source_payload_digest"] == b32(b"")
+
+
 def changes(spark, rows):
     group = "struct<source:string,lang:string,version:string,tokens:long,bytes:long>"
     return spark.createDataFrame([(*r, "x") for r in rows], f"change_id string, before {group}, after {group}, n_tokens string")
