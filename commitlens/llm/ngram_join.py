@@ -51,7 +51,7 @@ from .lm_score import _deltas, _planes, _table, _text_words, _undeltas, _unplane
 SHINGLE = 4
 PERCENT = 85
 #: shingles in a block of sets
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: documents in a block
 BLOCK_DOCS = 1 << 17
 #: bytes of text for each hash range of shingles
