@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import batching, edges, history, ops, stars, symbols  # noqa: F401
+    from . import arrivals, batching, edges, history, ops, stars, symbols  # noqa: F401

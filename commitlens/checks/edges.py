@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.language import programming_language
 from ..operators.batching import repo_prefix_match, write_batches
 from ..operators.blobs import missing_objects
-from ..operators.churn import line_diff_counts
+from ..operators.churn import line_diff_counts, ordered_line_diff_counts
+from ..operators.classify import Drops, classify_changes, supported_files
+from ..operators.content_language import decide, learn
 from ..operators.history import first_n_changes, restrict_to_repos, version_pairs
 from ..operators.stars import co_starred_repos, star_counts, top_repos
 from ..operators.symbols import extract_symbols, latest_symbols
@@ -20,8 +22,8 @@ from ..session import scratch_path
 from ..sources.fixtures import FIXTURE_STAR_ORDER, FIXTURE_WALK_ORDER, blobs_view, changes_view, oracle_ctes, stars_view
 from ..sources.jsonl import write_record_lines
 from ..sources.tables import load_table
-from . import register
-from .history import CHB, CHRON, WALK, lang_sql
+from . import ORACLES, register
+from .history import CHB, CHRON, WALK, lang_sql, lines_sql
 
 STARS = oracle_ctes("v_stars")
 CH = oracle_ctes("v_changes")
@@ -57,6 +59,8 @@ def language_rules(spark, sf_dir):
 
 # ---- symbols: nesting of any depth, regex literals, anonymous classes, rare forms ----------------
 N, C = "CAST(p AS STRING)", "chr(10)"
+# a chain of names: 20,000 parts for some files, 20 for the rest
+CHAIN = "repeat('.b', CASE WHEN p % 100 < 10 THEN 20000 ELSE 20 END)"
 DEEP = 14
 
 
@@ -75,19 +79,23 @@ SNIPPETS = (
              f"'  Map<String, List<Map<String, Set<Map<A, List<B>>>>>> m', {N}, ';', {C}, '  Object o = new R(g(1, h(2))) {{ int q', {N}, ' = 2; }};', {C}, "
              f"'  void run(int z) {{ ', {_deep('{ ', ' }', repr('int w = 1;'))}, ' }}', {C}, '}}', {C})",
      f"['foo' || {N}]", f"['I' || {N}, 'K', 'm' || {N}, 'o', 'q' || {N}, 'run', 'z']"),
+    ("javascript", f"concat('o', {N}, {CHAIN}, ';', {C}, 'let v', {N}, ' = 1;', {C})", f"['o' || {N} || {CHAIN}]", f"['o' || {N} || {CHAIN}, 'v' || {N}]"),
+    ("java", f"concat('package p', {N}, {CHAIN}, ';', {C}, 'import a', {N}, {CHAIN}, ';', {C}, 'import s', {N}, {CHAIN}, '.*;', {C}, 'class K {{', {C}, "
+             f"'  private t', {CHAIN}, ' f', {N}, ' = new u', {CHAIN}, '(1);', {C}, '  r', {CHAIN}, ' run(q', {CHAIN}, ' z) {{ }}', {C}, '}}', {C})",
+     f"['p' || {N} || {CHAIN}, 'a' || {N} || {CHAIN}, 's' || {N} || {CHAIN}]", f"['p' || {N} || {CHAIN}, 'K', 'f' || {N}, 'run', 'z']"),
 )
 
 
 def _pick(column: int) -> str:
     body = " ".join(f"WHEN {i} THEN {s[column]}" for i, s in enumerate(SNIPPETS))
-    return f"CASE p % 3 {body} END"
+    return f"CASE p % {len(SNIPPETS)} {body} END"
 
 
 def _sorted_list(x: str) -> str:
     return f"array_to_string(list_sort(list_distinct({x})), ',')"
 
 
-LANGS = "CASE p % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'java' END"
+LANGS = f"CASE p % {len(SNIPPETS)} " + " ".join(f"WHEN {i} THEN '{s[0]}'" for i, s in enumerate(SNIPPETS)) + " END"
 SNIPPETS_SQL = f"SELECT {N} AS blob_id, {LANGS} AS programming_language, {_pick(1)} AS text FROM (SELECT p_partkey AS p FROM {{part}}) AS x"
 
 
@@ -142,14 +150,15 @@ def repo_prefix_match_long(spark, sf_dir):
     return out.select(F.length("key").cast("long").alias("key_length"), F.length("entry").cast("long").alias("entry_length"), "key")
 
 
-@register("record_lines_equal", """SELECT count(*) AS n_records, ceil(count(*) / 1000.0) <= count(*) AS bounded FROM lineitem""")
+@register("record_lines_equal", """SELECT count(*) AS n_records, 0::BIGINT AS n_too_long, true AS enough FROM lineitem""")
 def record_lines_equal(spark, sf_dir):
     """Equal records of one repository: lines of at most 1,000 records that hold all of them."""
     path = scratch_path(spark, "equal_records")
     li = load_table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo_url"), F.lit("same").alias("x"))
     write_record_lines(li, path, max_records=1000)
     sizes = spark.read.text(path).select(F.regexp_count("value", F.lit("same")).alias("n"))
-    return sizes.agg(F.sum("n").cast("long").alias("n_records"), (F.max("n") <= 1000).alias("bounded"))
+    return sizes.agg(F.sum("n").cast("long").alias("n_records"), F.count_if(F.col("n") > 1000).alias("n_too_long"),
+                     (F.count(F.lit(1)) * 1000 >= F.sum("n")).alias("enough"))
 
 
 # ---- missing objects, merges, ties, caps that cut, batches written again -------------------------
@@ -169,28 +178,74 @@ def missing_objects_q(spark, sf_dir):
     return missing_objects(version_pairs(changes_view(spark, sf_dir), FIXTURE_WALK_ORDER), _held(spark, sf_dir))
 
 
+# counts of pairs (new_blob_id, old_blob_id) by multisets; in the fixture no line moves or repeats, so line order changes nothing
+COUNTS_SQL = f"""
+lines AS (SELECT blob_id, unnest({lines_sql('text')}) AS line FROM held),
+sides AS (SELECT p.new_blob_id, p.old_blob_id, l.line, 1 AS s FROM pairs p JOIN lines l ON l.blob_id = p.new_blob_id
+          UNION ALL SELECT p.new_blob_id, p.old_blob_id, l.line, -1 AS s FROM pairs p JOIN lines l ON l.blob_id = p.old_blob_id),
+per_line AS (SELECT new_blob_id, old_blob_id, line, sum(s) AS d FROM sides GROUP BY ALL),
+counted AS (SELECT new_blob_id, old_blob_id, CAST(sum(greatest(d, 0)) AS INTEGER) AS added_lines_num, CAST(sum(greatest(-d, 0)) AS INTEGER) AS deleted_lines_num FROM per_line GROUP BY ALL)"""
+
+
 @register("diff_with_missing_objects", f"""{HELD_SQL},
 pairs AS (SELECT DISTINCT new_blob_id, old_blob_id FROM vp WHERE new_blob_id IN (SELECT blob_id FROM held)
-          AND (old_blob_id IS NULL OR old_blob_id IN (SELECT blob_id FROM held)))
-SELECT new_blob_id, old_blob_id FROM pairs""")
+          AND (old_blob_id IS NULL OR old_blob_id IN (SELECT blob_id FROM held))),{COUNTS_SQL}
+SELECT p.new_blob_id, p.old_blob_id, c.added_lines_num, c.deleted_lines_num FROM pairs p JOIN counted c ON c.new_blob_id = p.new_blob_id AND c.old_blob_id IS NOT DISTINCT FROM p.old_blob_id""")
 def diff_with_missing_objects(spark, sf_dir):
     """Pairs that name a lost object have no counts."""
     vp = version_pairs(changes_view(spark, sf_dir), FIXTURE_WALK_ORDER)
-    return line_diff_counts(vp, _held(spark, sf_dir)).select("new_blob_id", "old_blob_id")
+    return line_diff_counts(vp, _held(spark, sf_dir))
+
+
+@register("ordered_diff_with_missing_objects", ORACLES["diff_with_missing_objects"])
+def ordered_diff_with_missing_objects(spark, sf_dir):
+    vp = version_pairs(changes_view(spark, sf_dir), FIXTURE_WALK_ORDER)
+    return ordered_line_diff_counts(vp, _held(spark, sf_dir))
 
 
-@register("commit_info_missing_objects", f"""{HELD_SQL},
+OK_SQL = f"""{HELD_SQL},
 top AS (SELECT repo_url FROM v_changes GROUP BY repo_url ORDER BY count(*) DESC, repo_url LIMIT 7),
 ok AS (SELECT * FROM vp WHERE repo_url IN (SELECT repo_url FROM top) AND {lang_sql('file_path')} IS NOT NULL
-       AND new_blob_id IN (SELECT blob_id FROM held) AND (old_blob_id IS NULL OR old_blob_id IN (SELECT blob_id FROM held)))
-SELECT repo_url, commit_id, file_path, new_blob_id AS blob_id FROM ok
-QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY {WALK}) <= 20""")
+       AND new_blob_id IN (SELECT blob_id FROM held) AND (old_blob_id IS NULL OR old_blob_id IN (SELECT blob_id FROM held))),
+pairs AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY {WALK}) <= 20),{COUNTS_SQL}"""
+
+
+@register("commit_info_missing_objects", f"""{OK_SQL}
+SELECT DISTINCT p.repo_url, p.commit_id, p.file_path, p.new_blob_id AS blob_id, c.added_lines_num, c.deleted_lines_num
+FROM pairs p JOIN counted c ON c.new_blob_id = p.new_blob_id AND c.old_blob_id IS NOT DISTINCT FROM p.old_blob_id""")
 def commit_info_missing_objects(spark, sf_dir):
     """Seven repositories, 20 records each although some changes name lost objects."""
     c = changes_view(spark, sf_dir)
     top = top_repos(c, 7, "repo_url").select("repo_url")
     out = commit_records(c, _held(spark, sf_dir), order=FIXTURE_WALK_ORDER, repos=top, limit=20)
-    return out.select("repo_url", "commit_id", "file_path", "blob_id")
+    return out.select("repo_url", "commit_id", "file_path", "blob_id", "added_lines_num", "deleted_lines_num").distinct()
+
+
+@register("commit_info_drops", f"""{HELD_SQL}, marked AS (SELECT *, new_blob_id IN (SELECT blob_id FROM held) AS there,
+  old_blob_id IS NULL OR old_blob_id IN (SELECT blob_id FROM held) AS old_there FROM vp)
+SELECT unnest(['changes', 'deleted', 'vendored_or_image', 'missing_object', 'binary_or_unknown', 'missing_old_object']) AS reason,
+  unnest([count(*), count(*) FILTER (new_blob_id IS NULL), 0, count(*) FILTER (new_blob_id IS NOT NULL AND NOT there),
+          count(*) FILTER (there AND {lang_sql('file_path')} IS NULL), count(*) FILTER (there AND {lang_sql('file_path')} IS NOT NULL AND NOT old_there)]) AS n FROM marked""")
+def commit_info_drops(spark, sf_dir):
+    """What Q2 drops and why, counted by the jobs that compute its records."""
+    drops = Drops()
+    commit_records(changes_view(spark, sf_dir), _held(spark, sf_dir), order=FIXTURE_WALK_ORDER, limit=None, drops=drops).count()
+    return spark.createDataFrame(list(drops.counts().items()), "reason string, n long")
+
+
+# ---- content that decides what the name leaves open ------------------------------------------------
+@register("ambiguous_languages", f"""{CHB}
+SELECT b.blob_id, CASE c.p % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'javascript' END AS language
+FROM v_blobs b JOIN (SELECT DISTINCT new_blob_id, p FROM v_changes) c ON c.new_blob_id = b.blob_id WHERE c.p % 5 IN (0, 1, 2) AND b.b % 2 = 0""")
+def ambiguous_languages(spark, sf_dir):
+    """Files whose extension is open between three languages, told apart by a model of the files whose name says it."""
+    c = changes_view(spark, sf_dir)
+    blobs = blobs_view(spark, sf_dir, c)
+    files = supported_files(classify_changes(c, blobs)).select(F.col("new_blob_id").alias("blob_id"), "programming_language").distinct()
+    even = blobs.where("b % 2 = 0").select("blob_id")
+    open_ = files.join(even, "blob_id", "left_semi").select("blob_id", F.array(*[F.lit(x) for x in ("python", "java", "javascript")]).alias("candidates"))
+    model = learn(files.join(even, "blob_id", "left_anti"), blobs)
+    return decide(open_, blobs, model).select("blob_id", "language")
 
 
 @register("first_changes_of_merges", f"""{CH}, m AS (SELECT repo_url, commit_id, file_path, commit_time, o, n, p, unnest([0, 1]) AS parent_index FROM v_changes)

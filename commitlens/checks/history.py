@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity as idf
-from ..functions.text import line_count
+from ..functions.text import line_count, split_lines
 from ..operators.blobs import blob_lookup, change_blob_pairs
-from ..operators.churn import line_diff_counts, line_diff_counts_seq, max_added_lines
+from ..operators.churn import line_diff_counts, max_added_lines, ordered_line_diff_counts
 from ..operators.classify import classify_changes, supported_files
 from ..operators.history import (drop_deletions, first_n_changes, latest_file_version, newest_commits,
                                  restrict_to_repos, version_pairs)
@@ -15,6 +15,7 @@ from ..operators.stars import top_repos
 from ..operators.windows import lag_over_group
 from ..plans.commit_info import RECORD_SCHEMA, commit_records
 from ..session import scratch_path
+from ..sources.blobs import read_blob_files, write_blob_files
 from ..sources.fixtures import FIXTURE_WALK_ORDER, blobs_view, changes_view, oracle_ctes
 from ..sources.history import read_git_log, read_history_tables, write_git_log, write_history_tables
 from ..sources.jsonl import read_record_lines, write_record_lines
@@ -116,6 +117,41 @@ def git_log_scan(spark, sf_dir):
     return g.select("repo_url", "commit_id", "author_raw", "file_path", "new_blob_id", "old_blob_id", "status")
 
 
+@register("git_log_merges", f"""{CH}
+SELECT repo_url, commit_id, author_raw, file_path, new_blob_id, CASE parent_index WHEN 0 THEN 'a' || o ELSE 'b' || n END AS old_blob_id, parent_index
+FROM v_changes, (SELECT unnest([0, 1]) AS parent_index) AS m WHERE new_blob_id IS NOT NULL""")
+def git_log_merges(spark, sf_dir):
+    """Every commit a merge of two parents: a change has a row per parent, each with its own old side."""
+    c = changes_view(spark, sf_dir).where("new_blob_id IS NOT NULL")
+    line = F.concat(F.lit("::100644 100644 100644 a"), "o", F.lit(" b"), "n", F.lit(" "), "new_blob_id", F.lit(" MM\t"), "file_path")
+    commits = c.groupBy("repo_url", "commit_id", "author_raw", "commit_time").agg(F.collect_list(line).alias("lines"))
+    record = F.concat(F.lit("\x1e"), "commit_id", F.lit("\x1fp q\x1f"), "author_raw", F.lit("\x1f"), F.unix_timestamp(F.col("commit_time").cast("timestamp")).cast("string"),
+                      F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n"))
+    path = scratch_path(spark, "gitlog_merges")
+    commits.select("repo_url", record.alias("value")).write.partitionBy("repo_url").text(path)
+    return read_git_log(spark, path).select("repo_url", "commit_id", "author_raw", "file_path", "new_blob_id", "old_blob_id", "parent_index")
+
+
+# text and bytes of a part by p_partkey % 4: the bytes of a file and the text they are read as
+BLOB_FILES = (("hex(encode('line 1' || chr(10) || 'x = ' || p || chr(10)))", "'line 1' || chr(10) || 'x = ' || p || chr(10)"), ("'E96162' || hex(encode(p::VARCHAR))", "chr(65533) || 'ab' || p"),
+              ("'610062'", "'a' || chr(0) || 'b'"), ("'0A'", "chr(10)"))
+
+
+@register("blob_files", f"""SELECT 'b' || p_partkey AS blob_id, md5(text) AS text_md5, contains(text, chr(0)) AS has_nul, length(bytes)::BIGINT // 2 AS n_bytes
+FROM (SELECT *, CASE p % 4 {" ".join(f"WHEN {i} THEN {t}" for i, (_, t) in enumerate(BLOB_FILES))} END AS text,
+             CASE p % 4 {" ".join(f"WHEN {i} THEN {b}" for i, (b, _) in enumerate(BLOB_FILES))} END AS bytes FROM (SELECT p_partkey, p_partkey AS p FROM part) AS x) AS y""")
+def blob_files(spark, sf_dir):
+    """Files named by blob id: UTF-8, broken UTF-8, a NUL, a line break."""
+    p = load_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("p"), "p_partkey")
+    content = (F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("line 1\nx = "), "p", F.lit("\n")).cast("binary"))
+               .when(F.col("p_partkey") % 4 == 1, F.concat(F.unhex(F.lit("E96162")), F.col("p").cast("binary")))
+               .when(F.col("p_partkey") % 4 == 2, F.unhex(F.lit("610062"))).otherwise(F.unhex(F.lit("0A"))))
+    path = scratch_path(spark, "blob_files")
+    write_blob_files(p.select(F.concat(F.lit("b"), "p").alias("blob_id"), content.alias("content")), path)
+    b = read_blob_files(spark, path)
+    return b.select("blob_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.contains("text", F.lit("\u0000")).alias("has_nul"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
 @register("drop_deletions", f"""{CH}
 SELECT {KEYS_SQL} FROM v_changes WHERE new_blob_id IS NOT NULL""")
 def drop_deletions_q(spark, sf_dir):
@@ -236,7 +272,7 @@ diffs AS (
 def _doc_diffs(spark, sf_dir, seq=False):
     pairs = _document_pairs(spark, sf_dir)
     texts = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), "text")
-    fn = line_diff_counts_seq if seq else line_diff_counts
+    fn = ordered_line_diff_counts if seq else line_diff_counts
     d = fn(pairs, texts).alias("d")
     p = pairs.alias("p")
     cond = (F.col("p.new_blob_id") == F.col("d.new_blob_id")) & F.col("p.old_blob_id").eqNullSafe(F.col("d.old_blob_id"))
@@ -251,11 +287,70 @@ def line_diff_counts_q(spark, sf_dir):
     return _doc_diffs(spark, sf_dir)
 
 
-@register("line_diff_counts_seq")
+def ordered_diff_sql(pairs: str, lines: str) -> str:
+    """CTEs up to ``counted`` (new_id, old_id, added, deleted) in line order, over pairs(new_id, old_id) and
+    lines(id, pos, line); the longest increasing run of anchors step by step in lists."""
+    return f"""pairs AS ({pairs}),
+lines AS ({lines}),
+sides AS (SELECT p.new_id, p.old_id, 1 AS s, l.pos, l.line FROM pairs p JOIN lines l ON l.id = p.new_id WHERE p.old_id IS NOT NULL
+          UNION ALL SELECT p.new_id, p.old_id, -1 AS s, l.pos, l.line FROM pairs p JOIN lines l ON l.id = p.old_id),
+occ AS (SELECT *, count(*) FILTER (s = 1) OVER w AS nn, count(*) FILTER (s = -1) OVER w AS no, max(CASE WHEN s = -1 THEN pos END) OVER w AS po
+        FROM sides WINDOW w AS (PARTITION BY new_id, old_id, line)),
+seqs AS (SELECT new_id, old_id, list(pos ORDER BY pos) AS ns, list(po ORDER BY pos) AS os FROM occ WHERE s = 1 AND nn = 1 AND no = 1 GROUP BY ALL),
+dp AS (SELECT new_id, old_id, ns, os, 1 AS i, [1::BIGINT] AS l, [0::BIGINT] AS p FROM seqs
+       UNION ALL
+       SELECT new_id, old_id, ns, os, i + 1, list_append(l, coalesce(b.l, 0) + 1), list_append(p, coalesce(b.j, 0)) FROM (
+         SELECT *, list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN os[j] < os[i + 1] THEN {{'l': l[j], 'j': j}} END)) AS b FROM dp WHERE i < len(os)) AS step),
+run AS (SELECT new_id, old_id, ns, os, p, list_position(l, list_max(l))::BIGINT AS k FROM dp WHERE i = len(os)
+        UNION ALL SELECT new_id, old_id, ns, os, p, p[k] FROM run WHERE p[k] > 0),
+kept AS (SELECT new_id, old_id, 1 AS s, ns[k] AS pos FROM run UNION ALL SELECT new_id, old_id, -1, os[k] FROM run),
+marked AS (SELECT o.*, k.pos IS NOT NULL AS anchor FROM occ o LEFT JOIN kept k ON k.new_id = o.new_id AND k.old_id = o.old_id AND k.s = o.s AND k.pos = o.pos),
+placed AS (SELECT *, count(*) FILTER (anchor) OVER (PARTITION BY new_id, old_id, s ORDER BY pos) AS seg FROM marked),
+per_line AS (SELECT new_id, old_id, seg, line, sum(s) AS d FROM placed WHERE NOT anchor GROUP BY ALL),
+counted AS (SELECT new_id, old_id, sum(greatest(d, 0)) AS a, sum(greatest(-d, 0)) AS r FROM per_line GROUP BY ALL)"""
+
+
+DOC_LINES_SQL = f"SELECT doc_id AS id, unnest({lines_sql('text')}) AS line, unnest(range(1, len({lines_sql('text')}) + 1)) AS pos FROM documents"
+
+
+@register("line_diff_counts_seq", f"""WITH RECURSIVE {ordered_diff_sql(
+    "SELECT doc_id AS new_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS old_id FROM documents", DOC_LINES_SQL)}
+SELECT d.source, p.new_id AS doc_id, p.old_id AS prev_doc_id,
+  CAST(CASE WHEN p.old_id IS NULL THEN (SELECT count(*) FROM lines l WHERE l.id = p.new_id) ELSE coalesce(c.a, 0) END AS INTEGER) AS added_lines_num,
+  CAST(coalesce(c.r, 0) AS INTEGER) AS deleted_lines_num
+FROM pairs p JOIN documents d ON d.doc_id = p.new_id LEFT JOIN counted c ON c.new_id = p.new_id""")
 def line_diff_counts_seq_q(spark, sf_dir):
+    """Order-aware counts of consecutive documents of a source."""
     return _doc_diffs(spark, sf_dir, seq=True)
 
 
+# every document against itself with its last third of lines moved to the front and every seventh line said twice
+MOVED_LINES_SQL = f"""
+old_lines AS (SELECT doc_id, unnest({lines_sql('text')}) AS line, unnest(range(1, len({lines_sql('text')}) + 1)) AS pos, len({lines_sql('text')}) AS n FROM documents WHERE text IS NOT NULL),
+new_lines AS (SELECT doc_id, line, ((pos - 1 + n // 3) % n) * 2 AS pos FROM old_lines UNION ALL
+              SELECT doc_id, line, ((pos - 1 + n // 3) % n) * 2 + 1 FROM old_lines WHERE pos % 7 = 0)"""
+
+
+@register("line_diff_counts_moved", f"""WITH RECURSIVE {MOVED_LINES_SQL},
+{ordered_diff_sql("SELECT 'n' || doc_id AS new_id, 'o' || doc_id AS old_id FROM documents WHERE text IS NOT NULL",
+                  "SELECT 'o' || doc_id AS id, line, pos FROM old_lines UNION ALL SELECT 'n' || doc_id, line, pos FROM new_lines")}
+SELECT p.new_id, p.old_id, CAST(coalesce(c.a, 0) AS INTEGER) AS added_lines_num, CAST(coalesce(c.r, 0) AS INTEGER) AS deleted_lines_num
+FROM pairs p LEFT JOIN counted c ON c.new_id = p.new_id""")
+def line_diff_counts_moved(spark, sf_dir):
+    """Versions in which lines move and repeat: a block that moves counts on both sides."""
+    d = load_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", split_lines("text").alias("l"))
+    n = F.size("l")
+    twice = F.transform("l", lambda x, i: F.when((i + 1) % 7 == 0, F.array(x, x)).otherwise(F.array(x)))
+    k = n - F.floor(n / 3).cast("int")
+    moved = F.flatten(F.concat(F.slice(twice, k + 1, n - k), F.slice(twice, F.lit(1), k)))
+    # a last line break for every line: a text of one empty line is not the empty text
+    text = lambda lines: F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    new, old = F.concat(F.lit("n"), "doc_id"), F.concat(F.lit("o"), "doc_id")
+    blobs = d.select(F.explode(F.array(F.struct(new.alias("blob_id"), text(moved).alias("text")), F.struct(old.alias("blob_id"), text(F.col("l")).alias("text")))).alias("b")).select("b.*")
+    out = ordered_line_diff_counts(d.select(new.alias("new_id"), old.alias("old_id")), blobs, "new_id", "old_id")
+    return out.select("new_id", "old_id", "added_lines_num", "deleted_lines_num")
+
+
 @register("max_added_lines", f"""WITH {DOC_DIFF_SQL}
 SELECT * FROM diffs WHERE added_lines_num <= {MAX_ADDED}""")
 def max_added_lines_q(spark, sf_dir):
@@ -306,13 +401,13 @@ records AS (
   LEFT JOIN counts c ON c.blob_id = k.new_blob_id)"""
 
 
-def commit_info_df(spark, sf_dir):
+def commit_info_df(spark, sf_dir, classified=None):
     """Q2 on the fixture: each change is a star of its repository, top 150 by stars, 100 records each."""
     c = changes_view(spark, sf_dir)
     b = blobs_view(spark, sf_dir, c)
     star_list = c.select(idf.repo_full_name("repo_url").alias("repo_full_name"))
     top = top_repos(star_list, TOP_N).select(idf.repo_url_from_name("repo_full_name").alias("repo_url"))
-    return commit_records(c, b, order=FIXTURE_WALK_ORDER, repos=top, limit=RECORD_LIMIT)
+    return commit_records(c, b, order=FIXTURE_WALK_ORDER, repos=top, limit=RECORD_LIMIT, classified=classified)
 
 
 @register("commit_info", f"{COMMIT_INFO_SQL}\nSELECT * FROM records")

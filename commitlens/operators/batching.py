@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import repo_slug
+from ..session import ensure_checkpoint_dir
 from .windows import Order, global_row_number
 
 
@@ -41,22 +45,47 @@ def pending_repos(wanted: DataFrame, done: DataFrame, wanted_col: str = "repo_fu
 
 def repo_prefix_match(keys: DataFrame, entries: DataFrame, key_col: str = "key", entry_col: str = "entry",
                       pick: str = "all") -> DataFrame:
-    """Pairs (key, entry) with ``entry.startswith(key)``, as an equi join.
+    """Pairs (key, entry) with ``entry.startswith(key)``, as a range join.
 
-    Every entry is expanded to its prefixes of the lengths that keys have (the distinct
-    lengths are read first: a handful of numbers) and joined on equality with the keys, so the
-    match is a shuffle join instead of a nested loop over all pairs.  ``pick="last"``
-    keeps one entry per key, the greatest, like the reference's "last match wins"
-    with a deterministic order instead of directory-scan order.
+    An entry starts with a key if it lies in the interval from the key up to all that continues it.  Keys and entries are
+    sorted together into range slices; in sorted order the intervals that are open form a stack, and an entry's keys are the
+    stack.  The intervals open at the start of a slice are the keys of earlier slices that its first string starts with: a
+    lookup with one string a slice.  No entry is copied, however many lengths the keys have.  ``pick="last"`` keeps one entry
+    per key, the greatest, like the reference's "last match wins" with a deterministic order instead of directory-scan order.
     """
     if pick not in ("all", "last"):
         raise ValueError("pick must be 'all' or 'last'")
-    e = entries.select(F.col(entry_col)).distinct()
-    found = keys.select(F.length(key_col).alias("n")).where("n IS NOT NULL").distinct().collect()
-    lengths = F.array(*[F.lit(r["n"]) for r in sorted(found)]).cast("array<int>")
-    prefixes = e.select(entry_col, F.explode(F.filter(lengths, lambda n: n <= F.length(entry_col))).alias("_len")).select(
-        entry_col, F.substring(F.col(entry_col), F.lit(1), F.col("_len")).alias(key_col))
-    pairs = keys.select(key_col).distinct().join(prefixes, key_col, "inner")
+    spark = keys.sparkSession
+    ensure_checkpoint_dir(spark)
+    both = (keys.select(F.col(key_col).alias("_s"), F.lit(0).alias("_t")).unionByName(entries.select(F.col(entry_col).alias("_s"), F.lit(1).alias("_t")))
+            .where("_s IS NOT NULL").distinct())
+    # the slices come from sampled bounds: written once
+    placed = (both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_s", "_t")
+              .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
+    first = placed.groupBy("_slice").agg(F.min("_s").alias("_first"))  # one row a slice
+    prefixes = first.select(F.col("_slice").alias("_in"), F.explode(F.transform(
+        F.sequence(F.lit(0), F.length("_first")), lambda n: F.substring(F.col("_first"), F.lit(1), n))).alias("_s"))
+    opened = placed.where("_t = 0").join(prefixes, "_s").where(F.col("_slice") < F.col("_in"))
+    carried: dict[int, list[str]] = {}
+    for r in opened.select("_in", "_s").collect():  # keys that contain each other, one such chain a slice
+        carried.setdefault(r["_in"], []).append(r["_s"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[str] | None = None
+        for b in batches:
+            found: tuple[list[str], list[str]] = ([], [])
+            for s, t, at in zip(*(c.to_pylist() for c in b.columns)):
+                if stack is None:
+                    stack = sorted(carried.get(at, []), key=len)
+                while stack and not s.startswith(stack[-1]):
+                    stack.pop()
+                if t:
+                    found[0].extend(stack), found[1].extend([s] * len(stack))
+                else:
+                    stack.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()) for f in found], [key_col, entry_col])
+
+    pairs = placed.sortWithinPartitions("_s", "_t").mapInArrow(match, f"`{key_col}` string, `{entry_col}` string")
     if pick == "last":
         pairs = pairs.groupBy(key_col).agg(F.max(entry_col).alias(entry_col))
     return pairs

@@ -1,117 +1,187 @@
 """Added / deleted line counts between file versions.
 
-Two forms:
-
-* ``line_diff_counts`` -- set-based, JVM only: each version becomes a multiset of
-  line hashes, the two multisets are subtracted per pair.  Exact whenever line
-  order does not matter (a pure move counts 0/0 instead of 1/1).  Only the texts of
-  asked ids move, as line hashes; joins are left to the planner, which splits a blob
-  that is in very many pairs.
-* ``line_diff_counts_seq`` -- exact sequence diff with the standard library's
-  ``difflib`` in ``mapInPandas`` after de-duplicating (new, old) pairs.
-
-Lines are split like Python's ``str.splitlines``.  The set form groups lines by
-two independent hashes (64 + 32 bits) rather than by text, to keep the shuffle
-narrow; a collision inside one pair is ~1e-20 likely for 20,000-line files.
+Lines are split like Python's ``str.splitlines`` and told apart by two independent hashes (64 + 32 bits); a collision
+inside one pair is ~1e-20 likely for 20,000-line files.  ``line_hashes`` reads each asked text once and writes its hashes;
+nothing after it touches a text.
+
+Two counts on top of it:
+
+* ``line_diff_counts`` -- by multisets: the lines of one side less those of the other.  Exact whenever line order does not
+  matter; a pure move counts 0/0.
+* ``ordered_line_diff_counts`` -- order-aware: lines that are unique on both sides are anchors, the longest run of anchors that
+  is increasing on both sides stays, and multisets are compared between neighbouring anchors of the run.  A moved line
+  counts 1/1.  Lines meet by a window on (pair, line) and get their place between anchors by a running count on (pair, side),
+  so neither side of a pair is ever held as text.  Only where anchors are out of order does a worker look for the run, over the
+  anchors' positions alone.
 """
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
+from ..session import materialise
 from .parallel import spread
 
 ADDED = "added_lines_num"
 DELETED = "deleted_lines_num"
 
+#: what a line starts with: a counter over a unified diff takes an added "+..." or a deleted "-..." for a file header
+PLUS, MINUS = 1, 2
 
-def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id", old_col: str = "old_blob_id",
-                     id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
-    """Per distinct (new, old) pair: ``added_lines_num``, ``deleted_lines_num`` (set-based).
 
-    A pair without an old side is a new file: (line count, 0).  Equal ids: (0, 0).  A pair that names an object
-    that ``texts`` lacks has no row.  Ids of ``texts`` are unique.
+def hashed_line(x: Column) -> Column:
+    """What is kept of a line: two hashes, and what it starts with."""
+    mark = F.when(x.startswith("+"), F.lit(PLUS)).when(x.startswith("-"), F.lit(MINUS)).otherwise(F.lit(0)).cast("tinyint")
+    return F.struct(F.xxhash64(x).alias("_h1"), F.hash(x).alias("_h2"), mark.alias("_m"))
+
+
+def line_hashes(texts: DataFrame, ids: DataFrame, id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
+    """(_id, _l) of the asked ids (column ``_id`` of ``ids``), written once; _l holds (_h1, _h2, _m) of each line.
+
+    The ids meet the text where it is read if they measure small enough to be broadcast, and only survivors are hashed.
     """
+    asked = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(ids.select("_id").distinct(), "_id", "left_semi")
+    return materialise(asked.select("_id", F.transform(split_lines("_t"), hashed_line).alias("_l")), "line_hashes")
+
+
+def _asked(pairs: DataFrame, new_col: str, old_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct pairs, those that are modifications, all ids)."""
     p = pairs.select(new_col, old_col).where(F.col(new_col).isNotNull()).dropDuplicates()
     mod = p.where(F.col(old_col).isNotNull() & (F.col(new_col) != F.col(old_col)))
-    roles = (mod.select(F.col(new_col).alias("_id"), new_col, old_col, F.lit(1).alias("_s"))
-             .unionByName(mod.select(F.col(old_col).alias("_id"), new_col, old_col, F.lit(-1).alias("_s"))))
     ids = p.select(F.col(new_col).alias("_id")).unionByName(mod.select(F.col(old_col).alias("_id"))).distinct()
-    # the ids are narrow: the planner broadcasts them if they measure small, and text that is not asked for stays where it is
-    asked = texts.select(F.col(id_col).alias("_id"), split_lines(text_col).alias("_lines")).join(ids, "_id", "inner")
-    hashed = spread(asked.select("_id", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("_h1"), F.hash(x).alias("_h2"))).alias("_l")), "_id")
+    return p, mod, ids
+
+
+def _roles(mod: DataFrame, new_col: str, old_col: str, keys: list[str]) -> DataFrame:
+    return (mod.select(F.col(new_col).alias("_id"), *keys, F.lit(1).alias("_s"))
+            .unionByName(mod.select(F.col(old_col).alias("_id"), *keys, F.lit(-1).alias("_s"))))
+
+
+def _finish(p: DataFrame, counted: DataFrame, hashed: DataFrame, new_col: str, old_col: str) -> DataFrame:
+    """Counts of the modifications (none: 0/0), and of new and unchanged files; pairs with a missing side have no row."""
     sizes = hashed.select("_id", F.size("_l").cast("int").alias("_n"))
-    lines = hashed.select("_id", F.explode("_l").alias("_l"))
-    per_line = lines.join(roles, "_id").groupBy(new_col, old_col, "_l").agg(F.sum("_s").alias("_d"))
-    per_pair = per_line.groupBy(new_col, old_col).agg(
-        F.sum(F.greatest(F.col("_d"), F.lit(0))).cast("int").alias(ADDED),
-        F.sum(F.greatest(-F.col("_d"), F.lit(0))).cast("int").alias(DELETED))
     new_known, old_known = sizes.select(F.col("_id").alias(new_col), "_n"), sizes.select(F.col("_id").alias(old_col))
+    mod = p.where(F.col(old_col).isNotNull() & (F.col(new_col) != F.col(old_col)))
     modified = (mod.join(new_known.drop("_n"), new_col, "left_semi").join(old_known, old_col, "left_semi")
-                .join(per_pair, [new_col, old_col], "left")
-                .select(new_col, old_col, F.coalesce(ADDED, F.lit(0)).alias(ADDED), F.coalesce(DELETED, F.lit(0)).alias(DELETED)))
+                .join(counted, [new_col, old_col], "left")
+                .select(new_col, old_col, *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in (ADDED, DELETED)]))
     whole = (p.where(F.col(old_col).isNull() | (F.col(new_col) == F.col(old_col))).join(new_known, new_col)
              .select(new_col, old_col, F.when(F.col(old_col).isNull(), F.col("_n")).otherwise(0).cast("int").alias(ADDED), F.lit(0).alias(DELETED)))
     return modified.unionByName(whole)
 
 
-def sequence_diff_counts(old: str | None, new: str, skip_marker_lines: bool = True) -> tuple[int, int]:
-    """(added, deleted) of a line sequence diff.
+def line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id", old_col: str = "old_blob_id",
+                     id_col: str = "blob_id", text_col: str = "text", hashed: DataFrame | None = None) -> DataFrame:
+    """Per distinct (new, old) pair: ``added_lines_num``, ``deleted_lines_num`` (multisets).
 
-    With ``skip_marker_lines`` an added line that itself starts with ``+`` and a
-    deleted line that starts with ``-`` are not counted: a unified diff shows them
-    as ``++``/``--`` and the reference's counter skips those prefixes.
+    A pair without an old side is a new file: (line count, 0).  Equal ids: (0, 0).  A pair that names an object
+    that ``texts`` lacks has no row.  Ids of ``texts`` are unique.  ``hashed`` (``line_hashes``) saves reading texts.
     """
-    if old is None:
-        return len(new.splitlines()), 0
-    a, b = old.splitlines(), new.splitlines()
-    added = deleted = 0
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
-        if tag in ("replace", "delete"):
-            deleted += sum(1 for x in a[i1:i2] if not (skip_marker_lines and x.startswith("-")))
-        if tag in ("replace", "insert"):
-            added += sum(1 for x in b[j1:j2] if not (skip_marker_lines and x.startswith("+")))
-    return added, deleted
-
-
-def line_diff_counts_seq(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id",
-                         old_col: str = "old_blob_id", id_col: str = "blob_id", text_col: str = "text",
-                         skip_marker_lines: bool = True) -> DataFrame:
-    """Exact sequence-diff counts per distinct (new, old) pair, whole texts, in ``mapInPandas``.
-
-    Only modified files go through Python; new files are line counts (JVM) and equal
-    ids are (0, 0).  Rows with a null old id never meet a join key, so they are not
-    funnelled into one task.
+    p, mod, ids = _asked(pairs, new_col, old_col)
+    hashed = line_hashes(texts, ids, id_col, text_col) if hashed is None else hashed
+    lines = hashed.select("_id", F.explode("_l").alias("_l")).select("_id", F.struct("_l._h1", "_l._h2").alias("_l"))
+    per_line = lines.join(_roles(mod, new_col, old_col, [new_col, old_col]), "_id").groupBy(new_col, old_col, "_l").agg(F.sum("_s").alias("_d"))
+    counted = per_line.groupBy(new_col, old_col).agg(
+        F.sum(F.greatest(F.col("_d"), F.lit(0))).alias(ADDED), F.sum(F.greatest(-F.col("_d"), F.lit(0))).alias(DELETED))
+    return _finish(p, counted, hashed, new_col, old_col)
+
+
+def longest_run(values: list[int]) -> list[int]:
+    """Indexes of a longest increasing subsequence of distinct values; of several, the one whose last index is smallest, and
+    going back from it always the nearest one."""
+    tails: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    end = -1
+    for i, v in enumerate(values):
+        k = bisect_left(tails, v)
+        before.append(at[k - 1] if k else -1)
+        if k == len(tails):
+            tails.append(v), at.append(i)
+            end = i
+        else:
+            tails[k], at[k] = v, i
+    run = []
+    while end >= 0:
+        run.append(end)
+        end = before[end]
+    return run[::-1]
+
+
+def _add_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs = [longest_run(v) for v in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(runs, pa.list_(pa.int32()))], [*b.schema.names[:-1], "_run"])
+
+
+def ordered_line_diff_counts(pairs: DataFrame, texts: DataFrame, new_col: str = "new_blob_id", old_col: str = "old_blob_id",
+                             id_col: str = "blob_id", text_col: str = "text", skip_marker_lines: bool = False,
+                             hashed: DataFrame | None = None) -> DataFrame:
+    """Per distinct (new, old) pair: ``added_lines_num``, ``deleted_lines_num``, in line order: a moved line counts 1/1.
+
+    New files, equal ids and missing objects as in ``line_diff_counts``.  With ``skip_marker_lines`` an added line that itself
+    starts with ``+`` and a deleted line that starts with ``-`` are not counted: a unified diff shows them as ``++`` / ``--``,
+    which a counter over it takes for file headers.  New files always count all their lines.
     """
-    from ..functions.text import line_count
-    p = pairs.select(new_col, old_col).where(F.col(new_col).isNotNull()).dropDuplicates()
-    mod = p.where(F.col(old_col).isNotNull() & (F.col(new_col) != F.col(old_col)))
-    new_t = texts.select(F.col(id_col).alias(new_col), F.col(text_col).alias("_new"))
-    old_t = texts.select(F.col(id_col).alias(old_col), F.col(text_col).alias("_old"))
-    joined = spread(mod.join(new_t, new_col, "inner").join(old_t, old_col, "inner"), new_col, old_col)
-
-    def run(batches):
-        for pdf in batches:
-            counts = [sequence_diff_counts(o, n, skip_marker_lines) for n, o in zip(pdf["_new"], pdf["_old"])]
-            yield pd.DataFrame({
-                new_col: pdf[new_col], old_col: pdf[old_col],
-                ADDED: pd.Series([c[0] for c in counts], dtype="int32"),
-                DELETED: pd.Series([c[1] for c in counts], dtype="int32"),
-            })
-
-    types = dict(joined.dtypes)
-    schema = f"{new_col} {types[new_col]}, {old_col} {types[old_col]}, {ADDED} int, {DELETED} int"
-    modified = joined.select(new_col, old_col, "_new", "_old").mapInPandas(run, schema)
-    new_files = (p.where(F.col(old_col).isNull()).join(new_t, new_col, "inner")
-                 .select(new_col, old_col, line_count("_new").alias(ADDED), F.lit(0).alias(DELETED)))
-    same = p.where(F.col(new_col) == F.col(old_col)).select(new_col, old_col, F.lit(0).alias(ADDED),
-                                                           F.lit(0).alias(DELETED))
-    return modified.unionByName(new_files).unionByName(same)
+    p, mod, ids = _asked(pairs, new_col, old_col)
+    hashed = line_hashes(texts, ids, id_col, text_col) if hashed is None else hashed
+    # a pair is one number from here on; written once, so that the number stays the same
+    numbered = materialise(mod.withColumn("_p", F.monotonically_increasing_id()), "diff_pairs")
+    lines = hashed.join(_roles(numbered, new_col, old_col, ["_p"]), "_id").select("_p", "_s", F.posexplode("_l").alias("_at", "_l"))
+    lines = spread(lines.select("_p", "_s", "_at", "_l._h1", "_l._h2", "_l._m"), "_p", "_h1")
+    counts = dict(added=F.lit(True), deleted=F.lit(True))
+    if skip_marker_lines:
+        counts = dict(added=F.col("_m") != PLUS, deleted=F.col("_m") != MINUS)
+    same_line = Window.partitionBy("_p", "_h1", "_h2")
+    new, old = F.col("_s") == 1, F.col("_s") == -1
+    seen = lines.select("*", F.count(F.when(new, 1)).over(same_line).alias("_nn"), F.count(F.when(old, 1)).over(same_line).alias("_no"),
+                        F.max(F.when(old, F.col("_at"))).over(same_line).alias("_old_at"))
+    anchor = (F.col("_nn") == 1) & (F.col("_no") == 1)
+    again = (F.col("_nn") > 0) & (F.col("_no") > 0) & ~anchor
+    per_pair = seen.groupBy("_p").agg(
+        F.count(F.when(new & (F.col("_no") == 0) & counts["added"], 1)).alias("_a"),
+        F.count(F.when(old & (F.col("_nn") == 0) & counts["deleted"], 1)).alias("_d"),
+        F.array_sort(F.collect_list(F.when(anchor & new, F.struct(F.col("_at").alias("n"), F.col("_old_at").alias("o"), F.col("_m").alias("m"))))).alias("_anchors"),
+        F.collect_list(F.when(again, F.struct("_s", "_at", "_h1", "_h2", "_m"))).alias("_again"))
+    per_pair = materialise(per_pair.withColumn("_o", F.transform("_anchors", lambda x: x["o"])), "diff_anchors")
+
+    moved = F.col("_o") != F.array_sort("_o")
+    schema = ", ".join(f"{c} {t}" for c, t in per_pair.dtypes if c != "_o") + ", _run array<int>"
+    in_order = per_pair.where(~moved).drop("_o").select("*", F.col("_anchors").alias("_kept"), F.lit(0).alias("_ma"), F.lit(0).alias("_md"))
+    runs = per_pair.where(moved).mapInArrow(_add_run, schema)
+    kept = F.transform("_run", lambda i: F.element_at("_anchors", i + 1))
+
+    def left(mark: int) -> Column:
+        """Anchors that are not in the run; those that start with the mark are not counted."""
+        def n(anchors) -> Column:
+            return F.size(F.filter(anchors, lambda x: x["m"] != mark)) if skip_marker_lines else F.size(anchors)
+        return n("_anchors") - n(kept)
+
+    all_pairs = in_order.unionByName(runs.select("*", kept.alias("_kept"), left(PLUS).alias("_ma"), left(MINUS).alias("_md")).drop("_run"))
+    all_pairs = all_pairs.select("_p", (F.col("_a") + F.col("_ma")).alias("_a"), (F.col("_d") + F.col("_md")).alias("_d"), "_kept", "_again")
+
+    # lines that repeat: how many anchors of the run stand before each, and multisets between anchors
+    def row(side: int, at: Column) -> Column:
+        return F.struct(F.lit(side).alias("_s"), at.alias("_at"), F.lit(None).cast("bigint").alias("_h1"), F.lit(None).cast("int").alias("_h2"),
+                        F.lit(None).cast("tinyint").alias("_m"))
+
+    marks = F.concat(F.transform("_kept", lambda x: row(1, x["n"])), F.transform("_kept", lambda x: row(-1, x["o"])), F.col("_again"))
+    placed = all_pairs.where(F.size("_again") > 0).select("_p", F.explode(marks).alias("_l")).select("_p", "_l.*")
+    so_far = Window.partitionBy("_p", "_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    between = placed.withColumn("_seg", F.count(F.when(F.col("_h1").isNull(), 1)).over(so_far)).where(F.col("_h1").isNotNull())
+    per_line = between.groupBy("_p", "_seg", "_h1", "_h2").agg(F.sum("_s").alias("_n"), F.first("_m").alias("_m"))
+    repeated = per_line.groupBy("_p").agg(F.sum(F.when(counts["added"], F.greatest("_n", F.lit(0)))).alias("_ra"),
+                                          F.sum(F.when(counts["deleted"], F.greatest(-F.col("_n"), F.lit(0)))).alias("_rd"))
+    totals = all_pairs.select("_p", "_a", "_d").join(repeated, "_p", "left")
+    counted = numbered.join(totals, "_p").select(new_col, old_col, (F.col("_a") + F.coalesce("_ra", F.lit(0))).alias(ADDED),
+                                                 (F.col("_d") + F.coalesce("_rd", F.lit(0))).alias(DELETED))
+    return _finish(p, counted, hashed, new_col, old_col)
 
 
 def max_added_lines(records: DataFrame, n: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.language import (IMAGE_EXTENSIONS, blob_language_facts, extension, is_vendored,
@@ -13,6 +14,21 @@ from ..functions.language import (IMAGE_EXTENSIONS, blob_language_facts, extensi
 DEFAULT_SUPPORTED = ("python", "java", "javascript")
 
 
+class Drops:
+    """Rows that a plan drops, by reason, counted by the jobs that run it (``DataFrame.observe``)."""
+
+    def __init__(self):
+        self.found: list[Observation] = []
+
+    def observation(self, name: str) -> Observation:
+        self.found.append(Observation(f"drops_{name}_{uuid.uuid4().hex[:8]}"))
+        return self.found[-1]
+
+    def counts(self) -> dict[str, int]:
+        """Once the plan has run: reason -> rows."""
+        return {reason: n for o in self.found for reason, n in o.get.items()}
+
+
 def classify_files(df: DataFrame, path_col: str = "file_path", text_col: str | None = None,
                    keep_unknown: bool = False) -> DataFrame:
     """Add ``programming_language``; drop binary, vendored and unknown files unless ``keep_unknown``."""
@@ -21,20 +37,36 @@ def classify_files(df: DataFrame, path_col: str = "file_path", text_col: str | N
 
 
 def classify_changes(changes: DataFrame, blobs: DataFrame, path_col: str = "file_path",
-                     blob_col: str = "new_blob_id", id_col: str = "blob_id", text_col: str = "text") -> DataFrame:
+                     blob_col: str = "new_blob_id", id_col: str = "blob_id", text_col: str = "text", store=None, drops: Drops | None = None) -> DataFrame:
     """Classify changes using their blob content, computing content facts once per blob, before the shuffle.
+    With ``store`` (a ``BlobStore``) only blobs that it has not seen are read.
 
     Paths that settle the matter (vendored, images) go first, so their content is not looked at.
 
-    Inner join on the blob: a change whose object is missing is dropped (only that row).
+    Inner join on the blob: a change whose object is missing is dropped (only that row).  ``drops`` counts what is dropped
+    and why, in the same pass.
     """
-    changes = changes.where(~is_vendored(path_col) & ~F.coalesce(extension(path_col).isin(*IMAGE_EXTENSIONS), F.lit(False)))
+    settled = is_vendored(path_col) | F.coalesce(extension(path_col).isin(*IMAGE_EXTENSIONS), F.lit(False))
+    if drops is not None:
+        changes = changes.observe(drops.observation("paths"), F.count(F.lit(1)).alias("changes"), F.count_if(F.col(blob_col).isNull()).alias("deleted"),
+                                  F.count_if(F.col(blob_col).isNotNull() & settled).alias("vendored_or_image"))
+    changes = changes.where(~settled & F.col(blob_col).isNotNull())
     ids = changes.select(F.col(blob_col).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    # facts are computed where the blob is read (map side), so only narrow columns shuffle
-    facts = (blobs.select(F.col(id_col), *blob_language_facts(text_col))
-             .join(ids, id_col, "left_semi")
-             .withColumnRenamed(id_col, blob_col))
-    return (changes.join(facts, blob_col, "inner")
+    if store is not None:
+        facts = store.facts(blobs, ids.select(F.col(id_col).alias("blob_id")), id_col, text_col).select(
+            F.col("blob_id").alias(blob_col), "_has_nul", "_shebang_lang")
+    else:  # facts are computed where the blob is read (map side), so only narrow columns shuffle
+        facts = (blobs.select(F.col(id_col), *blob_language_facts(text_col))
+                 .join(ids, id_col, "left_semi")
+                 .withColumnRenamed(id_col, blob_col))
+    if drops is None:
+        met = changes.join(facts, blob_col, "inner")
+    else:
+        met = changes.join(facts.withColumn("_known", F.lit(True)), blob_col, "left")
+        no_language = F.col("_known").isNotNull() & language_from_facts(path_col, "_has_nul", "_shebang_lang").isNull()
+        met = met.observe(drops.observation("contents"), F.count_if(F.col("_known").isNull()).alias("missing_object"),
+                          F.count_if(no_language).alias("binary_or_unknown")).where("_known").drop("_known")
+    return (met
             .withColumn("programming_language", language_from_facts(path_col, "_has_nul", "_shebang_lang"))
             .drop("_has_nul", "_shebang_lang")
             .where(F.col("programming_language").isNotNull()))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import Order, first_n_per_group, lag_over_group, latest_per_key
+from .windows import Order, as_of, first_n_per_group, lag_over_group, latest_per_key
 
 DEFAULT_WALK_ORDER: Order = (("commit_time", False), ("walk_index", True), ("change_index", True))
 
@@ -69,3 +69,15 @@ def version_pairs(changes: DataFrame, order: Order = DEFAULT_WALK_ORDER,
     spread over many tasks.  A deletion is a version with a null blob.
     """
     return lag_over_group(changes, list(keys), reverse_order(walk_order(changes, order)), [new_blob_col], [old_blob_col])
+
+
+def previous_versions(kept: DataFrame, changes: DataFrame, order: Order = DEFAULT_WALK_ORDER,
+                      keys: Sequence[str] = ("repo_url", "file_path"), new_blob_col: str = "new_blob_id",
+                      old_blob_col: str = "old_blob_id") -> DataFrame:
+    """``version_pairs`` for the rows of ``kept`` alone: an as-of lookup among the changes of their paths.
+
+    Changes of other paths are screened by key and never sorted; the rows of ``kept`` are rows of ``changes``.
+    """
+    order = walk_order(kept, order)
+    versions = changes.select(*dict.fromkeys([*keys, *[c for c, _ in order], new_blob_col]))
+    return as_of(kept, versions, list(keys), reverse_order(order), [new_blob_col], [old_blob_col])

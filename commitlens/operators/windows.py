@@ -10,6 +10,7 @@ order inside each group (ties would make results engine-dependent).
   size.  Rows are range-partitioned on (keys, order), so a hot key is cut into
   contiguous slices over many tasks; the first row of every slice then takes its
   predecessor from the tail of the previous slice (one row per slice).
+* ``as_of``: the last row of another table before each row, in the same way.
 * ``global_row_number``: 1-based rank over the whole frame from a distributed sort
   plus per-partition offsets (a table with one row per partition), not a
   single-partition window.
@@ -128,6 +129,39 @@ def lag_over_group(df: DataFrame, keys: Sequence[str], order: Order, cols: Seque
     return rest.select(*cols_out).unionByName(heads.select(*cols_out))
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Order, cols: Sequence[str],
+          names: Sequence[str] | None = None, slices: int | None = None) -> DataFrame:
+    """``left`` plus, for each of its rows, ``cols`` of the last row of ``right`` that stands before it in ``order`` among the
+    rows with the same ``keys`` (null where there is none).  A row of ``right`` at the same place does not count.
+
+    One sort of both sides together, cut into range slices as in ``lag_over_group``: a running last value per slice, and the
+    last value of the slices before it for the rows at its head.  Only rows of ``right`` whose keys ``left`` has are sorted.
+    """
+    spark, keys, names = left.sparkSession, list(keys), list(names or [f"prev_{c}" for c in cols])
+    ensure_checkpoint_dir(spark)
+    asked = right.join(left.select(*keys).distinct(), keys, "left_semi")
+    places = list(dict.fromkeys([*keys, *[c for c, _ in order]]))
+    value = F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names)])
+    row = F.struct(*[F.col(c) for c in left.columns])
+    kinds = dict(asked.select(value.alias("v")).dtypes)["v"], dict(left.select(row.alias("r")).dtypes)["r"]
+    both = (left.select(*places, F.lit(0).alias("_side"), row.alias("_row"), F.lit(None).cast(kinds[0]).alias("_value"))
+            .unionByName(asked.select(*places, F.lit(1).alias("_side"), F.lit(None).cast(kinds[1]).alias("_row"), value.alias("_value"))))
+    in_order = [*sort_exprs(order), F.col("_side").asc()]
+    ranged = (both.repartitionByRange(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys], *in_order)
+              .withColumn("_slice", F.spark_partition_id()))
+    so_far = Window.partitionBy(*keys, "_slice").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the slices come from sampled bounds: written once, so that both branches see the same
+    local = ranged.select(*keys, "_slice", "_row", F.last("_value", ignorenulls=True).over(so_far).alias("_value"), F.row_number().over(
+        Window.partitionBy(*keys, "_slice").orderBy(*in_order)).alias("_pos")).checkpoint(eager=True)
+    tails = local.groupBy(*keys, "_slice").agg(F.max_by("_value", "_pos").alias("_tail"))  # one row per (key, slice)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*keys, "_slice", F.last("_tail", ignorenulls=True).over(before).alias("_tail")).where("_tail IS NOT NULL").alias("_c")
+    rows = local.where("_row IS NOT NULL").alias("_l")
+    cond = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in keys] + [F.col("_l._slice") == F.col("_c._slice")]
+    found = rows.join(carried, cond, "left").select("_l._row", F.coalesce("_l._value", "_c._tail").alias("_value"))
+    return found.select("_row.*", *[F.col(f"_value.{n}").alias(n) for n in names])
+
+
 def global_row_number(df: DataFrame, order: Order, name: str = "row_number") -> DataFrame:
     """1-based position of every row in ``order`` over the whole frame."""
     # Positions are materialised once (checkpoint in the shared folder): a sort's

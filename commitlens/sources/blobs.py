@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_blob_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+#: fixed values: the ids (SHA-1, SHA-256) that git gives to the content of no bytes
+GIT_EMPTY_IDS = ("e69de29bb2d1d6434b8b29ae775ad8c2e48c5391", "473a0f4c3be8a93681a267e3b1e9a7dcda1185436fe141f7749120a303721813")
+
+
+def read_blob_files(spark: SparkSession, path: str, glob: str | None = None, empty_ids: Sequence[str] = ()) -> DataFrame:
     """``(blob_id, content BINARY, text STRING)`` from files whose base name (without
     extension) is the blob id.  Content is decoded as UTF-8 (invalid bytes replaced); the binary column stays
-    available for the NUL-byte test of the language classifier."""
+    available for the NUL-byte test of the language classifier.  Spark's file sources skip files of no bytes:
+    ``empty_ids`` (e.g. ``GIT_EMPTY_IDS``) are added as empty blobs."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.option("recursiveFileLookup", "true").load(path)
-    return files.select(
+    empty = spark.createDataFrame([(i, bytearray(), "") for i in empty_ids], "blob_id string, content binary, text string")
+    return empty.unionByName(files.select(
         F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("blob_id"),
         F.col("content"),
         # UTF-8; invalid byte sequences (binary files) become U+FFFD instead of failing the job
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-    )
+    ))
+
+
+def write_blob_files(blobs: DataFrame, path: str, id_col: str = "blob_id", content_col: str = "content") -> int:
+    """One file per row, named by its blob id, in the shared folder ``path``; returns their number.
+
+    A file of an id is the same whoever writes it, so a task that runs again does no harm.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                with store.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
+
+    rows = blobs.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")).where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull())
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -73,7 +73,7 @@ def test_newest_commits_rank_the_commit_table(spark):
 def test_commit_records_options(spark):
     ch, blobs, _ = history(spark)
     seq = {(r.commit_id, r.file_path): (r.added_lines_num, r.deleted_lines_num)
-           for r in commit_records(ch, blobs, order=WALK, limit=-1, diff="sequence").collect()}
+           for r in commit_records(ch, blobs, order=WALK, limit=-1, diff="ordered").collect()}
     assert seq[("c2", "a.py")] == (3, 1) and seq[("c1", "a.py")] == (2, 0)
     # the restriction (added <= n, as documented) is applied before the per-repository limit
     kept = commit_records(ch, blobs, order=WALK, limit=1, max_added=1).collect()

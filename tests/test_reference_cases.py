@@ -7,7 +7,7 @@ from commitlens.functions.language import detected_language, programming_languag
 from commitlens.operators.apply import map_rows
 from commitlens.operators.batching import batch_assign, repo_prefix_match
 from commitlens.operators.stars import top_repos
-from commitlens.operators.churn import line_diff_counts, line_diff_counts_seq, sequence_diff_counts
+from commitlens.operators.churn import line_diff_counts, ordered_line_diff_counts
 
 # Cases of the line counts that must come out alike
 DIFF_CASES = [
@@ -17,12 +17,7 @@ DIFF_CASES = [
 ]
 
 
-@pytest.mark.parametrize("old, new, deleted, added", DIFF_CASES)
-def test_sequence_diff_counts(old, new, deleted, added):
-    assert sequence_diff_counts(old, new) == (added, deleted)
-
-
-@pytest.mark.parametrize("form", ["set", "seq"])
+@pytest.mark.parametrize("form", ["set", "ordered"])
 def test_line_diff_dataframe(spark, form):
     texts = []
     pairs = []
@@ -32,20 +27,30 @@ def test_line_diff_dataframe(spark, form):
     pairs.append(("n0", None))  # a new file: (line count, 0)
     t = spark.createDataFrame(texts, "blob_id string, text string")
     p = spark.createDataFrame(pairs, "new_blob_id string, old_blob_id string")
-    fn = line_diff_counts if form == "set" else line_diff_counts_seq
+    fn = line_diff_counts if form == "set" else ordered_line_diff_counts
     got = {(r.new_blob_id, r.old_blob_id): (r.added_lines_num, r.deleted_lines_num) for r in fn(p, t).collect()}
     for i, (_, _, deleted, added) in enumerate(DIFF_CASES):
         assert got[(f"n{i}", f"o{i}")] == (added, deleted)
     assert got[("n0", None)] == (2, 0)
 
 
-def test_marker_lines_rule():
-    # a unified diff shows "- item" removed as "-- item": the reference does not count it
-    assert sequence_diff_counts("a\n- item\n", "a\n") == (0, 0)
-    assert sequence_diff_counts("a\n- item\n", "a\n", skip_marker_lines=False) == (0, 1)
-    assert sequence_diff_counts("x\n", "x\n++i;\n") == (0, 0)
+# Lines that a counter over a unified diff takes for file headers
+MARKER_CASES = [("a\n- item\n", "a\n", 0, 1), ("x\n", "x\n++i;\n", 1, 0), ("-a\nb\nc\n", "b\nc\n-a\n", 1, 1), ("+a\nb\nc\n", "b\nc\n+a\n", 1, 1)]
+
+
+def test_marker_lines_rule(spark):
+    # a unified diff shows "- item" removed as "-- item": with the option it is not counted
+    t = spark.createDataFrame([(f"{s}{i}", c[k]) for i, c in enumerate(MARKER_CASES) for k, s in enumerate("on")], "blob_id string, text string")
+    p = spark.createDataFrame([(f"n{i}", f"o{i}") for i in range(len(MARKER_CASES))], "new_blob_id string, old_blob_id string")
+
+    def got(skip):
+        return [tuple(r)[2:] for r in ordered_line_diff_counts(p, t, skip_marker_lines=skip).orderBy("new_blob_id").collect()]
+
+    assert got(False) == [c[2:] for c in MARKER_CASES]
+    assert got(True) == [(0, 0), (0, 0), (1, 0), (0, 1)]
 
 
+# Batch sizes that must come out alike
 @pytest.mark.parametrize("n, size, expected", [(10, 3, [3, 3, 3, 1]), (9, 3, [3, 3, 3])])
 def test_batches(spark, n, size, expected):
     df = spark.createDataFrame([(i,) for i in range(1, n + 1)], "v long")
@@ -57,6 +62,7 @@ def test_batches(spark, n, size, expected):
     assert [v for _, v in rows] == list(range(1, n + 1))
 
 
+# Language names that must come out alike
 @pytest.mark.parametrize("path, language", [
     ("notebooks/plots.ipynb", "jupyter notebook"),
     ("src/main/App.java", "java"),
