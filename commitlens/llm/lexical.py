@@ -13,7 +13,7 @@ have a term, L terms in all of them, n terms of a document, df documents with a
 * **Bounds**: the rows of a (term, level) are intersected; the result has every document where tf reaches the level, and few
   others.  A weighted sum of these slices, each level adding what the score gains up to the tf below the next level, is an
   upper bound of the score of every document of the block.
-* **Threshold**: the ``FIRST`` documents with the highest bounds are scored exactly from their texts; the tenth score is the
+* **Threshold**: the documents with the highest bounds, twice as many as are asked for, are scored exactly from their texts; the tenth score is the
   least that counts.  All documents whose bound reaches it, however many, are scored exactly; the rest are provably out.
 
 The index holds every document; items are taken in blocks of about ``QUERY_TERMS`` terms.  Rows that share an item_id are one
@@ -38,10 +38,10 @@ from ..sources.tables import load_table
 from .common import documents, materialize, register, same, text_key
 
 TOP = 10
-#: documents with the highest bounds that are scored to find the threshold
-FIRST = 2 * TOP
 #: distinct terms of the items that are searched at once
 QUERY_TERMS = 1 << 14
+#: slices of an item's rows that are ranked before all are
+SLICES = 16
 #: bits of a signature for each (term, level), at least; hash functions
 BITS, HASHES = 12, 6
 #: the longest signature; larger documents have more false bits, which only loosens their bounds
@@ -296,9 +296,17 @@ def _exact(docs: DataFrame, found: DataFrame, query: Query, id_col: str, text_co
     return met.mapInArrow(run, "item int, doc_id long, score long").filter("score > 0")
 
 
+def _first(rows: DataFrame, n: int, by: str, rank: str, *ties: str) -> DataFrame:
+    """The n rows of each item that are highest by a column, then smallest by doc_id (null last); first within slices of the
+    item, so that its last step reads n rows a slice however many tasks had some."""
+    order = [F.col(by).desc(), F.col("doc_id").asc_nulls_last(), *ties]
+    part = rows.withColumn("_slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
+    part = part.withColumn(rank, F.row_number().over(Window.partitionBy("item", "_slice").orderBy(*order))).filter(F.col(rank) <= n).drop("_slice")
+    return part.withColumn(rank, F.row_number().over(Window.partitionBy("item").orderBy(*order))).filter(F.col(rank) <= n)
+
+
 def _top(scored: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return _first(scored, top, "score", "rank")
 
 
 def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
@@ -327,9 +335,7 @@ def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: st
         number = {name: i for i, name in enumerate(names)}
         query = Query([(number[r["item_id"]], r["term"].encode(), r["df"]) for r in rows], n["docs"], n["terms"], len(names))
         highest = blocks.mapInArrow(_highest(query, 2 * top), _FOUND)
-        order = Window.partitionBy("item").orderBy(F.col("bound").desc(), F.col("doc_id").asc_nulls_last(), "key_of_text")
-        highest = highest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * top)
-        first = _top(_exact(docs, highest, query, id_col, text_col), top)
+        first = _top(_exact(docs, _first(highest, 2 * top, "bound", "place", "key_of_text"), query, id_col, text_col), top)
         least = np.zeros(len(names), dtype=np.int64)
         for r in first.filter(F.col("rank") == top).select("item", "score").collect():  # one row an item
             least[r["item"]] = r["score"]

@@ -64,6 +64,8 @@ POSITIONS = 8
 MANY = 128
 #: leaders whose overlaps are kept in a cell
 LEADERS = 64
+#: prefix shingles that are tied up at once
+ENTRIES = 1 << 20
 #: distinct words whose hashes a task keeps
 WORDS = 1 << 20
 
@@ -220,13 +222,29 @@ def _alive(shift: int, percent: int):
 # ---- cells -----------------------------------------------------------------------------------------
 
 def _entries(percent: int):
-    """(token, sid) for the prefix of every set."""
+    """Lists of the prefixes, tied up within the task: (token, smallest sid here) once a token, and without a token the ties
+    (sid, smaller sid) of sets that share one here.  So a list as long as the table is one entry a task."""
+    def tied(tokens: list[np.ndarray], sids: list[np.ndarray]) -> pa.RecordBatch:
+        t, s = np.concatenate(tokens), np.concatenate(sids)
+        order = np.lexsort((s, t))
+        t, s = t[order], s[order]
+        first = np.flatnonzero(np.diff(t, prepend=~t[:1]))
+        least = np.repeat(s[first], np.diff(np.append(first, len(t))))
+        ties = np.unique(np.stack([s, least])[:, s != least], axis=1)
+        token = pa.concat_arrays([pa.array(t[first]), pa.nulls(ties.shape[1], pa.int64())])
+        return pa.RecordBatch.from_arrays([token, pa.array(np.concatenate([s[first], ties[0]])), pa.array(np.concatenate([s[first], ties[1]]))], ["token", "sid", "least"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                prefix = r["n"] - _needed(r["n"], percent) + 1 - r["skip"]
-                t = np.frombuffer(r["tokens"], dtype="<i8")[:prefix]
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), r["sid"]))], ["token", "sid"])
+        tokens, sids, held = [], [], 0
+        for r in (r for b in batches for r in b.to_pylist()):
+            t = np.frombuffer(r["tokens"], dtype="<i8")[:r["n"] - _needed(r["n"], percent) + 1 - r["skip"]]
+            tokens.append(t), sids.append(np.full(len(t), r["sid"]))
+            held += len(t)
+            if held >= ENTRIES:
+                yield tied(tokens, sids)
+                tokens, sids, held = [], [], 0
+        if held:
+            yield tied(tokens, sids)
     return run
 
 
@@ -389,9 +407,11 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int, buckets: int) -> Da
     told = asked.groupBy("bucket").applyInArrow(_classes, _TOLD).withColumn("slots", F.lit(None).cast("array<int>"))
     told = told.unionByName(owned.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("classes"), "slots"))
     alive = materialize(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_alive(shift, percent), _ALIVE), "jaccard_alive")
-    entries = materialize(alive.mapInArrow(_entries(percent), "token long, sid long"), "jaccard_entries")
-    lists = entries.groupBy("token").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = connected_components(entries.join(lists, "token").filter("sid <> least").select(F.col("sid").alias("u"), F.col("least").alias("v")).distinct())
+    entries = materialize(alive.mapInArrow(_entries(percent), "token long, sid long, least long"), "jaccard_entries")
+    heads = entries.filter("token IS NOT NULL").select("token", "sid")
+    lists = heads.groupBy("token").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = heads.join(lists, "token").filter("sid <> least").select("sid", "least").unionByName(entries.filter("token IS NULL").select("sid", "least"))
+    ties = connected_components(pairs.select(F.col("sid").alias("u"), F.col("least").alias("v")).distinct())
     met = alive.join(_cells(alive, ties, percent), "sid").join(sets.select("sid", "copies"), "sid")
     return materialize(met.groupBy("cell").applyInArrow(_join_cell(percent), _FOUND), "jaccard_links")
 
