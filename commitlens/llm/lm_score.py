@@ -15,6 +15,7 @@ The relations, and how they are joined:
 * **n-grams**: a block sends each of its distinct n-grams once, with its count, to the hash bucket of the n-gram: packed
   arrays of 64-bit hashes, one row a (bucket, block, order).  So "the" is one entry a block, however often it occurs;
 * **count tables**, partitioned by hash: a bucket adds its entries up and joins the totals back to the blocks that asked;
+  the buckets take turns, ``PASSES`` at most, and the n-grams of one turn are all that is shuffled at a time;
 * with a cutoff of one, all orders are asked for at once.  A caller's higher cutoff (``min_count``) asks for an order above two
   only where both parts of an n-gram reach it, since no other can (a count is at most the count of its parts);
 * each block scores its words, and the sums are added up by document.
@@ -48,6 +49,8 @@ MIN_COUNT = 1
 BLOCK_WORDS = 400_000
 #: bytes of text for each hash bucket
 BUCKET_BYTES = 16 << 20
+#: turns in which the buckets are asked, so that one turn's n-grams are on disk at a time; their number does not grow
+PASSES = 8
 #: bytes of a text that are split into words at once
 PIECE = 1 << 22
 
@@ -186,11 +189,20 @@ class Block:
         return best, found
 
 
-def _ask(block: int, b: Block, n: int, buckets: int, min_count: int) -> Iterator[tuple]:
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _ask(block: int, b: Block, n: int, buckets: int, min_count: int, part: int = 0, parts: int = 1) -> Iterator[tuple]:
+    """The distinct n-grams of a block, by bucket; only those of every ``parts``-th bucket."""
     at = b.asked(n, min_count)
-    grams, which = np.unique(b.gram(n)[at], return_inverse=True)
-    counts = np.bincount(which, weights=b.own[at], minlength=len(grams))
-    edges = np.searchsorted((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    grams, own = b.gram(n)[at], b.own[at]
+    if parts > 1:
+        now = _bucket(grams, buckets) % np.uint64(parts) == part
+        grams, own = grams[now], own[now]
+    grams, which = np.unique(grams, return_inverse=True)
+    counts = np.bincount(which, weights=own, minlength=len(grams))
+    edges = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)):
         part = slice(edges[k], edges[k + 1])
         yield int(k), block, n, _deltas(grams[part]), _planes(counts[part].astype("<u4"))
@@ -229,7 +241,7 @@ def _load(block: pa.Table, told: pa.Table, min_count: int) -> Block:
 # ---- the plan ----------------------------------------------------------------------------------
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA,
-              min_count: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
+              min_count: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_words, log_score, and hits (how many words were found at each order, from 1).
 
     ``min_count`` 1 is plain stupid backoff, as in the registered query; above, rarer n-grams are scored as unseen.
@@ -242,21 +254,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     (texts.mapInArrow(_make_blocks(order, block_words), _BLOCK).write.option("compression", "zstd")
      .option("path", scratch_path(spark, "llm_blocks")).bucketBy(int(max(tasks(docs), n_bytes // (64 << 20))), "block").saveAsTable(name))
     try:
-        return _score_blocks(spark.table(name), order, alpha, min_count, int(buckets))
+        return _score_blocks(spark.table(name), order, alpha, min_count, int(buckets), int(max(1, min(PASSES, n_bytes // BUCKET_BYTES))))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _score_blocks(blocks: DataFrame, order: int, alpha: float, min_count: int, buckets: int) -> DataFrame:
+def _score_blocks(blocks: DataFrame, order: int, alpha: float, min_count: int, buckets: int, parts: int) -> DataFrame:
     total = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     at_once = order if min_count <= 1 else min(order, 2)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                for n in range(1, at_once + 1):
-                    yield from _table(list(_ask(row["block"], b, n, buckets, min_count)), _ASK_NAMES, _ASK_KINDS).to_batches()
+    def first(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    b = Block(row)
+                    for n in range(1, at_once + 1):
+                        yield from _table(list(_ask(row["block"], b, n, buckets, min_count, part, parts)), _ASK_NAMES, _ASK_KINDS).to_batches()
+        return run
 
     def longer(n: int):
         def run(block: pa.Table, told: pa.Table) -> pa.Table:
@@ -268,7 +282,10 @@ def _score_blocks(blocks: DataFrame, order: int, alpha: float, min_count: int, b
     def totals(asked: DataFrame) -> DataFrame:
         return materialize(asked.groupBy("bucket", "n").applyInArrow(_add_up, _TOLD), "ngram_totals")
 
-    told = totals(blocks.mapInArrow(first, _ASK))
+    told = totals(blocks.mapInArrow(first(0), _ASK))
+    for part in range(1, parts):  # the buckets in turns: what a turn has shuffled is answered, and goes, before the next
+        blocks.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that nothing holds
+        told = told.unionByName(totals(blocks.mapInArrow(first(part), _ASK)))
     for n in range(at_once + 1, order + 1):
         asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(longer(n), _ASK)
         told = told.unionByName(totals(asked))

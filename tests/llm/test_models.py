@@ -96,14 +96,14 @@ def test_lm_scores(spark, order, block_words):
     rnd = random.Random(order)
     rows = [(i, " ".join(rnd.choices("abcdef", k=rnd.randrange(0, 90))).replace("a", "A", 3)) for i in range(40)] + [(40, None), (41, ""), (None, "a b c"), (7, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = lm_score.lm_scores(df, order=order, block_words=block_words).collect()
+    got = lm_score.lm_scores(df, order=order, min_count=2, block_words=block_words).collect()
     key = lambda d, n, s, h: (str(d), n, round(s, 6) + 0.0, list(h))
     assert sorted(key(r["doc_id"], r["n_words"], r["log_score"], r["hits"]) for r in got) == sorted(
         key(d, *b) for (d, _), b in zip(rows, brute_lm([t for _, t in rows], order)))
 
 
 def test_lm_odd_rows(odd, empty):
-    got = lm_score.lm_scores(odd).collect()
+    got = lm_score.lm_scores(odd, min_count=2).collect()
     want = brute_lm([t for _, t, *_ in ODD])
     assert sorted((str(r["doc_id"]), r["n_words"], round(r["log_score"], 3)) for r in got) == sorted((str(o[0]), b[0], round(b[1], 3) + 0.0) for o, b in zip(ODD, want))
     assert lm_score.lm_scores(empty).count() == 0
@@ -118,12 +118,14 @@ def test_lm_query_counts_ngrams_that_occur_once(spark, tmp_path):
         (d, n, round(s, 4) + 0.0, h) for (d, _), (n, s, h) in zip(rows, want)]
 
 
-@pytest.mark.parametrize("order,block_words", [(3, 7), (4, 2_000_000)])
-def test_lm_scores_without_a_cutoff(spark, order, block_words):
+@pytest.mark.parametrize("order,block_words,bucket_bytes", [(3, 7, 100), (4, 2_000_000, 16 << 20)])
+def test_lm_scores_without_a_cutoff(spark, monkeypatch, order, block_words, bucket_bytes):
+    """The default: every n-gram counts; in several turns, and in one."""
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", bucket_bytes)
     rnd = random.Random(order)
     rows = [(i, " ".join(rnd.choices("abcdef", k=rnd.randrange(0, 60)))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = lm_score.lm_scores(df, order=order, min_count=1, block_words=block_words).collect()
+    got = lm_score.lm_scores(df, order=order, block_words=block_words).collect()
     assert sorted((r["doc_id"], round(r["log_score"], 6) + 0.0, list(r["hits"])) for r in got) == [
         (d, round(s, 6) + 0.0, h) for (d, _), (_, s, h) in zip(rows, brute_lm([t for _, t in rows], order, least=1))]
 
