@@ -47,6 +47,7 @@ def line_hashes(texts: DataFrame, ids: DataFrame, id_col: str = "blob_id", text_
     The ids meet the text where it is read if they measure small enough to be broadcast, and only survivors are hashed.
     """
     asked = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(ids.select("_id").distinct(), "_id", "left_semi")
+    asked = spread(asked, "_id")  # survivors only; a table of few files would be hashed by few tasks
     return materialise(asked.select("_id", F.transform(split_lines("_t"), hashed_line).alias("_l")), "line_hashes")
 
 
