@@ -2,7 +2,7 @@
 
 Equal texts form one atomic group (all null texts form one too).  Groups stand in the order of their
 SHA-256 digest, and each shard takes a contiguous run of them.  The law is ``bytes``: the largest shard
-is as small as any contiguous partition of that order allows.
+is as small as any contiguous partition of that order allows, and within that bound the others are near equal.
 
 The capacity is found by binary search: a capacity is feasible if filling the shards greedily from the left
 uses no more than ``shards``.  The search runs over sums of digest ranges ("cells"), never over the groups:
@@ -11,6 +11,10 @@ and an upper place for every cut, and each capacity is feasible, infeasible or o
 fall are then split by two more hex digits, in one aggregation over the group sums, until no capacity is open.
 The driver holds a few thousand cells at any size of the input; the groups never leave Spark.
 
+The cuts are then set from the left: each shard ends at the edge nearest to an even share of what lies before the next group that
+is larger than an even share (or before the end), no further than the capacity allows and far enough that the shards behind it hold
+the rest.  So a hot group makes one shard large, and the others share the rest.  Cells that hold such a place are split in the same way.
+
 A shard is then a range of digests, which every task decides from seven literals.  Slots number the rows of a
 shard by a hash of doc_id, counted up over hash buckets, so no task numbers a whole shard.
 
@@ -58,6 +62,46 @@ class Cells:
         return out
 
 
+    def even_cuts(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """Ends of all shards but the last, near even shares of the rest, and the cells that leave one open (none: the ends are right)."""
+        edges, total = self.edges, int(self.edges[-1])
+        unsure: set[int] = set()
+
+        def below(x: int) -> int:
+            i = bisect.bisect_right(edges, x) - 1
+            if edges[i] < x and not self.atomic[i]:
+                unsure.add(i)
+            return int(edges[i])
+
+        def above(x: int) -> int:
+            i = bisect.bisect_left(edges, x)
+            if edges[i] > x and not self.atomic[i - 1]:
+                unsure.add(i - 1)
+            return int(edges[i])
+
+        enough = [total]  # from enough[k] on, k shards hold the rest
+        for _ in range(shards - 1):
+            enough.append(above(max(0, enough[-1] - capacity)))
+        hot = []  # groups above an even share of all
+        for i in np.flatnonzero(np.diff(edges) * shards > total):
+            hot.append((int(edges[i]), int(edges[i + 1]))) if self.atomic[i] else unsure.add(int(i))
+        at, out = 0, []
+        for left in range(shards, 1, -1):
+            ahead = [(a, b) for a, b in hot if a >= at]
+            stop = ahead[0][0] if ahead else total
+            free = total - at - sum(b - a for a, b in ahead)
+            if stop == at:  # a hot group begins here, or nothing is left
+                even = ahead[0][1] if ahead else total
+            else:  # as many even shares up to the next hot group as come nearest to the share of all that is not hot
+                runs = max(1, (2 * (stop - at) * max(1, left - len(ahead)) + free) // (2 * free))
+                even = at + -((at - stop) // runs)
+            low, high = below(even), above(even)
+            near = low if at < low and even - low <= high - even else high
+            at = max(at, min(max(near, enough[left - 1]), below(min(at + capacity, total))))
+            out.append(at)
+        return out, unsure
+
+
 def _least(lo: int, hi: int, ok) -> int:
     """The smallest value in (lo, hi] for which the monotone ``ok`` holds; ok(hi) does."""
     while hi - lo > 1:
@@ -74,12 +118,11 @@ def _cells(rows) -> Cells:
 
 def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[str]]:
     """(capacity, lower digest bounds of shards 1, 2, ...) for ``groups(digest, bytes)``; the driver sees cell sums only."""
-    def sums(df: DataFrame, digits: int) -> list[tuple[str, int, int]]:
-        found = df.groupBy(F.substring("digest", 1, digits).alias("p")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+    def sums(df: DataFrame, prefix: Column) -> list[tuple[str, int, int]]:
+        found = df.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
         return [(r["p"], int(r["b"]), r["n"]) for r in found.collect()]
 
-    digits = FIRST_DIGITS
-    rows = sums(groups, digits)
+    rows = sums(groups, F.substring("digest", 1, FIRST_DIGITS))
     if not rows:
         return 0, []
     while True:
@@ -87,19 +130,23 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[str
         total = int(cells.edges[-1])
         feasible = _least(0, total, lambda c: cells.cuts(c, shards)[-1][0] >= total)
         possible = _least(0, feasible, lambda c: cells.cuts(c, shards)[-1][1] >= total) if feasible > 1 else feasible
-        ranges = list(zip((low for low, _ in cells.cuts(possible, shards)), (high for _, high in cells.cuts(feasible, shards))))
-        split = {p for i, p in enumerate(cells.prefix) if not cells.atomic[i]
-                 and any(cells.edges[i] < high and low < cells.edges[i + 1] for low, high in ranges[:-1])}
-        if possible == feasible and not split:
-            break
-        if not split:  # every place is sure: the two searches agree
-            raise AssertionError("open capacities without open cells")
-        found = groups.filter(F.substring("digest", 1, digits).isin(sorted({p for p in split if len(p) == digits})))
-        digits += MORE_DIGITS
-        rows = [r for r in rows if r[0] not in split] + sums(found, digits)
+        if possible == feasible:
+            places, split = cells.even_cuts(feasible, shards)
+            if not split:
+                break
+        else:
+            ranges = list(zip((low for low, _ in cells.cuts(possible, shards)), (high for _, high in cells.cuts(feasible, shards))))
+            split = {i for i in range(len(cells.prefix)) if not cells.atomic[i]
+                     and any(cells.edges[i] < high and low < cells.edges[i + 1] for low, high in ranges[:-1])}
+            if not split:  # every place is sure: the two searches agree
+                raise AssertionError("open capacities without open cells")
+        prefixes = {cells.prefix[i] for i in split}
+        finer = F.coalesce(*[F.when(F.substring("digest", 1, n).isin(sorted(p for p in prefixes if len(p) == n)), F.substring("digest", 1, n + MORE_DIGITS))
+                             for n in sorted({len(p) for p in prefixes})])
+        rows = [r for r in rows if r[0] not in prefixes] + sums(groups.filter(finer.isNotNull()), finer)
     bounds = []
-    for low, _ in cells.cuts(feasible, shards)[:-1]:
-        i = int(np.searchsorted(cells.edges, low))
+    for place in places:
+        i = int(np.searchsorted(cells.edges, place))
         bounds.append(cells.prefix[i] if i < len(cells.prefix) else "g")  # after every hex digest: an empty shard
     return feasible, bounds
 

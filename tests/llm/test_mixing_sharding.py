@@ -152,6 +152,34 @@ def test_shards_are_minimax(make_docs, monkeypatch, seed, copies, shards):
     check_shards(rows, sharding.shard_rows(make_docs(rows), shards).collect(), shards)
 
 
+def test_shards_beside_a_hot_group_are_near_equal(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "FIRST_DIGITS", 1)
+    monkeypatch.setattr(sharding, "MORE_DIGITS", 1)
+    rows = [(i, f"text number {i} " * 6, "en", "a") for i in range(2000)] + [(5000 + i, "hot text " * 12, "en", "a") for i in range(1000)]
+    got = sharding.shard_rows(make_docs(rows)).collect()
+    check_shards(rows, got)
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    hot = max(sums, key=sums.get)
+    rest = [n for s, n in sums.items() if s != hot]
+    assert len(rest) == 7 and min(rest) > 0.5 * sum(rest) / 7 and max(rest) < 1.5 * sum(rest) / 7
+
+
+def test_even_cuts_keep_the_capacity():
+    rnd = random.Random(12)
+    for _ in range(200):
+        sizes = [rnd.choice([1, 2, rnd.randrange(1, 30), rnd.randrange(1, 300)]) for _ in range(rnd.randrange(1, 40))]
+        shards = rnd.randrange(1, 10)
+        cells = sharding._cells([(f"{i:02d}", n, 1) for i, n in enumerate(sizes)])
+        capacity = brute_capacity(sizes, shards)
+        ends, unsure = cells.even_cuts(capacity, shards)
+        edges = [0, *ends, sum(sizes)]
+        assert not unsure and set(edges) <= set(itertools.accumulate(sizes, initial=0))
+        runs = [b - a for a, b in zip(edges, edges[1:])]
+        assert len(runs) == shards and max(runs) <= capacity
+
+
 def test_fewer_groups_than_shards(make_docs):
     rows = [(i, "abc"[i % 3], "en", "a") for i in range(9)]
     got = sharding.shard_rows(make_docs(rows)).collect()
