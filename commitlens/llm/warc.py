@@ -12,6 +12,9 @@ their own block, and have ids derived from the source's id, so a second run give
 Text: comments, scripts and styles go; tags of blocks become line ends and other tags vanish; named (the common ones)
 and numeric character references are resolved, each once; runs of blanks and empty lines are closed up.
 
+Broken pages, of any length, take time in proportion to their length: a comment, script or tag that is never closed is text, and a link's
+tag ends at ``>`` or where the next ``<a`` begins.
+
 All of it is DataFrame work without a shuffle, so neither a hot host nor copies of a page matter.  Digests are
 ``sha1:`` and Base32.  A null payload or header block counts as empty; a null URI or date gives no such line in the
 written record; a null record id stays null and the derivatives refer to nothing.  Repeated responses give repeated
@@ -34,6 +37,15 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 #: what is dropped whole, whichever begins first
 DROPPED = "(?is)<(?:!--.*?-->|" + "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template")) + ")"
+#: what such a part opens with
+OPENING = "(?i)<(?:!--|(?:script|style|noscript|template)\\b)"
+#: by opening: what stands before the places from which on it is never closed
+CLOSED = {"<(?=!--)": "(?s)^(.*)-->",
+          **{rf"(?i)<(?={t}\b)": rf"(?is)^(.*>)[^>]*</{t}\s*>" for t in ("script", "style", "noscript", "template")}}
+#: pages with more openings are searched for closers first: each opening without one would be followed to the end of the page
+MANY_OPENINGS = 32
+#: stands behind the "<" of openings that are never closed; its own occurrences are marked otherwise meanwhile
+MARK = "\ue000"
 BLOCK_TAGS = ("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr "
               "html li main nav ol option p pre section table tbody td tfoot th thead title tr ul").split()
 BLOCK_TAG = rf"(?i)</?({'|'.join(BLOCK_TAGS)})\b[^>]*>"
@@ -46,9 +58,12 @@ ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy":
 #: a run of blanks, unless it is one space already
 BLANKS = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
+#: an opening title, and the title behind it
+TITLE_TAG, TITLE_TEXT = r"(?i)<title\b", r"(?is)^[^>]*>(.*?)</title"
 LINK = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
 #: also in single quotes or without, in this order of preference within a tag; the value with its quotes
-ANY_LINK = (r"""(?i)<a\b(?:[^>]*?\shref\s*=\s*(?="[^"]*")|[^>]*?\shref\s*=\s*(?='[^']*')|[^>]*?\shref\s*=\s*(?=[^\s"'>]++[\s>]))"""
+LINK_TAG = r"(?i)<a\b"
+ANY_LINK = (r"""(?i)^<a\b(?:[^>]*?\shref\s*=\s*(?="[^"]*")|[^>]*?\shref\s*=\s*(?='[^']*')|[^>]*?\shref\s*=\s*(?=[^\s"'>]++[\s>]))"""
             r"""("[^"]*"|'[^']*'|[^\s"'>]++)""")
 
 
@@ -87,20 +102,53 @@ def _references(text: Column) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, "&")), whole), 1)  # the split is worked out once
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _marked(opening: str, closed: str):
+    return lambda t: _once(F.length(F.regexp_extract(t, closed, 1)), lambda n: F.concat(
+        F.substring(t, F.lit(1), n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), opening, f"<{MARK}s")))
+
+
+def _without_dropped(html: Column) -> Column:
+    """``DROPPED`` taken out, in time that grows with the page.
+
+    An opening that is never closed stays, and so do all later ones of its kind; they are marked before the search, so none of them is
+    followed to the end of the page.
+    """
+    t = F.replace(html, F.lit(MARK), F.lit(MARK + "n"))
+    for opening, closed in CLOSED.items():
+        t = _once(t, _marked(opening, closed))
+    t = F.replace(F.regexp_replace(t, DROPPED, ""), F.lit(MARK + "s"), F.lit(""))
+    careful = F.replace(t, F.lit(MARK + "n"), F.lit(MARK))
+    return F.when(F.regexp_count(html, F.lit(OPENING)) <= MANY_OPENINGS, F.regexp_replace(html, DROPPED, "")).otherwise(careful)
+
+
+def _without_tags(html: Column) -> Column:
+    """Tags end at a ``>``: behind the last one there are none."""
+    def one(t: Column) -> Column:
+        return _once(F.substring_index(t, ">", -1), lambda rest: F.concat(F.regexp_replace(F.regexp_replace(
+            F.substring(t, F.lit(1), F.length(t) - F.length(rest)), BLOCK_TAG, "\n"), ANY_TAG, ""), rest))
+    return _once(html, one)
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page."""
-    t = F.regexp_replace(html, DROPPED, "")
-    t = F.regexp_replace(F.regexp_replace(t, BLOCK_TAG, "\n"), ANY_TAG, "")
+    t = _without_tags(_without_dropped(html))
     t = F.regexp_replace(_references(t), BLANKS, " ")
     return F.btrim(F.regexp_replace(t, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def metadata_block(row: dict[str, Column]) -> Column:
     """warc-fields lines on a response."""
-    title = F.regexp_replace(F.regexp_extract(row["payload"], TITLE, 1), r"[\r\n\t ]+", " ")
+    behind = F.element_at(F.split(row["payload"], TITLE_TAG, 2), -1)
+    title = F.when(row["payload"].rlike(TITLE_TAG), F.regexp_extract(behind, TITLE_TEXT, 1)).otherwise("")
+    title = F.regexp_replace(title, r"[\r\n\t ]+", " ")
     bare = lambda x: F.when(F.substring(x, 1, 1).isin('"', "'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
-    links = F.transform(F.regexp_extract_all(row["payload"], F.lit(ANY_LINK), 1),
-                        lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(bare(x), r"[\r\n]+", " ")))
+    tags = F.transform(F.slice(F.split(row["payload"], LINK_TAG), F.lit(2), F.length(row["payload"])), lambda x: F.regexp_extract(F.concat(F.lit("<a"), x), ANY_LINK, 1))
+    links = F.transform(F.filter(tags, lambda x: x != ""), lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(bare(x), r"[\r\n]+", " ")))
     headers = F.transform(F.filter(F.split(row["http_headers"], "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("source-http: "), x))
     lines = F.concat(F.array(F.concat(F.lit("source-payload-digest: "), row["payload_digest"])), headers,
                      F.array(F.concat(F.lit("title: "), title)), links)

@@ -1,7 +1,11 @@
 """WARC derivatives (1) and token rollups (5)."""
 import base64
 import hashlib
+import random
+import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from commitlens.llm import token_rollups as tr
@@ -54,6 +58,35 @@ def test_files_round_trip(spark):
     assert key(back) == key(records) and back.filter("NOT whole").count() == 0
 
 
+SHREDS = ["<!--", "-->", "<script", "<SCRIPT>", "</script >", "</script", "<style a>", "</style>", "<noscript>", "</noscript>", "<template>", "</template>",
+          "<p", "</p>", "<title", "</TITLE", "<b", ">", "<", "!", " ", "x", "\ue000", "s", "n", "\n"]
+
+
+def test_parts_that_are_never_closed(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MANY_OPENINGS", -1)
+    rnd = random.Random(5)
+    pages = ["".join(rnd.choices(SHREDS, k=rnd.randrange(1, 40))) for _ in range(3000)]
+    df = spark.createDataFrame([(p,) for p in pages], "p string")
+    behind = F.element_at(F.split("p", warc.TITLE_TAG, 2), -1)
+    got = df.select("p", warc._without_dropped(F.col("p")).alias("d"), warc._without_tags(F.col("p")).alias("t"),
+                    F.when(F.col("p").rlike(warc.TITLE_TAG), F.regexp_extract(behind, warc.TITLE_TEXT, 1)).otherwise("").alias("title")).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r["d"] == re.sub(warc.DROPPED, "", r["p"], flags=re.A)
+        assert r["t"] == re.sub(warc.ANY_TAG, "", re.sub(warc.BLOCK_TAG, "\n", r["p"], flags=re.A))
+        title = re.search(warc.TITLE, r["p"], flags=re.A)
+        assert r["title"] == (title.group(1) if title else "")
+
+
+@pytest.mark.parametrize("shred", ["<!-- ", "<a ", "<a href=x ", "<a href=' ", "<script>", "<script ", "<title>", "<p ", "</p", "<!-- <style><noscript x", "&#", "<a\thref "])
+@pytest.mark.parametrize("end", ["", ">", "--></script></title>"])
+def test_broken_pages_of_a_megabyte(spark, shred, end):
+    page = shred * (1_000_000 // len(shred)) + end
+    start = time.monotonic()
+    got = warc.derive(responses(spark, [("<urn:1>", "u", "d", "", page, None, None)]), "D").collect()
+    assert len(got) == 2 and time.monotonic() - start < 30  # hours, if each opening were followed to the end
+
+
 def test_links_in_any_quotes(spark):
     html = ("<a href='/s q?a=\"1\"'>1</a><a class=k href=/u/?x=1>2</a><A\nHREF = \"/d\">3</A><a title=\"see href=no\" href='/t'>4</a><a href=/e class='c'>5</a>"
             "<a title=\"see href=no\" href=/v>6</a><a href=\"\">7</a><a name=x>8</a><a data-href='/no'>9</a><area href='/no'><a href=''>10</a>")
