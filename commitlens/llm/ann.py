@@ -19,8 +19,12 @@ before each round and dealt over parts of about ``QUERY_ROWS`` by a hash of the
 both sides of a join group are bounded.  Equal query vectors of a group are searched once.  No block is broadcast and
 nothing but the cell boxes and counts (bounded by the number of cells) reaches the driver.
 
-Rows whose vector is null, zero, of another length than the first valid one, or holds null or non-finite components take no part.  Ties go to the smaller
-id.  A null id takes no part.  Rows that repeat an id and vector are found as often as they occur, except for the query's own id.
+Vectors are first scaled by a power of two that brings their largest component under 1, which leaves their cosines as they are: very
+large and very small ones neither overflow nor vanish.
+
+Rows whose vector is null, zero, of another length than the commonest one (the smaller, if equally common), or holds null or non-finite components
+take no part.  Ties go to the smaller id.  A null id takes no part.  Rows that repeat an id and vector are found as often as they occur, except for
+the query's own id; a query id that repeats asks with the smallest of its scaled vectors.
 An empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -203,6 +207,21 @@ def _valid(vector: Column, width: int) -> Column:
     return F.coalesce((F.size(vector) == width) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, the largest component of each in [0.5, 1)."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
+def _descent(paths: list[tuple], ids: list[int], depth: int = 0):
+    """The tree whose leaves have these paths: a leaf's number, or (axis, value, left, right)."""
+    if len(ids) == 1:
+        return ids[0]
+    axis, value, _ = paths[ids[0]][depth]
+    left, right = [i for i in ids if not paths[i][depth][2]], [i for i in ids if paths[i][depth][2]]
+    return axis, value, _descent(paths, left, depth + 1), _descent(paths, right, depth + 1)
+
+
 def _project(batch_vectors: np.ndarray, d: np.ndarray) -> np.ndarray:
     norms = np.sqrt((batch_vectors * batch_vectors).sum(axis=1))
     return (batch_vectors / norms[:, None]) @ d
@@ -228,25 +247,32 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()  # bounded by SAMPLE
     d = directions(width, dims, seed)
     n = rows.count()
-    points = _project(np.array([r["v"] for r in sample], dtype=np.float64).reshape(-1, width), d)
+    points = _project(scaled(np.array([r["v"] for r in sample], dtype=np.float64).reshape(-1, width)), d)
     cells = split(points, max(1, math.ceil(CELL_ROWS * len(points) / max(n, 1))))
     paths = [path for _, path in cells]
     low, high = _boxes(paths, dims)
+    top = _descent(paths, list(range(len(paths))))
 
     def cell_of(p: np.ndarray) -> np.ndarray:
-        out = np.full(len(p), -1, dtype=np.int64)
-        for i in range(len(paths)):
-            inside = (out < 0) & (p > low[i]).all(axis=1) & (p <= high[i]).all(axis=1)
-            out[inside] = i
+        out = np.zeros(len(p), dtype=np.int64)
+        todo = [(top, np.arange(len(p)))]
+        while todo:
+            node, at = todo.pop()
+            if isinstance(node, int):
+                out[at] = node
+            elif len(at):
+                right = p[at, node[0]] > node[1]
+                todo += [(node[2], at[~right]), (node[3], at[right])]
         return out
 
     def place(batches):
         for b in batches:
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            v = scaled(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
             p = _project(v, d)
-            flat = pa.array(p.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, dims, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists, pa.array(cell_of(p))], ["vec_id", "v", "asks", "p", "cell"])
+
+            def lists(x: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(v), b.column(2), lists(p), pa.array(cell_of(p))], ["vec_id", "v", "asks", "p", "cell"])
 
     schema = "vec_id long, v array<double>, asks boolean, p array<double>, cell long"
     placed = materialize(rows.mapInArrow(place, schema), "ann_rows")
@@ -254,7 +280,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     n_blocks = _parts(counts, len(paths), 2 * CELL_ROWS)
     data = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks)).select("cell", "block", "vec_id", "v", "p")
     asked = placed.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("p").alias("qp"), "cell")
-    asked = asked.dropDuplicates(["query_id"])
+    asked = asked.groupBy("query_id").agg(F.min(F.struct("qv", "qp", "cell")).alias("one")).select("query_id", "one.*")
     bound = chi2_bound(confidence, dims)
     found_schema = "query_id long, vec_id long, score double"
 

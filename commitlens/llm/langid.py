@@ -58,17 +58,26 @@ class Model(NamedTuple):
 
 def subwords(data: bytes) -> np.ndarray:
     """Hashed 3- and 4-grams of a text."""
-    a = np.empty(len(data) + 2, dtype=np.uint8)
-    a[0] = a[-1] = 32
-    a[1:-1] = _FOLD[np.frombuffer(data, dtype=np.uint8)]
-    keep = np.ones(len(a), dtype=bool)
-    keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
-    a = a[keep].astype(np.uint32)
-    if len(a) < 3:
-        return np.zeros(0, dtype=np.uint32)
-    three = a[:-2] | a[1:-1] << np.uint32(8) | a[2:] << np.uint32(16)
-    four = three[:-1] | a[3:] << np.uint32(24)
-    return np.concatenate([three * np.uint32(0x9E3779B1), four * np.uint32(0x85EBCA6B) + np.uint32(1)]) >> np.uint32(16)
+    found = list(subwords_in_pieces(data, max(len(data), 1)))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
+
+
+def subwords_in_pieces(data: bytes, piece: int) -> Iterator[np.ndarray]:
+    """The n-grams of a text, ``piece`` of its bytes at a time: each is given where its last byte stands, so pieces change none."""
+    last = np.array([32], dtype=np.uint8)  # what n-grams of the next piece reach back to; the text begins and ends with a space
+    for at in range(0, max(len(data), 1), piece):
+        new = _FOLD[np.frombuffer(data, dtype=np.uint8, count=min(piece, len(data) - at), offset=at)] if data else np.zeros(0, dtype=np.uint8)
+        a = np.concatenate([last, new, np.full(int(at + piece >= len(data)), 32, dtype=np.uint8)])
+        keep = np.ones(len(a), dtype=bool)
+        keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
+        a, old = a[keep], len(last)
+        last = a[-3:]
+        a = a.astype(np.uint32)
+        if len(a) >= 3:
+            three = a[:-2] | a[1:-1] << np.uint32(8) | a[2:] << np.uint32(16)
+            four = three[:-1] | a[3:] << np.uint32(24)
+            three, four = three[max(old - 2, 0):], four[max(old - 3, 0):]
+            yield np.concatenate([three * np.uint32(0x9E3779B1), four * np.uint32(0x85EBCA6B) + np.uint32(1)]) >> np.uint32(16)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -124,10 +133,9 @@ def _calibrate(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def predict_text(model: Model, data: bytes) -> tuple[str, float]:
-    """Language and probability of a whole text (pieces overlap by the three bytes an n-gram reaches back)."""
+    """Language and probability of a whole text."""
     total, n = np.zeros(len(model.langs)), 0
-    for at in range(0, max(len(data), 1), PIECE):
-        f = subwords(data[max(0, at - 3):at + PIECE])
+    for f in subwords_in_pieces(data, PIECE):
         n += len(f)
         for k in range(len(model.langs)):
             total[k] += model.table[k].take(f).sum(dtype=np.float64)

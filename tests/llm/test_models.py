@@ -1,6 +1,7 @@
 """Language ID (7), LM scoring (3), nearest neighbours (2) and SentencePiece (6) against brute force."""
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -60,14 +61,48 @@ def test_every_accepted_row_stays(make_docs):
     assert max(accepted.values()) > 1
 
 
-def test_pieces_of_a_text_add_up(monkeypatch):
+def brute_subwords(data):
+    """All 3- and 4-grams of a folded text, hashed as integers, in plain Python."""
+    folded = bytes(c if c > 127 else c | 32 if chr(c).isalpha() else 32 for c in data)
+    folded = re.sub(rb" +", b" ", b" " + folded + b" ")
+    def grams(n):
+        return [int.from_bytes(folded[i:i + n], "little") for i in range(len(folded) - n + 1)]
+    return Counter([(g * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for g in grams(3)] + [((g * 0x85EBCA6B + 1) & 0xFFFFFFFF) >> 16 for g in grams(4)])
+
+
+def brute_predict(model, data):
+    n = brute_subwords(data)
+    z = [sum(float(model.table[k][f]) * c for f, c in n.items()) / max(sum(n.values()), 1) + float(model.bias[k]) for k in range(len(model.langs))]
+    e = [math.exp(x - max(z)) for x in z]
+    return model.langs[e.index(max(e))], max(e) / sum(e)
+
+
+TEXTS = ["une phrase et encore une phrase, déjà vue. " * 40, "", " ", "a", "ab", "x   ", "  1 2 3  4 ", "é", "漢字 😀 A-z", "ab cd " * 7 + "!" * 900 + "e"]
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 64, 500, 1 << 18])
+def test_pieces_of_a_text_change_nothing(monkeypatch, piece):
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b"], rng.normal(size=(2, langid.BUCKETS)).astype(np.float32), np.zeros(2), 0.5)
-    text = "une phrase et encore une phrase, déjà vue. " * 40
-    whole = langid.predict_text(model, text.encode())
-    monkeypatch.setattr(langid, "PIECE", 500)
-    lang, score = langid.predict_text(model, text.encode())
-    assert lang == whole[0] and score == pytest.approx(whole[1], abs=0.05)  # piece edges add a few n-grams
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for text in TEXTS:
+        data = text.encode()
+        assert Counter(np.concatenate([np.zeros(0, int), *langid.subwords_in_pieces(data, piece)]).tolist()) == brute_subwords(data)
+        assert Counter(langid.subwords(data).tolist()) == brute_subwords(data)
+        lang, score = langid.predict_text(model, data)
+        assert (lang, score) == (brute_predict(model, data)[0], pytest.approx(brute_predict(model, data)[1], abs=1e-9))
+
+
+def test_predictions_of_a_fixed_model(make_docs):
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(3, langid.BUCKETS)).astype(np.float32), rng.normal(size=3), 0.4)
+    got = langid.detect(make_docs([(i, t, "en", "s") for i, t in enumerate(TEXTS)]), model).collect()
+    assert len(got) == len(TEXTS)
+    for r in got:
+        text = TEXTS[r["doc_id"]]
+        want = brute_predict(model, text.encode()) if any(c.isalpha() for c in text) else ("und", 0.0)
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], abs=1e-9)
+        assert r["accepted"] == (want[0] != "und" and want[1] >= model.threshold)
 
 
 # ---- LM scoring --------------------------------------------------------------------------------
@@ -228,6 +263,37 @@ def test_copies_of_a_query_are_searched_once_and_repeats_of_a_row_are_found(spar
     assert by == {1: [2, 3, 3, 4], 2: [1, 1, 1, 3], 3: [1, 1, 1, 2], 4: [1, 1, 1, 2], 5: [4, 1, 1, 1]}
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324, 1.7e308])
+def test_lengths_of_vectors_do_not_matter(spark, monkeypatch, size):
+    monkeypatch.setattr(ann, "CELL_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)] + [(1000, [1.0] * 6), (1001, [1.0, 1.0, 1.0, 1.0, 1.0, 0.9])]
+    df = spark.createDataFrame([*rows, (2000, [size] * 6)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(df, F.col("vec_id") >= 1000).collect()
+    at = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got}
+    assert at[2000, 1] == (1000, pytest.approx(1.0)) and at[1000, 1] == (2000, pytest.approx(1.0)) and at[2000, 2][0] == 1001
+    check_recall(got, brute_nearest([*rows, (2000, [1.0] * 6)], [1000, 1001, 2000]), 0.9)
+
+
+def test_a_repeated_query_id_asks_with_its_smallest_vector(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0]), (3, [2.0, 0.0])]
+    for n in (1, 4):
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n), F.col("vec_id") == 1, k=2).collect()
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 1.0), (3, 0.0)]
+
+
+def test_every_row_goes_down_to_the_cell_whose_box_holds_it():
+    points = np.random.default_rng(7).normal(size=(500, 4))
+    leaves = ann.split(points, 20)
+    top = ann._descent([path for _, path in leaves], list(range(len(leaves))))
+    for i, (at, _) in enumerate(leaves):
+        for p in points[at]:
+            node = top
+            while not isinstance(node, int):
+                node = node[3] if p[node[0]] > node[1] else node[2]
+            assert node == i
+
+
 def test_chi_square_of_even_degrees():
     x = np.random.default_rng(1).standard_normal((200_000, 8))
     for p in (0.1, 0.5, 0.9, 0.98):
