@@ -8,12 +8,14 @@ adding: no stored document is read again.
 
 A **store** is a folder with one sub-folder a batch that holds the batch's sums:
 
-* within a batch, a change that is delivered twice (same ``change_id``) counts once;
+* within a batch, a change that is delivered twice (same ``change_id``) counts once; if deliveries under one id differ, the least of
+  them counts, whatever the order; changes without an id cannot be told from repeats, so each of them counts;
 * a batch counts when its folder has been written whole (Spark's ``_SUCCESS`` file is put last), and a committed batch is
   not written again, so a replay after a lost driver or a repeated delivery changes nothing, and a half-written folder is
   overwritten by the next try;
 * ``compact`` adds the committed batches up into one folder and records which batches it holds; batches that
-  are in it are ignored from then on, so a crash at any point counts nothing twice.
+  are in it are ignored from then on, so a crash at any point counts nothing twice.  Folders that an earlier compaction replaced
+  are removed, those that this one replaces stay until the next, so totals asked for before can still be read.
 
 Groups of null source or language are groups of their own.  Groups whose documents are all gone drop out of the totals.
 Null token counts add nothing.  A hot source costs one row a task: sums are taken before the shuffle.
@@ -41,7 +43,9 @@ def state(source: Column, lang: Column, version: Column, tokens: Column, n_bytes
 
 def signed(changes: DataFrame) -> DataFrame:
     """(change_id, before, after) -> signed rows (source, lang, version, n_docs, n_tokens, n_bytes)."""
-    once = changes.select("change_id", "before", "after").dropDuplicates(["change_id"])
+    named, nameless = F.col("change_id").isNotNull(), F.col("change_id").isNull()
+    once = (changes.filter(named).groupBy("change_id").agg(F.min(F.struct("before", "after")).alias("least")).select("least.*")
+            .unionByName(changes.filter(nameless).select("before", "after")))
     sides = F.array(F.struct(F.lit(-1).alias("sign"), F.col("before").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("after").alias("s")))
     rows = once.select(F.explode(sides).alias("side")).select("side.sign", "side.s").filter(F.col("s").isNotNull())
     tokens, n_bytes = F.coalesce("s.tokens", F.lit(0)), F.coalesce("s.bytes", F.lit(0))
@@ -78,19 +82,35 @@ class RollupStore:
 
     def batches(self) -> list[str]:
         """Ids of all committed batches, compacted ones included."""
-        return sorted({*self._committed("batch"), *(b for base in self._base() for b in base[1])})
+        base = self._base()
+        held = [r["batch_id"] for r in self._held(base).collect()] if base else []  # one row a batch
+        return sorted({*self._committed("batch"), *held})
 
-    def _base(self) -> list[tuple[str, list[str]]]:
-        """The latest compaction and the batches in it; none or one."""
-        names = self._committed("base")
-        if not names:
-            return []
-        rows = self.spark.read.parquet(f"{self.path}/held={names[-1]}").collect()  # one row a batch
-        return [(names[-1], [r["batch_id"] for r in rows])]
+    def _base(self) -> str | None:
+        """Name of the latest compaction."""
+        return max(self._committed("base"), default=None)
+
+    def _held(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch_id string").parquet(f"{self.path}/held={base}")
+
+    def holds(self, batch_id: str) -> bool:
+        fs, done = self._fs(f"{self.path}/batch={batch_id}/_SUCCESS")
+        if fs.exists(done):
+            return True
+        base = self._base()
+        return base is not None and not self._held(base).filter(F.col("batch_id") == batch_id).isEmpty()
+
+    def _loose(self, base: str | None) -> list[str]:
+        """Batch folders that are not in the compaction: those since then, for the ones in it go with the next."""
+        found = self._committed("batch")
+        if base is None or not found:
+            return found
+        held = {r["batch_id"] for r in self._held(base).filter(F.col("batch_id").isin(found)).collect()}
+        return [b for b in found if b not in held]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and nothing done, if it is committed already."""
-        if batch_id in self.batches():
+        if self.holds(batch_id):
             return False
         add_up(signed(changes)).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
         return True
@@ -98,9 +118,8 @@ class RollupStore:
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens, n_bytes) over all committed batches."""
         base = self._base()
-        held = set(base[0][1]) if base else set()
-        folders = [f"{self.path}/base={base[0][0]}"] if base else []
-        folders += [f"{self.path}/batch={b}" for b in self._committed("batch") if b not in held]
+        folders = [f"{self.path}/base={base}"] if base is not None else []
+        folders += [f"{self.path}/batch={b}" for b in self._loose(base)]
         if not folders:
             return self.spark.sql("SELECT 1 AS x").filter("false").select(
                 *[F.lit(None).cast("string").alias(c) for c in GROUP], *[F.lit(None).cast("long").alias(c) for c in SUMS])
@@ -109,13 +128,21 @@ class RollupStore:
 
     def compact(self) -> None:
         """Fold all committed batches into one folder."""
-        ids = self.batches()
-        if not ids:
+        base = self._base()
+        loose = self._loose(base)
+        if not loose:
             return
-        name = f"{len(self._committed('base')):06d}"
-        held = self.spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in ids])).alias("batch_id"))
+        replaced = [f"batch={b}" for b in self._committed("batch") if b not in loose]
+        replaced += [f"{kind}={b}" for b in self._committed("base") if b != base for kind in ("base", "held")]
+        name = f"{int(base or 0) + 1:06d}"
+        held = self.spark.createDataFrame([(b,) for b in loose], "batch_id string")
+        if base is not None:
+            held = held.unionByName(self._held(base))
         held.write.mode("overwrite").parquet(f"{self.path}/held={name}")
         self.totals().write.mode("overwrite").parquet(f"{self.path}/base={name}")  # counts from here on
+        for folder in replaced:
+            fs, at = self._fs(f"{self.path}/{folder}")
+            fs.delete(at, True)
 
 
 def commit_stream(store: RollupStore, changes: DataFrame, checkpoint: str):

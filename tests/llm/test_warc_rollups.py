@@ -142,6 +142,28 @@ def test_rollups(spark):
     assert totals(store) == want and store.batches() == ["0001", "0002", "0003"]
 
 
+def test_changes_without_an_id_and_clashing_ones(spark):
+    five, seven = ("s", "en", "v1", 5, 50), ("s", "en", "v1", 7, 70)
+    rows = [(None, None, five), (None, None, seven), (None, None, five), ("x", None, seven), ("x", None, five), ("x", five, None)]
+    for n in (1, 3):
+        store = tr.RollupStore(spark, scratch_path(spark, "rollups"))
+        store.commit("0001", changes(spark, rows if n == 1 else rows[::-1]).repartition(n))
+        assert totals(store) == [("s", "en", "v1", 4, 22, 220)]
+
+
+def test_compacted_folders_go_with_the_next_compaction(spark):
+    store = tr.RollupStore(spark, scratch_path(spark, "rollups"))
+    for n in range(1, 9):
+        assert store.commit(f"{n:04d}", changes(spark, [("1", None, ("s", "en", "v1", 1, 1))]))
+        before = store.totals()
+        if n % 2 == 0:
+            store.compact()
+            assert len(store._committed("batch")) <= 4 and len(store._committed("base")) <= 2
+        assert [tuple(r) for r in before.collect()] == totals(store) == [("s", "en", "v1", n, n, n)]
+        assert all(store.holds(f"{i:04d}") == (i <= n) for i in range(1, 10))
+    assert not store.commit("0001", changes(spark, [("2", None, ("s", "en", "v1", 1, 1))])) and len(store.batches()) == 8
+
+
 def test_half_written_batch_does_not_count(spark):
     store = tr.RollupStore(spark, scratch_path(spark, "rollups"))
     one = changes(spark, [("1", None, ("s", "en", "v1", 10, 50))])
