@@ -9,6 +9,7 @@
 3. **Selection**: the documents of a source stand in seeded hash order and form one stream of words, cut
    into blocks of ``block`` words.  A seeded block starts the round; the shards take their quotas of
    blocks one after the other around the stream, so no block is taken again before all others are.
+   Each document's words are given out shard by shard: ``shard_words`` holds what every shard takes of it.
    Hence no document is taken more than ``repeats`` times, as no source has more than ``repeats`` times its blocks.
 
 All of it is DataFrame work: a source that holds a third of all rows is dealt over ``BUCKETS`` hash
@@ -37,7 +38,8 @@ BUCKET_DIGITS = 3
 
 
 class Mix(NamedTuple):
-    """rows: doc_id, key_of_text, source, size, place; sources: one row a source with target, blocks, first, seats."""
+    """rows: doc_id, key_of_text, source, size, place; sources: one row a source with target, blocks, first, seats, ends
+    (seats given out up to and with each shard)."""
     rows: DataFrame
     sources: DataFrame
     quotas: DataFrame
@@ -106,9 +108,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     capped = won.join(facts.select("rank", "blocks"), "rank").withColumn("upto", F.least(F.col("seats"), F.col("blocks") * repeats))
     before = F.coalesce(F.lag("upto").over(in_turn), F.lit(0))
     quotas = capped.select(F.col("house").alias("shard"), "source", before.alias("first_seat"), (F.col("upto") - before).alias("quota"))
-    last = won.filter(F.col("house") == shards - 1).select(F.col("rank"), F.col("seats").alias("_seats"))
-    sources = (facts.join(last, "rank", "left")
-               .withColumn("seats", F.least(F.coalesce("_seats", F.lit(0)), F.col("blocks") * repeats)).drop("_seats"))
+    by_shard = capped.groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("house", "upto"))), lambda x: x["upto"]).alias("_ends"))
+    none = F.array_repeat(F.lit(0).cast("long"), shards)
+    sources = (facts.join(by_shard, "rank", "left").withColumn("ends", F.coalesce("_ends", none)).drop("_ends")
+               .withColumn("seats", F.element_at("ends", shards)))
     return Mix(rows, materialize(sources, "mix_plan"), quotas)
 
 
@@ -119,14 +122,15 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         seed: str = SEED, block: int = BLOCK, shards: int = SHARDS, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: doc_id, key_of_text, source, size, source_size, target, taken."""
+    """One row per document: doc_id, key_of_text, source, size, source_size, target, taken, shard_words (words that each
+    shard takes of it, by the shards' quotas; they sum to ``taken``)."""
     m = plan_mix(docs, id_col, text_col, source_col, seed, block, shards, repeats)
     bucket = F.substring("place", 1, BUCKET_DIGITS).alias("bucket")
     rows = m.rows.select("*", bucket)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    facts = m.sources.select(F.col("source").alias("_source"), "source_size", "target", "blocks", "first", "seats")
+    facts = m.sources.select(F.col("source").alias("_source"), "source_size", "target", "blocks", "first", "ends")
     offsets = (offsets.join(facts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "bucket_size")
                .withColumnsRenamed({"source": "_source", "bucket": "_bucket"}))
     met = rows.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
@@ -135,12 +139,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a = F.col("offset") + F.coalesce(F.sum("size").over(order), F.lit(0))
     met = met.withColumn("a", a).withColumn("b", F.col("a") + F.col("size"))
     n = F.greatest("blocks", F.lit(1))
-    rounds, rest = F.floor(F.col("seats") / n), F.pmod("seats", n)
-    end = F.col("first") + rest
-    taken = (rounds * F.col("size")
-             + _overlap(F.col("a"), F.col("b"), F.col("first") * block, F.least(end, n) * block)
-             + _overlap(F.col("a"), F.col("b"), F.lit(0), F.greatest(end - n, F.lit(0)) * block))
-    return met.select("doc_id", "key_of_text", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+    def words_of(seats: Column) -> Column:
+        """Words of the document in the first ``seats`` blocks around the stream."""
+        end = F.col("first") + F.pmod(seats, n)
+        return (F.floor(seats / n) * F.col("size")
+                + _overlap(F.col("a"), F.col("b"), F.col("first") * block, F.least(end, n) * block)
+                + _overlap(F.col("a"), F.col("b"), F.lit(0), F.greatest(end - n, F.lit(0)) * block)).cast("long")
+
+    met = met.withColumn("upto", F.transform("ends", words_of))
+    by_shard = F.transform("upto", lambda words, i: words - F.when(i > 0, F.get("upto", i - 1)).otherwise(F.lit(0).cast("long")))
+    return met.select("doc_id", "key_of_text", "source", "size", "source_size", "target", F.element_at("upto", shards).alias("taken"),
+                      by_shard.alias("shard_words"))
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -152,6 +162,13 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return keep_rows(docs, named, id_col, text_col, times="_times", source_col=source_col)
 
 
+def _sql_words(k: int) -> str:
+    """Words of a document in the blocks given out up to and with shard k."""
+    end = f"(first + u{k} % n)"
+    return (f"((u{k} // n) * size + greatest(least(b, least({end}, n) * {BLOCK}) - greatest(a, first * {BLOCK}), 0)"
+            f" + greatest(least(b, greatest({end} - n, 0) * {BLOCK}) - a, 0))::BIGINT AS t{k}")
+
+
 _SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank FROM d GROUP BY source),
@@ -165,21 +182,21 @@ t AS (SELECT *, least(cap::DOUBLE, weight * (SELECT level FROM l)) AS target,
              ceil(source_size / {BLOCK})::BIGINT AS blocks FROM w),
 q AS (SELECT rank, target / (2 * j - 1) AS quotient FROM (
         SELECT rank, target, unnest(range(1, (target / {BLOCK})::BIGINT + 40)) AS j FROM t WHERE target > 0)),
-won AS (SELECT rank, count(*) AS seats FROM (
-        SELECT rank FROM q ORDER BY quotient DESC, rank
-        LIMIT (SELECT (2 * sum(source_size) + {BLOCK}) // {2 * BLOCK} FROM t)::BIGINT) GROUP BY rank),
-p AS (SELECT t.*, least(coalesce(seats, 0), {REPEATS} * blocks) AS seats,
+no AS (SELECT rank, row_number() OVER (ORDER BY quotient DESC, rank) AS no,
+              (SELECT (2 * sum(source_size) + {BLOCK}) // {2 * BLOCK} FROM t)::BIGINT AS seats FROM q),
+won AS (SELECT rank, {", ".join(f"count(*) FILTER (no <= seats * {k + 1} // {SHARDS}) AS s{k}" for k in range(SHARDS))} FROM no GROUP BY rank),
+p AS (SELECT t.*, greatest(blocks, 1) AS n, {", ".join(f"least(coalesce(s{k}, 0), {REPEATS} * blocks) AS u{k}" for k in range(SHARDS))},
              ('0x' || substr(md5('{SEED}|' || coalesce(source, '')), 1, 8))::BIGINT % greatest(blocks, 1) AS first
       FROM t LEFT JOIN won USING (rank)),
 pos AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('{SEED}|' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - size AS a FROM d),
-r AS (SELECT doc_id, size, source_size, target, a, a + size AS b, seats // greatest(blocks, 1) AS rounds,
-             first * {BLOCK} AS x, least(first + seats % greatest(blocks, 1), blocks) * {BLOCK} AS y,
-             greatest(first + seats % greatest(blocks, 1) - blocks, 0) * {BLOCK} AS z
-      FROM pos JOIN p ON pos.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       (rounds * size + greatest(least(b, y) - greatest(a, x), 0) + greatest(least(b, z) - a, 0))::BIGINT AS taken FROM r"""
+r AS (SELECT doc_id, size, source_size, target, {", ".join(_sql_words(k) for k in range(SHARDS))}
+      FROM (SELECT pos.*, pos.a + pos.size AS b, p.* EXCLUDE (source) FROM pos JOIN p ON pos.source IS NOT DISTINCT FROM p.source))
+SELECT doc_id, size, source_size, target, t{SHARDS - 1} AS taken,
+       {", ".join(f"t{k}{f' - t{k - 1}' if k else ''} AS shard_{k}_words" for k in range(SHARDS))} FROM r"""
 
 
 @register("op9_mix_sources", _SQL)
 def op9_mix_sources(spark, sf_dir):
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """``taken``, and how much of it each shard's quota takes."""
+    words = [F.get("shard_words", F.lit(k)).alias(f"shard_{k}_words") for k in range(SHARDS)]
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", *words)

@@ -88,6 +88,30 @@ def test_apportion_is_highest_quotients(spark):
         assert {s: c for (k, s), c in got.items() if k == h and c} == dict(want)
 
 
+def test_shards_take_their_quotas_of_blocks(make_docs):
+    """Word by word: shard after shard walks its blocks around the seeded order of each source."""
+    rnd = random.Random(6)
+    rows = [(i, "w " * rnd.randrange(0, 90), "en", rnd.choice(["hot"] * 6 + ["b", None])) for i in range(300)]
+    docs, block = make_docs(rows), 16
+    m = mixing.plan_mix(docs, block=block)
+    facts = {r["source"]: r for r in m.sources.collect()}
+    quotas = {(r["source"], r["shard"]): r["quota"] for r in m.quotas.collect()}
+    want = {}
+    for s, f in facts.items():
+        mine = sorted((r for r in rows if r[3] == s), key=lambda r: (hashlib.md5(f"{mixing.SEED}|{r[0]}".encode()).hexdigest(), r[0]))
+        stream = [r[0] for r in mine for _ in range(words(r[1]))]
+        at = f["first"]
+        want |= {r[0]: [0] * mixing.SHARDS for r in mine}
+        for shard in range(mixing.SHARDS):
+            for _ in range(quotas.get((s, shard), 0)):
+                for d in stream[at % f["blocks"] * block:(at % f["blocks"] + 1) * block]:
+                    want[d][shard] += 1
+                at += 1
+    got = mixing.mix(docs, block=block).collect()
+    assert {r["doc_id"]: r["shard_words"] for r in got} == want
+    assert all(sum(r["shard_words"]) == r["taken"] for r in got) and all(len(set(w)) > 1 for w in want.values() if sum(w) % 8)
+
+
 def test_quotas_of_shards_add_up(make_docs):
     rows = [(i, "w " * (i % 50), "en", "abc"[i % 3]) for i in range(300)]
     m = mixing.plan_mix(make_docs(rows))
