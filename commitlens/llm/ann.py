@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import load_table
 from .common import materialize, register
 
-DIMS = 8
+DIMS = 32
 CONFIDENCE = 0.98
 K = 5
 SEED = 11
@@ -155,41 +155,34 @@ class Tree:
     def nearest(self, own: int | None, q: np.ndarray, projected: np.ndarray, k: int, known: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Up to k (ids, scores), best first; ``known`` is a k-th best squared distance from elsewhere (inf: none).
 
-        ``bound``: the stopping test holds once r^2 >= bound * d_k^2.  Leaves are opened in order of their distance, a few at a
-        time; points nearer than the next unopened leaf are verified in order, STEP of them between two tests.
+        ``bound``: the stopping test holds once r^2 >= bound * d_k^2.  Leaves are opened in order of their distance, twice as
+        many each time; points nearer than the next unopened leaf are verified in order, STEP of them between two tests.
         """
         q_norm = float(np.sqrt((q * q).sum()))
         ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         to = _to_boxes(projected, self.low, self.high)
         order = np.argsort(to, kind="stable")
-        rows, r = np.zeros(0, dtype=np.int64), np.zeros(0)
+        to = np.append(to[order], np.inf)
+        rows, r = np.zeros(0, dtype=np.int64), np.zeros(0)  # opened and not verified yet, nearest first
         at, more = 0, 2
         limit = max(bound * known, TINY)
         while True:
-            while at < len(order) and len(r) < STEP and to[order[at]] <= limit:
-                some = order[at:at + more]
-                new = np.concatenate([np.arange(*self.leaves[i]) for i in some[to[some] <= limit]])
-                gap = self.points[new] - projected
-                rows, r = np.concatenate([rows, new]), np.concatenate([r, (gap * gap).sum(axis=1)])
-                at, more = at + len(some), min(2 * more, 32)
-            edge = min(limit, to[order[at]] if at < len(order) else np.inf)
-            ready = np.flatnonzero(r <= edge)
-            if not len(ready):
-                if at >= len(order) or to[order[at]] > limit:
+            ready = int(np.searchsorted(r, min(limit, to[at]), side="right"))
+            if not ready:
+                if to[at] > limit or at >= len(order):
                     return ids, scores
-                some = order[at:at + more]  # all that wait lie behind the next leaf: open it
+                some = order[at:at + more]
                 new = np.concatenate([np.arange(*self.leaves[i]) for i in some])
-                gap = self.points[new] - projected
-                rows, r = np.concatenate([rows, new]), np.concatenate([r, (gap * gap).sum(axis=1)])
-                at += len(some)
+                gap = np.concatenate([self.points[slice(*self.leaves[i])] for i in some])
+                gap -= projected
+                rows, r = np.concatenate([rows, new]), np.concatenate([r, np.einsum("ij,ij->i", gap, gap)])
+                by_distance = np.argsort(r, kind="stable")
+                rows, r = rows[by_distance], r[by_distance]
+                at, more = at + len(some), 2 * more
                 continue
-            if len(ready) > STEP:
-                last = np.partition(r[ready], STEP)[STEP]  # equal distances are taken together
-                ready = ready[r[ready] <= last]
-            found = rows[ready]
-            keep = np.ones(len(r), dtype=bool)
-            keep[ready] = False
-            rows, r = rows[keep], r[keep]
+            if ready > STEP:
+                ready = int(np.searchsorted(r, r[STEP], side="right"))  # equal distances are taken together
+            found, rows, r = rows[:ready], rows[ready:], r[ready:]
             if own is not None:
                 found = found[self.ids[found] != own]
             ids = np.concatenate([ids, self.ids[found]])
