@@ -58,7 +58,7 @@ TINY = 1e-9
 
 # ---- the stopping test ------------------------------------------------------------------------
 
-def chi2_cdf(x: float, dims: int = DIMS) -> float:
+def chi2_cdf(x: float, dims: int = 8) -> float:
     """P(chi-square <= x) for an even number of degrees of freedom (a finite sum)."""
     if x <= 0:
         return 0.0
@@ -69,7 +69,7 @@ def chi2_cdf(x: float, dims: int = DIMS) -> float:
     return 1.0 - math.exp(-x / 2) * total
 
 
-def chi2_bound(p: float, dims: int = DIMS) -> float:
+def chi2_bound(p: float, dims: int = 8) -> float:
     """The x with chi2_cdf(x) = p."""
     lo, hi = 0.0, 1.0
     while chi2_cdf(hi, dims) < p:

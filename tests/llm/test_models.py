@@ -300,6 +300,34 @@ def test_chi_square_of_even_degrees():
         assert ((x * x).sum(axis=1) <= ann.chi2_bound(p)).mean() == pytest.approx(p, abs=0.01)
 
 
+def test_chi_square_of_the_directions_in_use():
+    x = np.random.default_rng(2).standard_normal((100_000, ann.DIMS))
+    for p in (0.1, 0.5, 0.9, ann.CONFIDENCE):
+        assert ((x * x).sum(axis=1) <= ann.chi2_bound(p, ann.DIMS)).mean() == pytest.approx(p, abs=0.01)
+
+
+def test_more_directions_verify_fewer_rows(monkeypatch):
+    """Recall stays at 0.9 or more, and the stopping test lets through fewer rows."""
+    import pyarrow.parquet as pq
+    table = pq.read_table(DOCS.replace("documents", "embeddings"))
+    v = ann.scaled(np.array([x for x in table["embedding"].to_pylist() if x and all(map(math.isfinite, x)) and any(x)], dtype=float))
+    v = np.concatenate([v, v + np.random.default_rng(3).normal(scale=0.3 * v.std(), size=v.shape)])
+    ids, unit, plain = np.arange(len(v)), v / np.sqrt((v * v).sum(axis=1))[:, None], ann.cosines
+    shares = {}
+    for dims in (8, ann.DIMS):
+        seen, hits = [], 0
+        monkeypatch.setattr(ann, "cosines", lambda x, *a: (seen.append(len(x)), plain(x, *a))[1])
+        p = ann._project(v, ann.directions(v.shape[1], dims))
+        tree = ann.Tree(ids, v, p)
+        for i in range(0, len(v), 20):
+            _, scores = tree.nearest(i, v[i], p[i], 5, math.inf, ann.chi2_bound(ann.CONFIDENCE, dims))
+            true = np.sort(np.delete(unit @ unit[i], i))[-5]
+            hits += (scores >= true - 1e-12).sum()
+        shares[dims] = sum(seen)
+        assert hits >= 0.9 * 5 * len(range(0, len(v), 20))
+    assert shares[ann.DIMS] < shares[8]
+
+
 # ---- SentencePiece -----------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
