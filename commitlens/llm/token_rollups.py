@@ -191,33 +191,44 @@ def corpus_changes(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         F.coalesce(F.regexp_count(text, F.lit(V2_TOKEN)), F.lit(0)).cast("long").alias("v2"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
         .groupBy("row_key", "source", "lang", "v1", "v2", "n_bytes").agg(F.count(F.lit(1)).alias("copies")), "token_counts")
+    rows, key, one, two, none, short = _states(counts)
+    moved = ~short & ~F.col("lang").eqNullSafe(F.lit("en"))
+    return counts, [rows.select(key, none.alias("before"), one.alias("after")),
+                    rows.filter(short).select(key, one.alias("before"), none.alias("after")),
+                    rows.filter(moved).select(key, one.alias("before"), two.alias("after"))]
+
+
+def _states(counts: DataFrame) -> tuple[DataFrame, Column, Column, Column, Column, Column]:
+    """A row a document; the id of its changes; what it counts under version 1, under 2, and when absent; whether it is short."""
     rows = counts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     one = state(F.col("source"), F.col("lang"), F.lit(V1), F.col("v1"), F.col("n_bytes"))
     two = state(F.col("source"), F.col("lang"), F.lit(V2), F.col("v2"), F.col("n_bytes"))
     none = F.lit(None).cast(counts.select(one.alias("s")).schema["s"].dataType)
-    short = F.col("v1") < LEAST_WORDS
-    moved = ~short & ~F.col("lang").eqNullSafe(F.lit("en"))
     key = F.struct("row_key", "source", "lang", "copy").alias("change_id")
-    return counts, [rows.select(key, none.alias("before"), one.alias("after")),
-                    rows.filter(short).select(key, one.alias("before"), none.alias("after")),
-                    rows.filter(moved).select(key, one.alias("before"), two.alias("after"))]
+    return rows, key, one, two, none, F.col("v1") < LEAST_WORDS
+
+
+def returned_changes(counts: DataFrame) -> DataFrame:
+    """A fourth batch: the documents that the second deleted come in again, under version 2, so the totals cover every document."""
+    rows, key, _, two, none, short = _states(counts)
+    return rows.filter(short).select(key, none.alias("before"), two.alias("after"))
 
 
 _SQL = rf"""
 WITH d AS (SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS v1,
                   coalesce(len(regexp_extract_all(text, '{V2_TOKEN}')), 0) AS v2, coalesce(strlen(text), 0) AS n_bytes FROM documents),
-s AS (SELECT source, lang, CASE WHEN lang = 'en' THEN '{V1}' ELSE '{V2}' END AS version,
-             CASE WHEN lang = 'en' THEN v1 ELSE v2 END AS tokens, n_bytes FROM d WHERE v1 >= {LEAST_WORDS})
+s AS (SELECT source, lang, CASE WHEN lang = 'en' AND v1 >= {LEAST_WORDS} THEN '{V1}' ELSE '{V2}' END AS version,
+             CASE WHEN lang = 'en' AND v1 >= {LEAST_WORDS} THEN v1 ELSE v2 END AS tokens, n_bytes FROM d)
 SELECT source, lang, version, count(*) AS n_docs, sum(tokens)::BIGINT AS n_tokens, sum(n_bytes)::BIGINT AS n_bytes
 FROM s GROUP BY source, lang, version"""
 
 
 @register("op5_token_rollups", _SQL)
 def op5_token_rollups(spark, sf_dir):
-    """Three batches, each delivered twice in a row, with a compaction in between."""
+    """Four batches, each delivered twice in a row, with a compaction in between."""
     store = RollupStore(spark, scratch_path(spark, "llm_rollups"))
-    _, batches = corpus_changes(documents(spark, sf_dir))
-    for n, changes in enumerate(batches):
+    counts, batches = corpus_changes(documents(spark, sf_dir))
+    for n, changes in enumerate([*batches, returned_changes(counts)]):
         store.commit(f"{n:04d}", changes)
         store.commit(f"{n:04d}", changes)
         if n == 1:

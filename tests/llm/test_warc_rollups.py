@@ -184,6 +184,19 @@ def test_corpus_changes_on_odd_rows(odd, empty, spark):
         assert sum(r["n_docs"] for r in got) == n
 
 
+def test_deleted_documents_come_back_under_the_new_version(odd, empty, spark):
+    for docs in (odd, empty):
+        store = tr.RollupStore(spark, scratch_path(spark, "rollups"))
+        counts, batches = tr.corpus_changes(docs)
+        for n, c in enumerate([*batches, tr.returned_changes(counts)]):
+            store.commit(str(n), c)
+        got = store.totals().collect()
+        short = docs.filter(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) < tr.LEAST_WORDS)
+        assert sum(r["n_docs"] for r in got) == docs.count()
+        assert sum(r["n_docs"] for r in got if r["version"] == tr.V2) >= short.count()
+        assert sum(r["n_bytes"] for r in got) == (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
 def test_real_token_counts(spark):
     docs = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (None, "<|endoftext|>")], "doc_id long, text string")
     got = {r["doc_id"]: r["tokens"] for r in tr.bpe_counts(docs, "/opt/tokenizers/byte_bpe_50k.json").collect()}
