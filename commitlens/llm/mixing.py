@@ -169,7 +169,7 @@ def _sql_words(k: int) -> str:
             f" + greatest(least(b, greatest({end} - n, 0) * {BLOCK}) - a, 0))::BIGINT AS t{k}")
 
 
-_SQL = rf"""
+_WORDS_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, ((rank - 1) % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap FROM s),
@@ -191,11 +191,13 @@ p AS (SELECT t.*, greatest(blocks, 1) AS n, {", ".join(f"least(coalesce(s{k}, 0)
 pos AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('{SEED}|' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - size AS a FROM d),
 r AS (SELECT doc_id, size, source_size, target, {", ".join(_sql_words(k) for k in range(SHARDS))}
       FROM (SELECT pos.*, pos.a + pos.size AS b, p.* EXCLUDE (source) FROM pos JOIN p ON pos.source IS NOT DISTINCT FROM p.source))
-SELECT doc_id, size, source_size, target, t{SHARDS - 1} AS taken,
-       {", ".join(f"t{k}{f' - t{k - 1}' if k else ''} AS shard_{k}_words" for k in range(SHARDS))} FROM r"""
+"""
+_MIX_COLS = f"SELECT doc_id, size, source_size, target, t{SHARDS - 1} AS taken"
+_SHARD_COLS = ", ".join(f"t{k}{f' - t{k - 1}' if k else ''} AS shard_{k}_words" for k in range(SHARDS))
+_SQL = f"{_WORDS_SQL}{_MIX_COLS} FROM r"
 
 
-@register("op9_mix_sources", _SQL)
+@register("op9_mix_sources", f"{_WORDS_SQL}{_MIX_COLS}, {_SHARD_COLS} FROM r")
 def op9_mix_sources(spark, sf_dir):
     """``taken``, and how much of it each shard's quota takes."""
     words = [F.get("shard_words", F.lit(k)).alias(f"shard_{k}_words") for k in range(SHARDS)]

@@ -49,6 +49,7 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
-    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op1_warc_derivatives", "op3_lm_score", "op5_token_rollups", "op9_mix_sources", "op10_exact_dedup"}
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
+    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op1_warc_derivatives", "op3_lm_score", "op5_token_rollups", "op9_mix_sources", "op10_exact_dedup",
+                                                                           "op11_lexical_search", "op13_ngram_join"}
     assert norm(" a\tb ") == "ab"
