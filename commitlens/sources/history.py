@@ -110,19 +110,20 @@ def read_git_log(spark: SparkSession, path: str, repo_url: str | None = None) ->
 
 def write_git_log(flat: DataFrame, path: str) -> None:
     """Render flat change rows (with ``old_blob_id``) as git log export text, one commit per record,
-    partitioned by repository folder.  For building test inputs from tables."""
+    partitioned by repository folder.  For building test inputs from tables.
+
+    Dealt by repository before the commits are grouped, so the rows move once and a repository has one file, compressed."""
     zero = F.lit(ZERO_ID)
     status = (F.when(F.col("old_blob_id").isNull(), "A").when(F.col("new_blob_id").isNull(), "D").otherwise("M"))
     line = F.concat(F.lit(":100644 100644 "), F.coalesce("old_blob_id", zero), F.lit(" "),
                     F.coalesce("new_blob_id", zero), F.lit(" "), status, F.lit("\t"), F.col("file_path"))
     per_commit = (flat.select("repo_url", "commit_id", "author_raw", "commit_time", "change_index",
                               line.alias("_l"))
+                  .repartition("repo_url")
                   .groupBy("repo_url", "commit_id", "author_raw", "commit_time")
                   .agg(F.array_sort(F.collect_list(F.struct("change_index", "_l"))).alias("_ls")))
     record = F.concat(
         F.lit("\x1e"), F.col("commit_id"), F.lit("\x1f\x1f"), F.col("author_raw"), F.lit("\x1f"),
         F.unix_timestamp("commit_time").cast("string"), F.lit("\n\n"),
         F.array_join(F.transform("_ls", lambda s: s["_l"]), "\n"), F.lit("\n"))
-    (per_commit.select("repo_url", record.alias("value"))
-     .repartition("repo_url")
-     .write.mode("overwrite").partitionBy("repo_url").text(path))
+    per_commit.select("repo_url", record.alias("value")).write.mode("overwrite").partitionBy("repo_url").text(path, compression="gzip")

@@ -159,3 +159,18 @@ def test_record_lines_skip_empty_arrays(spark, tmp_path):
     p.write_text('[{"repo_url": "r", "x": "1"}, {"repo_url": "r", "x": "2"}]\n[]\n\n[{"repo_url": "q", "x": "3"}]\n')
     rows = sorted((r.repo_url, r.x) for r in read_record_lines(spark, str(p), "repo_url string, x string").collect())
     assert rows == [("q", "3"), ("r", "1"), ("r", "2")]
+
+
+def test_merge_log_has_one_file_a_repository(spark, tmp_path, monkeypatch):
+    from commitlens.checks import history
+    rows = [(f"https://x/o/r{k % 2}", f"c{k}", "A <a@x>", "2024-01-01", k, i, f"b{k}-{i}", f"p{i}.py") for k in range(40) for i in range(2)]
+    changes = spark.createDataFrame(rows, "repo_url string, commit_id string, author_raw string, commit_time string, o int, n int, new_blob_id string, file_path string")
+    monkeypatch.setattr(history, "changes_view", lambda *_: changes)
+    monkeypatch.setattr(history, "scratch_path", lambda *_: str(tmp_path / "log"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with large tables
+    try:
+        got = history.git_log_merges(spark, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 160 and {(r.repo_url, r.commit_id) for r in got} == {(r[0], r[1]) for r in rows}
+    assert len(list((tmp_path / "log").rglob("part-*"))) == 2
