@@ -46,3 +46,12 @@ def test_group_row_number_and_large_limits(spark):
     big = first_n_per_group(df, ["k"], [("t", False)], 5000)  # above the WindowGroupLimit threshold
     small = want.where("rn <= 5000").drop("rn")
     assert big.exceptAll(small).count() == 0 and small.exceptAll(big).count() == 0
+
+
+def test_lag_of_many_small_groups_moves_rows_once(spark):
+    rows = [(f"k{i % 500}" if i % 97 else None, i, i % 7) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    got = lag_over_group(df, ["k"], [("t", True)], ["v"], ["prev_v"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
