@@ -190,3 +190,13 @@ def test_java_anonymous_class_fields(spark):
             "    Runnable r = new Runnable() {\n      int anonField = 3;\n      public void go(int a) { int inner = 4; }\n"
             "    };\n  }\n}\n")
     assert extract(spark, "java", java) == ([], ["Host", "a", "anonField", "go", "kept", "run"])
+
+
+def test_texts_given_with_the_files_are_dealt_once_to_all_tasks(spark):
+    from commitlens.operators.symbols import extract_symbols
+    rows = [("a", "python", "import os\n"), ("a", "python", "import os\n"), ("b", "java", "import p.Q;\nclass K { void f() { if (x) { } } int n; }\n"), (None, "java", "class L { }")]
+    out = extract_symbols(spark.createDataFrame(rows, "blob_id string, programming_language string, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    got = sorted((str(r.blob_id), sorted(r.imports), sorted(r.variables)) for r in out.collect())
+    assert got == [("None", [], ["L"]), ("a", ["os"], []), ("b", ["p.Q"], ["K", "f", "n"])]
