@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.parallel import spread
 
 #: fixed values: the ids (SHA-1, SHA-256) that git gives to the content of no bytes
 GIT_EMPTY_IDS = ("e69de29bb2d1d6434b8b29ae775ad8c2e48c5391", "473a0f4c3be8a93681a267e3b1e9a7dcda1185436fe141f7749120a303721813")
@@ -46,5 +47,6 @@ def write_blob_files(blobs: DataFrame, path: str, id_col: str = "blob_id", conte
                     f.write(content.as_py())
             yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
 
-    rows = blobs.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")).where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull())
-    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = blobs.select(F.col(id_col).cast("string").alias(id_col), F.col(content_col).cast("binary")).where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull())
+    # opening a file takes longer than reading a row: rows are dealt to all tasks, however few files they come from
+    return spread(rows, id_col).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

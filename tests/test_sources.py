@@ -174,3 +174,24 @@ def test_merge_log_has_one_file_a_repository(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 160 and {(r.repo_url, r.commit_id) for r in got} == {(r[0], r[1]) for r in rows}
     assert len(list((tmp_path / "log").rglob("part-*"))) == 2
+
+
+def test_fixture_texts_are_made_after_the_keys_are_told_apart(spark):
+    from commitlens.sources.fixtures import CHANGES_SQL, blobs_view, changes_view
+    from commitlens.sources.tables import load_table
+    sf = "/root/testdata/sf0.001"
+    plan = blobs_view(spark, sf, materialise=False)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line.split("], [")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert grouped and all("import" not in keys for keys in grouped)
+    want = spark.sql(CHANGES_SQL, **{t: load_table(spark, sf, t) for t in ("lineitem", "orders", "customer")})
+    got = changes_view(spark, sf)
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_blob_files_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from commitlens.sources import blobs as module
+    seen = []
+    monkeypatch.setattr(module, "spread", lambda df, *keys: seen.append(keys) or df.repartition(8, *keys))
+    one = spark.createDataFrame([(f"b{i}", bytearray(b"x")) for i in range(40)] + [(None, bytearray(b"y"))], "blob_id string, content binary").coalesce(1)
+    assert module.write_blob_files(one, str(tmp_path / "blobs")) == 40
+    assert seen == [("blob_id",)] and len(list((tmp_path / "blobs").iterdir())) == 40
