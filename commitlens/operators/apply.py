@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .parallel import row_partitions
 
 
 OUTPUT_CHUNK_ROWS = 10_000
@@ -132,7 +133,11 @@ def apply_status(df: DataFrame, fn: Callable[..., Iterable[dict]], key: str = "r
 
 def cogroup_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
                   schema: str, key: str = "repo_url") -> DataFrame:
-    """``fn(left_rows, right_rows)`` per repository present in either input."""
+    """``fn(left_rows, right_rows)`` per repository present in either input.
+
+    The rows of ``left`` are counted first (nothing but their number is read), so that no task sorts more than its share of them,
+    unless a repository has more."""
     # fresh attribute ids, so both sides may derive from the same frame
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    left = left.repartition(row_partitions(left, left.count()), key)
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(fn, schema)
