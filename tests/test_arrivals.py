@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from commitlens.operators import parallel
 from commitlens.operators.batching import repo_prefix_match
 from commitlens.operators.content_language import candidates, decide, learn, tokens
 from commitlens.operators.windows import as_of
@@ -117,3 +118,54 @@ def test_content_decides_open_extensions(spark):
     assert only.language == "c++"  # nothing is known of the other
     assert sorted(spark.range(1).select(tokens(F.lit("a1 12 a1 + 7")).alias("t")).first().t) == ["+", "0", "a1"]
     assert candidates is not None and spark.range(1).select(candidates(F.lit("x.py")).alias("c")).first().c is None
+
+
+def contents(seed, n=70):
+    """History whose newest versions may be binary or not there, and files whose content alone decides the language."""
+    rng = random.Random(seed)
+    texts = {f"b{i}": f"import m{i % 7}\nv{i % 5} = f{i % 3}()\n" for i in range(20)}
+    texts |= {f"z{i}": "a\0b" for i in range(4)} | {f"s{i}": f"#!/usr/bin/env python3\nimport m{i}\n" for i in range(4)}
+    names = ["p0.py", "p1.py", "run", "do.bin", "q.ipynb", "node_modules/v.py", "i.png"]
+    blobs = [*texts, "lost", None]
+    return [(rng.choice(("r0", "r1", None)), f"c{i}", rng.randrange(12), rng.choice(names), rng.choice(blobs)) for i in range(n)], texts
+
+
+def expected(rows, texts):
+    newest = {}
+    for repo, c, t, path, blob in sorted(rows, key=lambda r: (-r[2], r[1])):
+        text = texts.get(blob)
+        if text is None or "\0" in text or path in ("q.ipynb", "node_modules/v.py", "i.png"):
+            continue
+        if path.endswith(".py") or text.startswith("#!"):
+            newest.setdefault((repo, path), blob)
+    return newest
+
+
+@pytest.mark.parametrize("few", [50_000, 1])
+def test_contents_decide_after_the_ranking(spark, monkeypatch, few):
+    monkeypatch.setattr(parallel, "FEW_KEYS", few)
+    rows, texts = contents(few)
+    blobs = spark.createDataFrame(list(texts.items()), "blob_id string, text string")
+    state = SymbolState(spark, scratch_path(spark, "state"), {"t": "int", "commit_id": "string"}, WALK, parts=3)
+    for batch_id, upto in enumerate((25, 70)):
+        state.arrive(spark.createDataFrame(rows[:upto], SCHEMA), blobs, batch_id)
+        assert state_of(state)[0] == expected(rows[:upto], texts)
+
+
+def test_only_the_newest_versions_are_looked_at(spark):
+    rows = [("r", f"c{i}", i, "a.py", f"b{i}") for i in range(9)] + [("r", f"d{i}", i, "q.ipynb", f"n{i}") for i in range(3)]
+    blobs = spark.createDataFrame([(r[4], "x = 1\n") for r in rows], "blob_id string, text string")
+    state = SymbolState(spark, scratch_path(spark, "state"), {"t": "int", "commit_id": "string"}, WALK, parts=2)
+    state.arrive(spark.createDataFrame(rows, SCHEMA), blobs, 0)
+    assert state_of(state)[0] == {("r", "a.py"): "b8"}
+    assert [r.blob_id for r in state.store._table("languages", "blob_id string").collect()] == ["b8"]
+
+
+def test_tasks_that_write_a_part_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(parallel, "ROWS_PER_TASK", 10)
+    rows = [("r", f"c{i}", i, f"p{i}.py", "b") for i in range(400)]
+    blobs = spark.createDataFrame([("b", "x = 1\n")], "blob_id string, text string")
+    state = SymbolState(spark, scratch_path(spark, "state"), {"t": "int", "commit_id": "string"}, WALK, parts=1)
+    state.arrive(spark.createDataFrame(rows, SCHEMA), blobs, 0)
+    assert state.newest().count() == 400 and len(state.newest().inputFiles()) > 8
+    assert state_of(state)[1] == {("r", "variables", "x"): 400}

@@ -4,12 +4,15 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from commitlens.operators import churn, parallel
 from commitlens.operators.apply import cogroup_apply
+from commitlens.operators.blob_store import BlobStore
 from commitlens.operators.classify import Drops
 from commitlens.operators.windows import as_of, lag_over_group
 from commitlens.plans import commit_info
+from commitlens.session import scratch_path
 from commitlens.sources.fixtures import blobs_view, changes_view
 
 from .conftest import SF_SMALL
@@ -91,3 +94,29 @@ def test_records_without_limit_do_not_look_for_old_objects(spark, monkeypatch):
 def test_blob_rows_are_told_apart_by_numbers(spark):
     plan = blobs_view(spark, SF_SMALL, changes_view(spark, SF_SMALL, materialise=False), materialise=False)._jdf.queryExecution().toString()
     assert "hashpartitioning(new_blob_id" not in plan and "hashpartitioning(o#" in plan
+
+
+@pytest.mark.parametrize("few", [50_000, 1])
+def test_a_screen_keeps_every_row_that_is_asked_for(spark, monkeypatch, few):
+    monkeypatch.setattr(parallel, "FEW_KEYS", few)
+    rows = spark.range(60_000).selectExpr("concat('b', id % 30000) AS k", "id", "if(id % 7 = 0, null, 'x') AS j")
+    asked = rows.where("id % 100 = 3").select("k", "j").distinct()
+    want = {r["id"] for r in rows.where("id % 100 = 3").collect()}  # a null key is asked for like any other
+    got = [r["id"] for r in parallel.screened(rows, asked, ["k", "j"]).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) and len(got) < 6_000
+    one = parallel.screened(rows, asked, ["k", "j"]).join(asked, ["k", "j"])
+    assert one.count() == rows.join(asked, ["k", "j"], "left_semi").count()
+
+
+def test_known_blobs_and_texts_are_screened_where_they_lie(spark, monkeypatch):
+    """What is moved for some blobs does not grow with all of them: nothing but the screen meets the whole table."""
+    monkeypatch.setattr(parallel, "FEW_KEYS", 1)
+    blobs = spark.range(3_000).selectExpr("concat('b', id) AS blob_id", "concat('v', id, ' = 1\n') AS text")
+    store = BlobStore(spark, scratch_path(spark, "store"))
+    for n in (1_000, 1_200):
+        ids = blobs.where(f"CAST(substring(blob_id, 2) AS INT) < {n}").select("blob_id")
+        facts = store.facts(blobs, ids, lines=False)
+        assert facts.count() == n and "bitmap_construct_agg" in facts._jdf.queryExecution().optimizedPlan().toString().lower()
+        files = ids.withColumn("programming_language", F.lit("python"))
+        assert store.symbols(files, blobs).where("size(variables) = 1").count() == n
+    assert store._table("languages", "blob_id string").count() == 1_200
