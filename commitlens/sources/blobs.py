@@ -14,18 +14,102 @@ from ..operators.parallel import spread
 GIT_EMPTY_IDS = ("e69de29bb2d1d6434b8b29ae775ad8c2e48c5391", "473a0f4c3be8a93681a267e3b1e9a7dcda1185436fe141f7749120a303721813")
 
 
+#: what a task holds of the files that it reads
+READ_BYTES, READ_ROWS = 4 << 20, 1_000
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources leave out."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _children(store, folder: str) -> Iterator[tuple[str, str, bool]]:
+    """(path, name, is a folder); one at a time where the file system is local, so that a folder of any size is no list."""
+    from pyarrow import fs
+    if isinstance(store, fs.LocalFileSystem):
+        import os
+        with os.scandir(folder) as entries:
+            for x in entries:
+                yield x.path, x.name, x.is_dir()
+    else:
+        for x in store.get_file_info(fs.FileSelector(folder)):
+            yield x.path, x.base_name, x.type == fs.FileType.Directory
+
+
+def _list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(folder or file) -> (root, path, name) of every file under it, whatever the depth."""
+    from pyarrow import fs
+    for b in batches:
+        for root in b.column(0).to_pylist():
+            store, top = fs.FileSystem.from_uri(root)
+            found, folders = [], []
+            if store.get_file_info(top).type == fs.FileType.Directory:
+                folders.append(top)
+            else:
+                found.append((root, top, top.rsplit("/", 1)[-1]))
+            while folders or found:
+                for path, name, is_folder in _children(store, folders.pop()) if folders else ():
+                    if _hidden(name):
+                        continue
+                    if is_folder:
+                        folders.append(path)
+                    else:
+                        found.append((root, path, name))
+                    if len(found) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["root", "path", "name"])
+                        found = []
+                if not folders and found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["root", "path", "name"])
+                    found = []
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, path, name) -> (name, content), some megabytes at a time; files of no bytes are left out."""
+    from pyarrow import fs
+    stores: dict[str, fs.FileSystem] = {}
+    rows: list[tuple[str, bytes]] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["name", "content"])
+
+    size = 0
+    for b in batches:
+        for root, path, name in zip(*(c.to_pylist() for c in b.columns)):
+            if root not in stores:
+                stores[root] = fs.FileSystem.from_uri(root)[0]
+            with stores[root].open_input_stream(path) as f:
+                content = f.read()
+            if content:
+                rows.append((name, content))
+                size += len(content)
+            if size >= READ_BYTES or len(rows) >= READ_ROWS:
+                yield batch()
+                rows, size = [], 0
+    if rows:
+        yield batch()
+
+
 def read_blob_files(spark: SparkSession, path: str, glob: str | None = None, empty_ids: Sequence[str] = ()) -> DataFrame:
     """``(blob_id, content BINARY, text STRING)`` from files whose base name (without
     extension) is the blob id.  Content is decoded as UTF-8 (invalid bytes replaced); the binary column stays
-    available for the NUL-byte test of the language classifier.  Spark's file sources skip files of no bytes:
-    ``empty_ids`` (e.g. ``GIT_EMPTY_IDS``) are added as empty blobs."""
-    reader = spark.read.format("binaryFile")
+    available for the NUL-byte test of the language classifier.  Files of no bytes are skipped, as Spark's file sources do:
+    ``empty_ids`` (e.g. ``GIT_EMPTY_IDS``) are added as empty blobs.
+
+    Files are listed by a task and read by all, so the driver holds no list of them: there is one per blob."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    matched = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not matched:
+        raise FileNotFoundError(path)
+    roots = spark.createDataFrame([(s.getPath().toString(),) for s in matched], "root string")
+    listed = roots.mapInArrow(_list_files, "root string, path string, name string")
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.option("recursiveFileLookup", "true").load(path)
+        listed = listed.where(F.col("name").rlike("^(?:" + spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern.compile(glob).pattern() + r")\z"))
+    files = spread(listed, "path").mapInArrow(_read_files, "name string, content binary")
     empty = spark.createDataFrame([(i, bytearray(), "") for i in empty_ids], "blob_id string, content binary, text string")
     return empty.unionByName(files.select(
-        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("blob_id"),
+        F.regexp_extract("name", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("blob_id"),
         F.col("content"),
         # UTF-8; invalid byte sequences (binary files) become U+FFFD instead of failing the job
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),

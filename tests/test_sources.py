@@ -195,3 +195,22 @@ def test_blob_files_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     one = spark.createDataFrame([(f"b{i}", bytearray(b"x")) for i in range(40)] + [(None, bytearray(b"y"))], "blob_id string, content binary").coalesce(1)
     assert module.write_blob_files(one, str(tmp_path / "blobs")) == 40
     assert seen == [("blob_id",)] and len(list((tmp_path / "blobs").iterdir())) == 40
+
+
+def test_blob_files_are_not_listed_by_the_driver(spark, tmp_path):
+    from commitlens.sources.blobs import read_blob_files
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "_left").mkdir()
+    for i in range(30):
+        (tmp_path / ("a" if i % 2 else "a/b") / f"b{i}.blob").write_bytes(b"x" * (i + 1))
+    for hidden in ("_left/b90.blob", "a/.b91.blob", "a/_b92.blob", "a/b93.blob._COPYING_"):
+        (tmp_path / hidden).write_bytes(b"y")
+    (tmp_path / "a" / "b94.blob").write_bytes(b"")
+    (tmp_path / "a" / "b95.txt").write_bytes(b"z")
+    want = {f"b{i}": i + 1 for i in range(30)}
+    df = read_blob_files(spark, str(tmp_path), glob="*.{blob,bin}", empty_ids=["none"])
+    assert {r.blob_id: len(r.content) for r in df.collect()} == want | {"none": 0}
+    assert {r.blob_id: len(r.content) for r in read_blob_files(spark, str(tmp_path / "a*")).collect()} == want | {"b95": 1}
+    assert df.inputFiles() == []  # a file source holds the list of its files on the driver
+    with pytest.raises(FileNotFoundError):
+        read_blob_files(spark, str(tmp_path / "nowhere"))
