@@ -200,3 +200,57 @@ def test_texts_given_with_the_files_are_dealt_once_to_all_tasks(spark):
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
     got = sorted((str(r.blob_id), sorted(r.imports), sorted(r.variables)) for r in out.collect())
     assert got == [("None", [], ["L"]), ("a", ["os"], []), ("b", ["p.Q"], ["K", "f", "n"])]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_search_a_text_once(spark):
+    """What imports and variables share, and all groups of a pattern, come from one search."""
+    from commitlens.functions.symbols import python
+    df = spark.createDataFrame([("a", "python", "x = 1")], "blob_id string, programming_language string, text string")
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 24)
+    plan = _plan(add_symbol_columns(df).select("imports", "variables"))
+    assert plan.count("regexp_extract_all(_js#") == 2  # static imports, and dynamic imports for both kinds
+    froms = _plan(df.select(python.imports(F.col("text")).alias("x")))
+    assert froms.count("regexp_extract_all(text") == 3  # "from", "import" and calls
+
+
+def test_vendored_paths_as_by_each_pattern(spark):
+    import re
+
+    from commitlens.functions.language import VENDORED_PATTERNS, is_vendored
+    names = ["vendor", "vendors", "vendored", "xvendor", "node_modules", "third-party", "thirdparty", "3rd_party", "extern", "external", "externals", "dist", "distx",
+             "jquery-1.js", "xjquery.js", "bootstrap.css", "bootstrap.cssx", "a.min.js", "a.min.jsx", "min.css", ".min.css", "a.py"]
+    paths = [*names, *[f"{a}/{b}" for a in names for b in names]]
+    got = {r.p: r.v for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", is_vendored("p").alias("v")).collect()}
+    assert got == {p: any(re.search(x, p) for x in VENDORED_PATTERNS) for p in paths}
+
+
+def test_classification_tests_a_path_once(spark):
+    """Vendored paths and images are dropped before contents are met, and not looked for again."""
+    from commitlens.functions.language import VENDORED_REGEX
+    from commitlens.operators.classify import classify_changes
+    c = spark.createDataFrame([("a.py", "1"), ("vendor/a.py", "1"), ("a.png", "1"), ("b.py", "2"), ("c", "3")], "file_path string, new_blob_id string")
+    b = spark.createDataFrame([("1", "x"), ("2", "x\0"), ("3", "#!/bin/sh\n")], "blob_id string, text string")
+    out = classify_changes(c, b)
+    assert sorted((r.file_path, r.programming_language) for r in out.collect()) == [("a.py", "python"), ("c", "shell")]
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 24)
+    assert _plan(out).count(VENDORED_REGEX) == 1
+
+
+def test_open_files_are_tokenised_once(spark):
+    """The model holds no plan over texts, and the texts of open files are searched once."""
+    from commitlens.operators.content_language import decide, learn
+    blobs = spark.createDataFrame([("1", "def f(): 7"), ("2", "int f() { 8 }"), ("3", "def g(): 9"), ("4", "{ int : }"), ("5", "z")], "blob_id string, text string")
+    known = spark.createDataFrame([("1", "python"), ("2", "c"), ("6", "c"), (None, "c")], "blob_id string, programming_language string")
+    model = learn(known, blobs)
+    assert _plan(model).count("regexp_extract_all") == 0
+    assert {(r.token, r.language): r.n for r in model.where("token IS NULL OR token = '0' OR token = 'def'").collect()} == {
+        (None, "python"): 1, (None, "c"): 1, ("0", "python"): 1, ("0", "c"): 1, ("def", "python"): 1}
+    both = ["python", "c"]
+    open_ = spark.createDataFrame([("3", both), ("3", both), ("4", both), ("5", ["perl"]), ("7", both), (None, both)], "blob_id string, candidates array<string>")
+    out = decide(open_, blobs, model)
+    assert _plan(out).count("regexp_extract_all") == 1
+    assert sorted(((r.blob_id, r.language) for r in out.collect()), key=str) == sorted([("3", "python"), ("4", "c"), ("5", None), ("7", None), (None, None)], key=str)
