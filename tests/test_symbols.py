@@ -254,3 +254,14 @@ def test_open_files_are_tokenised_once(spark):
     out = decide(open_, blobs, model)
     assert _plan(out).count("regexp_extract_all") == 1
     assert sorted(((r.blob_id, r.language) for r in out.collect()), key=str) == sorted([("3", "python"), ("4", "c"), ("5", None), ("7", None), (None, None)], key=str)
+
+
+def test_newest_versions_are_ranked_once(spark):
+    """The changes are classified and ranked to find the symbols, and not once more to meet them."""
+    from commitlens.operators.symbols import latest_symbols
+    c = spark.createDataFrame([("r", "a.py", "1", "c1", 1), ("r", "a.py", "2", "c2", 2), ("r", "b.js", "3", "c2", 2), ("r", "b.js", None, "c3", 3)],
+                              "repo_url string, file_path string, new_blob_id string, commit_id string, commit_time int")
+    b = spark.createDataFrame([("1", "x = 1"), ("2", "y = 1"), ("3", "let z = 1;")], "blob_id string, text string")
+    out = latest_symbols(c, b, order=(("commit_time", False),), commit_order=(("commit_time", False),), commit_limit=2)
+    assert sorted((r.file_path, r.blob_id, r.variables[0]) for r in out.collect()) == [("a.py", "2", "y"), ("b.js", "3", "z")]
+    assert "Window" not in _plan(out) and "Aggregate" not in _plan(out)
